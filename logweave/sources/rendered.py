@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,96 @@ def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
         content,
     )
     return events.select(F.lit("events.log").alias("log_id"), (n + 1).alias("line_no"), line.alias("line"))
+
+
+def log_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """``(question_id, question)``: one question per user turn of the conversations.
+
+    Nine kinds of question about the rendered log, and the user's own words as the tenth.
+    """
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").filter(F.col("role") == "user")
+    conv, turn = F.col("conv_id"), F.col("turn")
+
+    def two_digits(value: Column) -> Column:
+        return F.lpad(value.cast("string"), 2, "0")
+
+    def number(value: Column) -> Column:
+        return value.cast("string")
+
+    clock = F.concat_ws(":", two_digits(conv % 24), two_digits(turn * 7 % 60), two_digits((conv + turn) % 60))
+    kind_name = F.element_at(
+        F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), (conv % 5 + 1).cast("int")
+    )
+    questions = (
+        F.lit("Summarize the log."),
+        F.concat(F.lit("What happened at "), clock, F.lit("?")),
+        F.concat(F.lit("How many times does 'app."), kind_name, F.lit("' occur in the log file?")),
+        F.concat(F.lit("What is the event Event"), number(conv % 12 + 1), F.lit("?")),
+        F.lit("What kind of log file is this?"),
+        F.lit("Are there any abnormal activities?"),
+        F.lit("What is a Brute Force Attack?"),
+        F.concat(
+            F.lit("Which users are named in the event "), number(conv % 9 + 1),
+            F.lit(" and in Event"), number(turn % 9 + 1), F.lit("?"),
+        ),
+        F.concat(F.lit("What are 'user "), number(conv % 150), F.lit("' and 'ERROR' in this log?")),
+    )
+    question = F.col("text")
+    for kind, text in enumerate(questions):
+        question = F.when((conv * 7 + turn) % 10 == kind, text).otherwise(question)
+    return turns.select((conv * 1000 + turn).alias("question_id"), question.alias("question"))
+
+
+def event_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """``(conv_id, turn, text)``: assistant turns that end by naming events of the log."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").filter(F.col("role") == "assistant")
+    first = F.concat(F.lit("Event"), (F.col("conv_id") % 9 + 1).cast("string"))
+    second = F.concat(F.lit("Event"), (F.col("turn") % 9 + 1).cast("string"))
+    text = F.concat(
+        "text", F.lit(" See "), first, F.lit(" and "), second, F.lit(", again "), first, F.lit("; not myEvent3.")
+    )
+    return turns.select("conv_id", "turn", text.alias("text"))
+
+
+def document_answers(spark: SparkSession, folder: str, categories: tuple[str, ...]) -> DataFrame:
+    """Wide answer table over documents: expected text and four models' answers.
+
+    ``labelled`` is missing for documents without a good quality label, and sheet ``---es``
+    is marked as in progress.
+    """
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", F.col("text").alias("item"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    category = F.element_at(F.array(*map(F.lit, categories)), (F.col("doc_id") % len(categories) + 1).cast("int"))
+    return (
+        documents.withColumn("item_id", F.col("doc_id") % 40)
+        .join(items, "item_id", "left")
+        .join(labels, "doc_id", "left")
+        .select(
+            F.when(F.col("lang") == "es", F.lit("---es")).otherwise(F.col("lang")).alias("sheet"),
+            F.col("doc_id").alias("question_id"),
+            category.alias("category"),
+            F.col("text").alias("expected"),
+            F.col("text").alias("copy"),
+            F.col("item").alias("bench"),
+            F.concat_ws(" ", "item", "text").alias("joined"),
+            F.when(F.col("quality") == 1, F.col("text")).alias("labelled"),
+        )
+    )
+
+
+def document_metrics(
+    spark: SparkSession, folder: str, categories: tuple[str, ...], metrics: tuple[str, str]
+) -> DataFrame:
+    """Metric values ``(sheet, category, model, metric, value)``: two per document."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    doc, chars = F.col("doc_id"), F.col("n_chars")
+    category = F.element_at(F.array(*map(F.lit, categories)), (doc % len(categories) + 1).cast("int"))
+    values = F.array(
+        F.struct(F.lit(metrics[0]).alias("metric"), ((chars * 31 + doc * 17) % 1000 / 1000).alias("value")),
+        F.struct(F.lit(metrics[1]).alias("metric"), ((chars * 13 + doc * 7) % 1000 / 1000).alias("value")),
+    )
+    model = F.concat(F.lit("model-"), (doc % 5).cast("string"))
+    return documents.select(
+        F.col("lang").alias("sheet"), category.alias("category"), model.alias("model"), F.explode(values).alias("_v")
+    ).select("sheet", "category", "model", "_v.metric", "_v.value")
