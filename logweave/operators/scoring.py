@@ -52,41 +52,35 @@ def score_answers(
 ) -> DataFrame:
     """Add ``cosine`` and ``rouge1`` to the id columns, one row per pair.
 
-    Both scores need word counts of the two texts only.  A pair is one row, so its counts are
-    complete before the shuffle, and one shuffle serves both scores.  A pair without words
-    scores 0.
+    Both scores need word counts of the two texts only.  The texts are shuffled once, by the
+    ids of their pair; counting words and adding them up then stay in the same task, so no
+    word is ever shuffled.  A pair without words scores 0.
     """
-    words = list(stop_words)
-
-    def counted(kind: int, found: Column, left: int, right: int) -> Column:
-        return F.transform(
-            found,
-            lambda w: F.struct(
-                F.lit(kind).alias("kind"),
-                w.alias("word"),
-                F.lit(left).cast("bigint").alias("n_expected"),
-                F.lit(right).cast("bigint").alias("n_answer"),
-            ),
+    expected_text, answer_text = F.col(expected), F.col(answer)
+    word_lists = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), found.alias("words"))
+        for side, text in (("e", expected_text), ("a", answer_text))
+        for kind, found in (
+            (0, F.regexp_extract_all(normalise(text), F.lit(_WORD), F.lit(0))),
+            (1, F.regexp_extract_all(F.lower(text), F.lit(_UNIGRAM), F.lit(0))),
         )
-
-    def kept(text: str) -> Column:
-        found = F.regexp_extract_all(normalise(F.col(text)), F.lit(_WORD), F.lit(0))
-        return F.filter(found, lambda w: ~w.isin(words)) if words else found
-
-    def unigrams(text: str) -> Column:
-        return F.regexp_extract_all(F.lower(text), F.lit(_UNIGRAM), F.lit(0))
-
-    every_word = F.concat(
-        counted(0, kept(expected), 1, 0),
-        counted(0, kept(answer), 0, 1),
-        counted(1, unigrams(expected), 1, 0),
-        counted(1, unigrams(answer), 0, 1),
+    ])
+    listed = (
+        pairs.select(*ids, expected, answer)
+        .repartition(*ids)
+        .select(*ids, F.explode(word_lists).alias("_l"))
+        .select(*ids, "_l.kind", "_l.side", F.explode_outer("_l.words").alias("word"))
     )
-    counts = (
-        pairs.select(*ids, F.explode_outer(every_word).alias("_w"))
-        .groupBy(*ids, "_w.kind", "_w.word")
-        .agg(F.sum("_w.n_expected").alias("e"), F.sum("_w.n_answer").alias("a"))
+    counts = listed.groupBy(*ids, "kind", "word").agg(
+        F.count_if((F.col("side") == "e") & F.col("word").isNotNull()).alias("e"),
+        F.count_if((F.col("side") == "a") & F.col("word").isNotNull()).alias("a"),
     )
+    stop_words = list(stop_words)
+    if stop_words:
+        stopped = (F.col("kind") == 0) & F.col("word").isin(stop_words)
+        counts = counts.withColumn("e", F.when(stopped, 0).otherwise(F.col("e"))).withColumn(
+            "a", F.when(stopped, 0).otherwise(F.col("a"))
+        )
     e, a = F.col("e"), F.col("a")
     # Smoothed inverse document frequency over the two texts of the pair.
     idf = F.when((e > 0) & (a > 0), F.lit(1.0)).otherwise(F.lit(1.0) + F.log(F.lit(1.5)))

@@ -16,8 +16,8 @@ from logweave.sources.lines import contiguous_ids
 KEYWORD_CAP = 200
 EVENT_CAP = 150
 
-# Distinct keyword sets written into one expression; more sets go through the gram join.
-INLINE_SETS = 128
+# Distinct words tested one by one on each line; more words go through the gram join.
+INLINE_WORDS = 64
 _GRAM = 3
 _SET_MARK = "\u0001"
 
@@ -46,84 +46,170 @@ def cap_matches(matches: DataFrame, keys: list[str], cap: int) -> DataFrame:
     )
 
 
-def _set_key(keywords: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(keywords, F.lower))), _SET_MARK)
+def with_set_key(questions: DataFrame) -> DataFrame:
+    """Add ``set_key``: equal for questions with the same keywords, whatever case or order."""
+    lowered = F.array_sort(F.array_distinct(F.transform("keywords", F.lower)))
+    return questions.withColumn("set_key", F.array_join(lowered, _SET_MARK))
 
 
-def keyword_hits(lines: DataFrame, questions: DataFrame, inline_sets: int = INLINE_SETS) -> DataFrame:
-    """``(set_key, log_id, line_no, line)``: matching lines per distinct keyword set.
+def line_words(lines: DataFrame, words: DataFrame, inline_words: int = INLINE_WORDS) -> DataFrame:
+    """``(log_id, line_no, words)``: which of ``words(word)`` each line holds; others left out.
 
-    ``questions`` has ``keywords array<string>``.  Questions with the same keywords share
-    their matches; join the result back on ``set_key`` (see ``with_set_key``).
+    ``words`` are distinct and in lower case.  An empty word is in every line.
     """
-    sets = materialize(
-        with_set_key(questions)
-        .filter(F.size("keywords") > 0)
-        .groupBy("set_key")
-        .agg(F.any_value("keywords").alias("keywords")),
-        "keywords",
-    )
-    rows = lines.select("log_id", "line_no", strip(F.col("line")).alias("line"))
-    if sets.limit(inline_sets + 1).count() <= inline_sets:
-        return _hits_inline(rows, sets)
-    return _hits_by_gram(rows, sets)
-
-
-def with_set_key(questions: DataFrame) -> DataFrame:
-    return questions.withColumn("set_key", _set_key(F.col("keywords")))
+    words = materialize(words.select("word"), "words")
+    if words.limit(inline_words + 1).count() <= inline_words:
+        return _words_inline(lines, words)
+    return _words_by_gram(lines, words)
 
 
-def _hits_inline(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Few sets: test all of them in one expression per line, without a join."""
-    known = sets.orderBy("set_key").collect()  # at most ``inline_sets`` rows
-    tests = [F.when(contains_any(F.col("_lower"), row.keywords), F.lit(row.set_key)) for row in known]
-    hits = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
-    return rows.withColumn("_lower", F.lower("line")).select(
-        F.explode(hits).alias("set_key"), "log_id", "line_no", "line"
-    )
+def _words_inline(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """Few words: test each of them on each line."""
+    known = F.array(*[F.lit(row.word) for row in words.collect()])  # at most ``inline_words``
+    held = F.transform(
+        F.array(F.lower("line")),
+        lambda text: F.filter(known.cast("array<string>"), lambda word: F.contains(text, word)),
+    )[0]
+    return lines.select("log_id", "line_no", held.alias("words")).filter(F.size("words") > 0)
 
 
-def _hits_by_gram(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Many sets: meet lines and keywords on the first characters of the keyword.
+def _words_by_gram(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """Many words: meet lines and words on one gram of the word.
 
-    A line that holds a keyword holds its leading gram, so the join on grams misses nothing
-    and the substring test afterwards keeps the true matches.
+    A line that holds a word holds each gram of it, so any gram will do; the one that fewest
+    other words share keeps the candidates few.  The substring test afterwards keeps the true
+    ones.
     """
-    words = sets.select("set_key", F.explode("keywords").alias("_word")).select(
-        "set_key", F.lower("_word").alias("_word")
-    )
-    grams = words.groupBy(F.substring("_word", 1, _GRAM).alias("_gram")).agg(
-        F.collect_set("_word").alias("_words")
-    )
-    text = F.lower("line")
-    pieces = F.array_distinct(
-        F.flatten(
-            F.array(
-                F.array(F.lit("")),
-                *[
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1))),
-                        lambda i, w=width: F.substring(text, i, F.lit(w)),
-                    )
-                    for width in range(1, _GRAM + 1)
-                ],
+    word = F.col("word")
+    width = F.least(F.length(word), F.lit(_GRAM))
+    grams = words.select(
+        "word",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.length(word) - width + 1), lambda i: F.substring(word, i, width)
             )
-        )
+        ).alias("gram"),
     )
-    spread = F.xxhash64("log_id", "line_no")
-    met = lookup_join(rows.withColumn("_gram", F.explode(pieces)), grams, ["_gram"], spread, "inner")
-    found = met.select("log_id", "line_no", "line", F.explode("_words").alias("_word")).filter(
-        F.contains(F.lower("line"), F.col("_word"))
+    shared = grams.groupBy("gram").agg(F.count_distinct("word").alias("_words"))
+    chosen = (
+        grams.join(shared, "gram")
+        .groupBy("word")
+        .agg(F.min(F.struct("_words", "gram"))["gram"].alias("gram"))
     )
-    owners = words.groupBy("_word").agg(F.collect_set("set_key").alias("_sets"))
+    chosen = materialize(chosen, "grams")
+    keyed = chosen.groupBy("gram").agg(F.collect_list("word").alias("_candidates"))
+    widths = [row.w for row in chosen.select(F.length("gram").alias("w")).distinct().collect()]  # at most 4
+    text = F.lower("line")
+
+    def all_grams(width: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("_text") - (width - 1), F.lit(1)))
+        return F.transform(starts, lambda start: F.substring("_text", start, F.lit(width)))
+
+    pieces = F.array_distinct(F.flatten(F.array(*map(all_grams, widths))))
+    # The one-row generator keeps the lowered text from being computed again for every gram.
+    lowered = lines.select("log_id", "line_no", F.explode(F.array(text)).alias("_text"))
+    rows = lowered.select("log_id", "line_no", "_text", F.explode(pieces).alias("gram"))
+    met = lookup_join(rows, keyed, ["gram"], F.xxhash64("log_id", "line_no"), "inner")
+    held = F.filter("_candidates", lambda w: F.contains(F.col("_text"), w))
     return (
-        lookup_join(found, owners, ["_word"], spread, "inner")
-        .select(F.explode("_sets").alias("set_key"), "log_id", "line_no", "line")
-        .groupBy("set_key", "log_id", "line_no")
-        .agg(F.any_value("line").alias("line"))
+        met.select("log_id", "line_no", F.explode(held).alias("word"))
+        .groupBy("log_id", "line_no")
+        .agg(F.collect_list("word").alias("words"))
     )
 
 
+class KeywordSets:
+    """Distinct keyword sets of a batch of questions, with the lines that hold their words.
+
+    The words of a set are ordered by the number of lines that hold them.  A line belongs to
+    the set through its first word in this order, so each line is counted once for a set, and
+    the lines of the most frequent word need not be listed per set at all.
+    """
+
+    def __init__(self, lines: DataFrame, questions: DataFrame, inline_words: int = INLINE_WORDS):
+        self.lines = lines
+        sets = materialize(
+            with_set_key(questions)
+            .filter(F.size("keywords") > 0)
+            .select("set_key", F.explode("keywords").alias("word"))
+            .select("set_key", F.lower("word").alias("word"))
+            .distinct(),
+            "keyword_sets",
+        )
+        self.held = materialize(line_words(lines, sets.select("word").distinct(), inline_words), "line_words")
+        self.totals = materialize(
+            self.held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_lines")),
+            "word_totals",
+        )
+        # (set_key, word, n_lines, earlier): the words of the set before this one.
+        order = W.partitionBy("set_key").orderBy(F.desc("n_lines"), "word")
+        self.members = materialize(
+            sets.join(self.totals, "word").select(
+                "set_key",
+                "word",
+                "n_lines",
+                F.collect_list("word").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"),
+            ),
+            "set_members",
+        )
+
+    def _new_lines(self, roles: DataFrame) -> DataFrame:
+        """Lines that hold ``word`` and none of ``earlier``, for each distinct pair in ``roles``."""
+        rows = self.held.select("log_id", "line_no", "words", F.explode("words").alias("word"))
+        paired = roles.groupBy("word").agg(F.collect_set("earlier").alias("_roles"))
+        met = lookup_join(rows, paired, ["word"], F.xxhash64("log_id", "line_no"), "inner")
+        return met.select("log_id", "line_no", "words", "word", F.explode("_roles").alias("earlier")).filter(
+            ~F.arrays_overlap("words", "earlier")
+        )
+
+    def matches(self) -> DataFrame:
+        """Every matching line of every set: ``(set_key, log_id, line_no, line)``."""
+        new = self._new_lines(self.members.select("word", "earlier").distinct())
+        found = new.join(self.members, ["word", "earlier"]).select("set_key", "log_id", "line_no")
+        text = self.lines.select("log_id", "line_no", strip(F.col("line")).alias("line"))
+        return found.join(text, ["log_id", "line_no"]).select("set_key", "log_id", "line_no", "line")
+
+    def capped(self, cap: int = KEYWORD_CAP) -> DataFrame:
+        """``(set_key, place, line_no, line, n_matched, trimmed)``: first lines and true total.
+
+        The first lines of a set are among the first lines of its words, and words with many
+        lines are listed once for all sets.  ``lines`` must hold one log.
+        """
+        later = self.members.filter(F.size("earlier") > 0)
+        extra = self._new_lines(later.select("word", "earlier").distinct()).groupBy("word", "earlier").agg(
+            F.count("*").alias("n_new")
+        )
+        n_new = F.when(F.size("earlier") == 0, F.col("n_lines")).otherwise(F.coalesce("n_new", F.lit(0)))
+        totals = (
+            self.members.join(extra, ["word", "earlier"], "left")
+            .groupBy("set_key")
+            .agg(F.sum(n_new).alias("n_matched"))
+        )
+        by_line = W.partitionBy("word").orderBy("line_no")
+        firsts = materialize(
+            self.held.select("line_no", F.explode("words").alias("word"))
+            .withColumn("_place", F.row_number().over(by_line))
+            .filter(F.col("_place") <= cap)
+            .select("word", "line_no"),
+            "first_lines",
+        )
+        wanted = firsts.select("line_no").distinct()
+        text = lookup_join(
+            self.lines.select("line_no", strip(F.col("line")).alias("line")), wanted, ["line_no"], F.col("line_no"), "inner"
+        )
+        in_set = W.partitionBy("set_key").orderBy("line_no")
+        return (
+            self.members.join(firsts, "word")
+            .select("set_key", "line_no")
+            .distinct()
+            .withColumn("place", F.row_number().over(in_set).cast("bigint"))
+            .filter(F.col("place") <= cap)
+            .join(totals, "set_key")
+            .join(text, "line_no")
+            .withColumn("trimmed", F.col("n_matched") >= cap)
+        )
+
+
 def event_search(structured: DataFrame, events: Iterable[str]) -> DataFrame:
     """Lines of the given events, found by their own line number."""
     return structured.filter(F.col("EventId").isin(list(events)))

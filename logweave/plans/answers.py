@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators import retrieval
 from logweave.operators.routing import ALL, EVENT, PARTIAL, RETRIEVE, SEARCH, route_questions
-from logweave.operators.search import EVENT_CAP, KEYWORD_CAP, cap_matches, keyword_hits, with_set_key
+from logweave.operators.search import EVENT_CAP, KEYWORD_CAP, KeywordSets, with_set_key
 from logweave.session import lookup_join, materialize
 
 _ANSWER = ["question_id", "n_matched", "trimmed", "context"]
@@ -22,7 +22,7 @@ def _ordered(place: str) -> Column:
 def search_answers(routed: DataFrame, lines: DataFrame) -> DataFrame:
     """Matches per distinct keyword set, handed to each question that asks for the set."""
     asked = with_set_key(routed.filter((F.col("level2") == SEARCH) & (F.size("keywords") > 0)))
-    capped = cap_matches(keyword_hits(lines, asked), ["set_key"], KEYWORD_CAP)
+    capped = KeywordSets(lines, asked).capped(KEYWORD_CAP)
     found = capped.groupBy("set_key").agg(
         F.max("n_matched").alias("n_matched"), F.max("trimmed").alias("trimmed"), _ordered("place").alias("context")
     )

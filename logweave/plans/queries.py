@@ -268,9 +268,7 @@ def keyword_search_batch(spark, folder):
     """Capped keyword search for every question that names keywords."""
     asked = routing.route_questions(rendered.log_questions(spark, folder)).filter(F.size("keywords") > 0)
     asked = materialize(search.with_set_key(asked), "asked")
-    capped = search.cap_matches(
-        search.keyword_hits(_lines(spark, folder), asked), ["set_key"], search.KEYWORD_CAP
-    )
+    capped = search.KeywordSets(_lines(spark, folder), asked).capped(search.KEYWORD_CAP)
     per_set = capped.groupBy("set_key").agg(
         F.max("n_matched").alias("n_matched"), F.count("*").alias("n_shown"), F.max("trimmed").alias("trimmed"),
         F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
@@ -278,6 +276,14 @@ def keyword_search_batch(spark, folder):
     return asked.select("question_id", "set_key").join(per_set, "set_key").drop("set_key")
 
 
+@query
+def keyword_matches(spark, folder):
+    """Every line of every distinct keyword set that the questions ask for."""
+    asked = routing.route_questions(rendered.log_questions(spark, folder)).filter(F.size("keywords") > 0)
+    found = search.KeywordSets(_lines(spark, folder), asked).matches()
+    return found.select(F.replace("set_key", F.lit("\u0001"), F.lit("|")).alias("keywords"), "line_no", "line")
+
+
 @query
 def event_search(spark, folder):
     structured, _ = _structured(spark, folder)
@@ -416,9 +422,7 @@ def prompts(spark, folder):
     """Search prompts with the matched lines."""
     asked = routing.route_questions(rendered.log_questions(spark, folder)).filter(F.size("keywords") > 0)
     asked = materialize(search.with_set_key(asked), "asked")
-    capped = search.cap_matches(
-        search.keyword_hits(_lines(spark, folder), asked), ["set_key"], search.KEYWORD_CAP
-    )
+    capped = search.KeywordSets(_lines(spark, folder), asked).capped(search.KEYWORD_CAP)
     per_set = capped.groupBy("set_key").agg(
         F.max("n_matched").alias("n_matched"),
         F.max("trimmed").alias("trimmed"),

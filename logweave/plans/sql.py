@@ -103,13 +103,13 @@ _EVENT, _CLOCK, _QUOTE = map(_quoted, (routing.EVENT_NAME, routing.CLOCK_TIME, r
 
 
 def _distinct(items: str) -> str:
-    return f"list_filter({items}, (x, i) -> list_position({items}, x) = i)"
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
 
 
 _ALL_KEYWORDS = (
     f"list_concat(regexp_extract_all(question, {_QUOTE}, 1), regexp_extract_all(question, {_CLOCK}))"
 )
-_ALL_EVENTS = f"list_transform(regexp_extract_all(question, {_EVENT}, 1), x -> 'Event' || x)"
+_ALL_EVENTS = f"list_transform(regexp_extract_all(question, {_EVENT}, 1), lambda x: 'Event' || x)"
 
 ROUTED = f"""{QUESTIONS},
 level1 AS (
@@ -136,7 +136,7 @@ routed AS (
 KEYWORD_HITS = """hits AS (
   SELECT q.question_id, l.line_no, l.line
   FROM routed q JOIN lines l
-    ON len(list_filter(q.keywords, k -> contains(lower(l.line), lower(k)))) > 0),
+    ON len(list_filter(q.keywords, lambda k: contains(lower(l.line), lower(k)))) > 0),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY line_no) AS place,
     count(*) OVER (PARTITION BY question_id) AS n_matched
@@ -144,7 +144,7 @@ ranked AS (
 
 CHUNKS = f"""{LINES},
 sized AS (
-  SELECT line_no, line, len(list_filter(regexp_split_to_array(line, '\\s+'), t -> t <> '')) AS n,
+  SELECT line_no, line, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda t: t <> '')) AS n,
     line_no // 65536 AS block FROM lines),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY block ORDER BY line_no)::BIGINT AS total FROM sized),
 walk AS (
@@ -329,22 +329,22 @@ SQL: dict[str, str] = {
     "tokenise": f"""WITH {PARSED} SELECT line_no, len(regexp_split_to_array(Content, '\\s+')) AS n_tokens,
         array_to_string(regexp_split_to_array(Content, '\\s+'), '|') AS tokens FROM parsed""",
     "digit_tokens": f"""WITH {PARSED} SELECT line_no, array_to_string(list_filter(
-        regexp_split_to_array(Content, '\\s+'), t -> regexp_matches(t, '[0-9]')), '|') AS digit_tokens FROM parsed""",
+        regexp_split_to_array(Content, '\\s+'), lambda t: regexp_matches(t, '[0-9]')), '|') AS digit_tokens FROM parsed""",
     "event_catalogue": f"""WITH {CATALOGUE}
         SELECT EventId, EventTemplate, Occurrences, first_line, template_key FROM catalogue""",
     "structured_log": f"WITH {STRUCTURED} SELECT line_no, Level, Component, EventId, EventTemplate FROM structured",
     "param_list": f"WITH {PARAMETERS} SELECT line_no, EventId, n_parameters, parameters FROM parameters",
     "template_similarity": f"""WITH {STRUCTURED}, t AS (
         SELECT line_no, string_split(EventTemplate, ' ') AS a, string_split({LIGHT_MASK}, ' ') AS b FROM structured)
-        SELECT line_no, round(len(list_filter(range(1, len(a) + 1), i -> a[i] <> '<*>' AND a[i] = b[i])) / len(a), 6)
+        SELECT line_no, round(len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> '<*>' AND a[i] = b[i])) / len(a), 6)
           AS similarity FROM t""",
     "template_match": f"""WITH {CATALOGUE},
         l AS (SELECT line_no, {LIGHT_MASK} AS t, string_split({LIGHT_MASK}, ' ') AS b FROM parsed),
         e AS (SELECT number, EventId, string_split(EventTemplate, ' ') AS a FROM catalogue),
         pairs AS (
           SELECT t, number, EventId, len(a) AS n,
-            len(list_filter(range(1, len(a) + 1), i -> a[i] <> '<*>' AND a[i] = b[i])) AS hits,
-            len(list_filter(a, x -> x = '<*>')) AS wild
+            len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> '<*>' AND a[i] = b[i])) AS hits,
+            len(list_filter(a, lambda x: x = '<*>')) AS wild
           FROM (SELECT DISTINCT t, b FROM l) JOIN e ON len(a) = len(b)),
         best AS (
           SELECT *, row_number() OVER (PARTITION BY t ORDER BY hits DESC, wild DESC, number) AS place FROM pairs)
@@ -369,6 +369,10 @@ SQL: dict[str, str] = {
         SELECT question_id, max(n_matched) AS n_matched, count(*) AS n_shown, max(n_matched) >= 200 AS trimmed,
           min(line_no) AS first_line, max(line_no) AS last_line
         FROM ranked WHERE place <= 200 GROUP BY question_id""",
+    "keyword_matches": f"""WITH {LINES}, {ROUTED}, sets AS (
+        SELECT DISTINCT list_sort(list_transform(keywords, lambda k: lower(k))) AS k FROM routed WHERE len(keywords) > 0)
+        SELECT array_to_string(k, '|') AS keywords, line_no, line FROM sets JOIN lines
+        ON len(list_filter(k, lambda w: contains(lower(line), w))) > 0""",
     "event_search": f"""WITH {STRUCTURED} SELECT line_no, EventId, line FROM structured
         WHERE list_contains({_list(EVENTS)}, EventId)""",
     "event_lookup": f"""WITH {CATALOGUE} SELECT EventId, EventTemplate, Occurrences FROM catalogue
@@ -397,7 +401,7 @@ SQL: dict[str, str] = {
         SELECT line_from, string_agg(line, chr(10) ORDER BY line_no) AS text FROM owned GROUP BY block, chunk, line_from)
         SELECT line_from, md5(text) AS text_md5, length(text) AS n_chars FROM t""",
     "chunk_vectors": """WITH w AS (
-        SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), t -> t <> '')) AS word FROM documents),
+        SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS word FROM documents),
         b AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 6))::BIGINT % 256 AS bucket, count(*) AS tf FROM w GROUP BY 1, 2),
         i AS (SELECT bucket, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM b GROUP BY bucket),
         x AS (SELECT doc_id, bucket, tf * idf AS w FROM b JOIN i USING (bucket))

@@ -39,6 +39,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores where its files give fewer tasks than there are cores.
+
+    A scan with enough splits is left alone, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_bytes(df: DataFrame) -> int:
     """Size of a materialized table's text form, computed by Spark."""
     row_bytes = F.octet_length(F.to_json(F.struct(*df.columns)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.session import spread
+
 
 def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``(log_id, line_no, line)``: one application log line per event.
@@ -12,7 +14,7 @@ def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     Lines have the shape ``<Date> <Time> <Level> <Component>: <Content>`` with four kinds of
     content; every 97th line lacks the colon.
     """
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = spread(spark.read.parquet(f"{folder}/events.parquet"))
     n, user_id = F.col("event_id"), F.col("user_id")
     user = user_id.cast("string")
     octet = (n % 256).cast("string")
