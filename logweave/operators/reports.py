@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.operators.scoring import COSINE, ROUGE
-from logweave.session import lookup_join
+from logweave.session import lookup_join, materialize
 
 METRICS = (COSINE, ROUGE)
 
@@ -135,11 +135,11 @@ def quantiles(df: DataFrame, keys: list[str], probabilities: dict[str, float], v
     its own task, and range totals place it in the group: no task sees a whole group.
     """
     rows = df.filter(F.col(value).isNotNull())
+    counted = materialize(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), "values")
     cuts = [i / QUANTILE_RANGES for i in range(1, QUANTILE_RANGES)]
-    groups = rows.groupBy(*keys).agg(
-        F.count("*").alias("_total"), F.percentile_approx(value, cuts, 1000).alias("_cuts")
+    groups = counted.groupBy(*keys).agg(
+        F.sum("_n").alias("_total"), F.percentile_approx(value, cuts, 1000).alias("_cuts")
     )
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranged = lookup_join(counted, groups, keys, F.col(value), "inner").withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logweave.formats import WILDCARD
 from logweave.functions import text as T
-from logweave.session import lookup_join
+from logweave.session import lookup_join, materialize
 from logweave.sources.lines import contiguous_ids
 
 # Events compared in one row of a match; bounds the list a row carries.
@@ -35,8 +35,11 @@ def catalogue(templated: DataFrame) -> DataFrame:
 
 
 def number_events(found: DataFrame) -> DataFrame:
-    """Name templates ``Event1, Event2 …`` per log in order of first appearance."""
-    return contiguous_ids(found, "log_id", "first_line", "_number").select(
+    """Name templates ``Event1, Event2 …`` per log in order of first appearance.
+
+    The templates are written first: numbering reads them twice, and the lines only once.
+    """
+    return contiguous_ids(materialize(found, "templates"), "log_id", "first_line", "_number").select(
         "log_id",
         F.concat(F.lit("Event"), F.col("_number").cast("string")).alias("EventId"),
         F.col("template").alias("EventTemplate"),

@@ -41,12 +41,13 @@ def analyse(
     masked = materialize(
         masked_lines(parse_lines(keep_line(lines), fmt), fmt.masks if masks is None else masks), "masked"
     )
+    numbered = with_line_ids(masked)
     if mined:
         assignments = materialize(mine_assignments(masked, fmt.st, fmt.depth), "assignments")
-        templated, events = attach_mined(masked, assignments), mined_catalogue(assignments)
+        templated, events = attach_mined(numbered, assignments), mined_catalogue(assignments)
     else:
-        templated, events = masked, catalogue(masked)
+        templated, events = numbered, catalogue(masked)
     events = materialize(events, "catalogue")
-    structured = with_parameters(attach_events(with_line_ids(templated), events), events)
+    structured = with_parameters(attach_events(templated, events), events)
     ordered = ["log_id", "line_no", "LineId", *fmt.headers, "EventId", "EventTemplate", "ParameterList"]
     return AnalysedLog(structured.select(*ordered, F.col("raw").alias("line")), events)

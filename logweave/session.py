@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Largest lookup table that is sent to every executor.
@@ -48,10 +48,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of a materialized table's text form, computed by Spark."""
-    row_bytes = F.octet_length(F.to_json(F.struct(*df.columns)))
-    return df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+def materialize_sized(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``materialize``, with the size of the table's text form measured while it is written."""
+    size = Observation()
+    row_bytes = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    path = scratch_path(df.sparkSession, label)
+    df.observe(size, F.sum(row_bytes).alias("bytes")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), size.get["bytes"] or 0
 
 
 def lookup_join(
@@ -69,8 +72,8 @@ def lookup_join(
     broadcast and the rows are not shuffled.  Beyond, the rows of a key are spread over
     ``salts`` tasks and each lookup row is repeated once per salt.
     """
-    lookup = materialize(lookup, "lookup")
-    if table_bytes(lookup) <= broadcast_bytes:
+    lookup, size = materialize_sized(lookup, "lookup")
+    if size <= broadcast_bytes:
         return rows.join(F.broadcast(lookup), keys, how)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.session import spread
+from logweave.session import lookup_join, spread
 
 
 def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,8 +107,7 @@ def document_answers(spark: SparkSession, folder: str, categories: tuple[str, ..
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
     category = F.element_at(F.array(*map(F.lit, categories)), (F.col("doc_id") % len(categories) + 1).cast("int"))
     return (
-        documents.withColumn("item_id", F.col("doc_id") % 40)
-        .join(items, "item_id", "left")
+        lookup_join(documents.withColumn("item_id", F.col("doc_id") % 40), items, ["item_id"], F.col("doc_id"))
         .join(labels, "doc_id", "left")
         .select(
             F.when(F.col("lang") == "es", F.lit("---es")).otherwise(F.col("lang")).alias("sheet"),
