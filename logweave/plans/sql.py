@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from logweave.formats import FORMATS
 from logweave.operators import routing, scoring
-from logweave.operators.context import CHAT_FRAME, SYSTEM_PROMPT
+from logweave.operators.context import CHAT_FRAME, SEARCH_FRAME, SUMMARY_FRAME, SYSTEM_PROMPT, TRIM_NOTE
 from logweave.operators.reports import CATEGORIES
 from logweave.plans.queries import BASELINE, EVENTS, IP_MASK, KEYWORDS, MODELS, NUMBER_MASK
 
@@ -278,21 +278,13 @@ def _like_format(text: str, *arguments: str) -> str:
 
 
 _SEARCH_TEXT = _like_format(
-    "There are %s lines matched by keywords: %s.\n%s\n"
-    "Focus on the total number if the user asks a question about how many.\nContext: %s\nQuestion: %s.",
-    "n_matched", "array_to_string(keywords, ', ')",
-    "CASE WHEN n_matched >= 200 THEN 'The context is too long, and it has been trimmed to 200 lines.' ELSE '' END",
+    SEARCH_FRAME,
+    "n_matched", "'keywords'", "array_to_string(keywords, ', ')",
+    f"CASE WHEN n_matched >= 200 THEN {_quoted(TRIM_NOTE % 200)} ELSE '' END",
     "context", "question",
 )
 _SUMMARY_TEXT = _like_format(
-    SYSTEM_PROMPT
-    + "\nContext information is below.\n---------------------\nLog file name %s\n"
-    "All the events in this log file: EventId,EventTemplate,Occurrences\n%s\n"
-    "The first line of the log file: %s\nThe last line of the log file: %s\n"
-    "---------------------\nThe log file contains %s lines\n"
-    "There are %s log events in the log file.\n"
-    "Given the context information, answer the query.\nQuery: %s\nAnswer: ",
-    "w.log_id", "p.events_text", "w.first_line", "w.last_line", "w.n_lines", "w.n_events", "q.question",
+    SUMMARY_FRAME, "w.log_id", "p.events_text", "w.first_line", "w.last_line", "w.n_lines", "w.n_events", "q.question"
 )
 
 SUMMARY = """extent AS (

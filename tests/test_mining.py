@@ -98,3 +98,18 @@ def test_masked_lines_feed_the_miner(spark):
     parsed = spark.createDataFrame(rows, "log_id string, line_no bigint, Content string")
     out = masked_lines(parsed, [r"(\d+\.){3}\d+"]).orderBy("line_no").collect()
     assert [(r.template, r.n_tokens) for r in out] == [("took 5 ms at <*>", 5), ("took 7 ms at <*>", 5)]
+
+
+def test_rendered_log_gives_the_sequential_result(spark):
+    from logweave.operators.parsing import parse_lines
+    from logweave.sources.rendered import event_log_lines
+
+    parsed = parse_lines(event_log_lines(spark, "/root/testdata/sf0.001"), "Spark")
+    masked = masked_lines(parsed, [r"(\d+\.){3}\d+"]).select("log_id", "line_no", "template", "n_tokens")
+    ordered = [r.template for r in masked.orderBy("line_no").collect()]
+    expected = mine(ordered, 0.5, 4)
+    found = mining.mine_assignments(masked, 0.5, 4, block_lines=150)
+    got = mining.attach_mined(masked, found, 150).orderBy("line_no").collect()
+    assert [r.template for r in got] == expected
+    events = {r.EventTemplate: (r.EventId, r.Occurrences) for r in mining.mined_catalogue(found).collect()}
+    assert events == expected_events(expected)
