@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.sources.lines import contiguous_ids
@@ -30,3 +30,21 @@ def exchange_metrics(answered: DataFrame, elapsed: str = "elapsed") -> DataFrame
     return answered.withColumn(
         "response_time", F.concat(F.format_string("%.2f", F.col(elapsed)), F.lit(" seconds"))
     ).withColumn("chars_per_second", F.length("response") / F.col(elapsed))
+
+
+def exchange_note(
+    route: Column, keywords: Column, events: Column, elapsed: Column, response: Column
+) -> Column:
+    """What is saved next to an answer: route, search terms if any, time taken and speed."""
+
+    def listed(name: str, items: Column) -> Column:
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"{name}: "), F.array_join(items, ", ")))
+
+    return F.concat_ws(
+        " | ",
+        F.concat(F.lit("Route: "), F.initcap(route)),
+        listed("Keywords", keywords),
+        listed("Events", events),
+        F.format_string("Time Taken: %.2f s", elapsed),
+        F.format_string("Tokens/Second: %.2f", F.length(response) / elapsed),
+    )

@@ -119,3 +119,15 @@ def test_exchanges(spark):
     timed = spark.createDataFrame([("abcd", 2.0)], "response string, elapsed double")
     row = conversations.exchange_metrics(timed).first()
     assert row.response_time == "2.00 seconds" and row.chars_per_second == 2.0
+
+
+def test_exchange_note(spark):
+    df = spark.createDataFrame(
+        [("partial > search", ["a", "b"], [], 2.0, "abcde"), ("all", [], [], 1.0, "x")],
+        "route string, k array<string>, e array<string>, t double, r string",
+    )
+    note = conversations.exchange_note(F.col("route"), F.col("k"), F.col("e"), F.col("t"), F.col("r"))
+    assert [r.n for r in df.select(note.alias("n")).collect()] == [
+        "Route: Partial > Search | Keywords: a, b | Time Taken: 2.00 s | Tokens/Second: 2.50",
+        "Route: All | Time Taken: 1.00 s | Tokens/Second: 1.00",
+    ]
