@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def slices(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.Recor
     sizes = [0] * batch.num_rows
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-            lengths = pa.compute.binary_length(column).fill_null(0).to_pylist()
+            lengths = pc.binary_length(column).fill_null(0).to_pylist()
             sizes = [a + b for a, b in zip(sizes, lengths)]
     for row, size in enumerate(sizes):
         if row > start and held + size > limit:
