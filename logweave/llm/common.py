@@ -84,3 +84,11 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *[name for name, _ in fields]])
 
     return df.select(*sent).mapInArrow(run, out_schema)
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` at most, chosen by the hash of ``key``: the same ones each time."""
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.filter(F.pmod(hash_order(key), F.lit(1_000_000)) < int(rows / total * 1_000_000))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import bpe
+from logweave.llm import bpe, exact_dedup, url_filter
 from logweave.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,29 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, folder, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages")
+    labelled = url_filter.labelled_urls(pages, read_table(spark, folder, "labels"))
+    return url_filter.judge_urls(pages, url_filter.mine_rules(labelled))
+
+
+def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.dedup_documents(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_url_filter": op3_url_filter,
     "op9_bpe": op9_bpe,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_exact_dedup": """
+        SELECT doc_id,
+               max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+               count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+    """,
+}
