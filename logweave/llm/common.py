@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Words: what lies between ASCII blanks, tabs and line ends.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: A group is hot when it holds at least one part in so many of all rows.
+HOT_SHARE = 1000
+
 #: Bytes of text that a Python worker handles at a time.
 BATCH_BYTES = 8 << 20
 
@@ -92,3 +95,18 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     if total <= rows:
         return df
     return df.filter(F.pmod(hash_order(key), F.lit(1_000_000)) < int(rows / total * 1_000_000))
+
+
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """Bring each group's result (one row per ``key``, with its group_size) to its rows.
+
+    Groups that hold at least a ``1 / HOT_SHARE`` part of all rows, so at most ``HOT_SHARE`` of
+    them, are broadcast.  The rest, none of them large, is joined by a shuffle.
+    """
+    large = F.col("group_size") * HOT_SHARE >= total
+    hot, rest = groups.filter(large), groups.filter(~large)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    columns = [*rows.columns, *[c for c in groups.columns if c != key]]
+    done = marked.filter(F.col("_hot")).select(*columns)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return done.unionByName(others.join(rest, key).select(*columns))

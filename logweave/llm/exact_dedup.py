@@ -17,10 +17,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.llm.common import attach_groups
 from logweave.session import materialize, scratch_path
 
-HOT_SHARE = 1000
-
 
 class DigestIndex:
     """One row per distinct text: digest, keep_id of the row that stays, group_size so far.
@@ -73,17 +72,6 @@ def group_digests(rows: DataFrame) -> DataFrame:
     )
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """Bring each group's result to its rows, however large the group is."""
-    large = F.col("group_size") * HOT_SHARE >= total
-    hot, rest = groups.filter(large), groups.filter(~large)
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "digest", "left")
-    columns = [*rows.columns, *[c for c in groups.columns if c != "digest"]]
-    done = marked.filter(F.col("_hot")).select(*columns)
-    others = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    return done.unionByName(others.join(rest, "digest").select(*columns))
-
-
 def dedup(documents: DataFrame, index: DigestIndex) -> DataFrame:
     """Deduplicate a batch against itself and the index, and append what is new to the index.
 
@@ -110,7 +98,7 @@ def dedup(documents: DataFrame, index: DigestIndex) -> DataFrame:
         "digest-resolved",
     )
     index.append(index.unseen(groups))
-    return attach_groups(rows, resolved, total).select(
+    return attach_groups(rows, resolved, "digest", total).select(
         "doc_id",
         "keep_id",
         "group_size",

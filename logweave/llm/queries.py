@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import bpe, exact_dedup, url_filter
+from logweave.llm import bpe, exact_dedup, simhash, url_filter
 from logweave.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, folder, "documents"))
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages")
     labelled = url_filter.labelled_urls(pages, read_table(spark, folder, "labels"))
@@ -27,6 +31,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
