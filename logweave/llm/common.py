@@ -72,7 +72,7 @@ def map_rows(
     sent = list(dict.fromkeys([*keep, *columns]))
     fields = [part.strip().split(" ") for part in schema.split(",")]
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
-             "boolean": pa.bool_(), "binary": pa.binary()}
+             "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     kept = [f for f in df.select(*keep).schema.fields] if keep else []
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [schema])
 
