@@ -110,3 +110,19 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> D
     done = marked.filter(F.col("_hot")).select(*columns)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return done.unionByName(others.join(rest, key).select(*columns))
+
+
+def labelled_sample(
+    documents: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, int], rows: int
+) -> DataFrame:
+    """doc_id, text and label (0 or 1) of about ``rows`` labelled documents at most.
+
+    ``held_out`` is (parts, remainder): documents whose crc32(doc_id) modulo parts is that
+    remainder are never taken.  The labels are sampled first, so their broadcast is bounded and
+    the texts are not shuffled.  Rows without a label are left out; of several labels for one
+    document the largest counts, and repeated documents are all taken.
+    """
+    known = labels.groupBy("doc_id").agg(F.max(label).alias("label")).filter("label is not null and doc_id is not null")
+    known = known.filter(remainder("doc_id", held_out[0]) != held_out[1])
+    known = bounded_sample(known, "doc_id", rows).select("doc_id", F.col("label").cast("int").alias("label"))
+    return documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import bpe, exact_dedup, packing, simhash, url_filter
+from logweave.llm import bpe, exact_dedup, packing, simhash, toxicity, url_filter
 from logweave.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    return toxicity.score(documents, toxicity.train(documents, read_table(spark, folder, "labels")))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, folder, "documents"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
