@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import bpe, exact_dedup, packing, quality_rules, simhash, toxicity, url_filter
+from logweave.llm import bpe, exact_dedup, packing, quality_conv, quality_rules, simhash, toxicity, url_filter
 from logweave.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, read_table(spark, folder, "labels")))
 
 
+def op7_quality_conv(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    return quality_conv.score(documents, quality_conv.train(documents, read_table(spark, folder, "labels")))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     return quality_rules.judge(documents, quality_rules.train(documents, read_table(spark, folder, "labels")))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op7_quality_conv": op7_quality_conv,
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
