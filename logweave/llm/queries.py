@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import bpe, exact_dedup, packing, quality_conv, quality_rules, simhash, toxicity, url_filter
+from logweave.llm import bpe, exact_dedup, packing, quality_conv, quality_rules, simhash, toxicity, url_filter, warc
 from logweave.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, read_table(spark, folder, "labels")))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, folder, "pages"))
+
+
 def op7_quality_conv(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     return quality_conv.score(documents, quality_conv.train(documents, read_table(spark, folder, "labels")))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_quality_conv": op7_quality_conv,
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
@@ -61,6 +66,20 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH payloads AS (
+            SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
+                   strlen(coalesce(html, ''))::BIGINT AS payload_bytes
+            FROM pages
+        ), firsts AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id
+            FROM payloads
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM firsts
+    """,
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
