@@ -126,3 +126,21 @@ def labelled_sample(
     known = known.filter(remainder("doc_id", held_out[0]) != held_out[1])
     known = bounded_sample(known, "doc_id", rows).select("doc_id", F.col("label").cast("int").alias("label"))
     return documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+
+
+def text_digest() -> Column:
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+
+
+def chosen_documents(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents whose doc_id and text digest are in ``chosen`` (doc_id, digest), with their columns.
+
+    Rows that repeat a doc_id and text cannot be told apart; one of them stays.  ``chosen`` says
+    in ``rows`` how many there are, so that only those are grouped again.
+    """
+    keys = chosen.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("rows").alias("_rows"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_digest() == F.col("_digest"))
+    found = documents.join(keys, same)
+    once = found.filter("_rows = 1").select(*documents.columns)
+    repeated = found.filter("_rows > 1").dropDuplicates(["_doc", "_digest"]).select(*documents.columns)
+    return once.unionByName(repeated)

@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import attach_groups
+from logweave.llm.common import attach_groups, chosen_documents, text_digest
 from logweave.session import materialize, scratch_path
 
 
@@ -53,11 +53,10 @@ class DigestIndex:
 
 def digests(documents: DataFrame) -> DataFrame:
     """doc_id, digest and a number of the row, written once so that the numbers stay the same."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     return materialize(
         documents.select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            F.sha2(text, 256).alias("digest"),
+            text_digest().alias("digest"),
             F.monotonically_increasing_id().alias("row"),
         ),
         "digests",
@@ -114,16 +113,9 @@ def dedup_documents(documents: DataFrame) -> DataFrame:
 
 
 def distinct_documents(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns.
-
-    Rows are found by doc_id and digest.  Only rows that repeat both are grouped again, since
-    they cannot be told apart.
-    """
+    """The documents that stay, with their columns; of repeated rows one stays."""
     found = dedup_documents(documents)
-    stay = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("_rows"))
-    stay = stay.filter("kept").select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_digest"), "_rows")
-    text = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rows = documents.join(stay, documents["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (text == F.col("_digest")))
-    once = rows.filter("_rows = 1").select(*documents.columns)
-    repeated = rows.filter("_rows > 1").dropDuplicates(["_doc", "_digest"]).select(*documents.columns)
-    return once.unionByName(repeated)
+    stay = found.groupBy("doc_id", F.col("text_sha256").alias("digest")).agg(
+        F.max("kept").alias("kept"), F.count("*").alias("rows")
+    )
+    return chosen_documents(documents, stay.filter("kept"))

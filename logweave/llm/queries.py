@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import bpe, exact_dedup, packing, quality_conv, quality_rules, simhash, toxicity, url_filter, warc
+import corpus_pipeline
+from logweave.llm import bpe, exact_dedup, html_extract, packing, quality_conv, quality_rules, simhash, toxicity, url_filter, warc
 from logweave.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,10 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, folder, "documents"))
 
 
+def op1_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, folder, "pages"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
@@ -53,7 +58,12 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.dedup_documents(read_table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_html": op1_html,
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
@@ -63,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {

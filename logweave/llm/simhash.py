@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import WORD, attach_groups, map_rows
+from logweave.llm.common import WORD, attach_groups, chosen_documents, map_rows, text_digest
 from logweave.session import materialize
 
 SHINGLE = 4
@@ -64,13 +64,13 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint as a signed 64-bit number, one row per row."""
+def fingerprints(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep`` and fingerprint as a signed 64-bit number, one row per row."""
 
     def work(texts, _):
         return [(int(np.uint64(fingerprint(text)).astype(np.int64)),) for text in texts]
 
-    return map_rows(documents, ["text"], work, "fingerprint long", keep=("doc_id",))
+    return map_rows(documents, ["text"], work, "fingerprint long", keep=keep)
 
 
 class Forest:
@@ -243,15 +243,9 @@ def components(edges: DataFrame) -> DataFrame:
     return names
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row.
-
-    component_id is the smallest doc_id that links reach, itself included.  Null and wordless
-    texts have the fingerprint zero and are linked like any other.  Repeated rows stay; a null
-    doc_id counts only where a component has no other, and the component_id is null then.  Other
-    columns are not read; an empty table gives an empty result.
-    """
-    rows = materialize(fingerprints(documents), "fingerprints")
+def linked_rows(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows`` (with doc_id and fingerprint) with component_id and root, the component's own mark."""
+    rows = materialize(rows, "fingerprints")
     vertices = materialize(
         rows.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("group_size")), "vertices"
     )
@@ -262,7 +256,27 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     named = materialize(named, "vertex-roots")
     smallest = named.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = materialize(named.join(smallest, "root").select("fingerprint", "group_size", "component_id"), "vertex-components")
-    return attach_groups(rows, named, "fingerprint", rows.count()).select(
+    named = materialize(named.join(smallest, "root").select("fingerprint", "group_size", "component_id", "root"), "vertex-components")
+    return attach_groups(rows, named, "fingerprint", rows.count())
+
+
+def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+
+    component_id is the smallest doc_id that links reach, itself included.  Null and wordless
+    texts have the fingerprint zero and are linked like any other.  Repeated rows stay; a null
+    doc_id counts only where a component has no other, and the component_id is null then.  Other
+    columns are not read; an empty table gives an empty result.
+    """
+    return linked_rows(fingerprints(documents), radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def distinct_documents(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with its columns."""
+    marked = documents.select("doc_id", "text", text_digest().alias("digest"))
+    rows = linked_rows(fingerprints(marked, ("doc_id", "digest")), radius)
+    rows = rows.groupBy("root", F.col("doc_id").cast("long").alias("doc_id"), "digest").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "rows")).alias("first")
+    return chosen_documents(documents, rows.groupBy("root").agg(first).select("first.*"))
