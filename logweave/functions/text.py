@@ -79,8 +79,12 @@ def token_count(text: Column) -> Column:
     )
 
 
+# Characters that count as digits though they are no decimal digits: superscripts, circled digits.
+_OTHER_DIGITS = "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal())
+
+
 def has_digit(token: Column) -> Column:
-    return token.rlike(r"\p{Nd}")
+    return token.rlike(f"[\\p{{Nd}}{_OTHER_DIGITS}]")
 
 
 def literal_count(template_tokens: Column) -> Column:

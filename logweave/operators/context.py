@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from logweave.operators.parsing import log_extent
 
-# Catalogue rows per text page; bounds the text one row carries.
-PAGE_EVENTS = 500
-
 # Prompt texts.
 SYSTEM_PROMPT = (
     "You are a Log Analyst. Your goal is to answer questions as accurately as possible based on "
@@ -45,12 +42,15 @@ def summary_context(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
-def catalogue_pages(catalogue: DataFrame, page_events: int = PAGE_EVENTS) -> DataFrame:
-    """``(log_id, page, events_text)``: the catalogue as ``id,template,count`` lines."""
+def catalogue_pages(catalogue: DataFrame, page_events: int | None = None) -> DataFrame:
+    """``(log_id, page, events_text)``: the catalogue as ``id,template,count`` lines.
+
+    One text holds the whole catalogue, unless the caller sets how many events a page may hold.
+    """
     number = F.substring("EventId", 6, 18).cast("bigint")
     row = F.concat_ws(",", "EventId", "EventTemplate", F.col("Occurrences").cast("string"))
     ordered = F.array_sort(F.collect_list(F.struct(number.alias("number"), row.alias("row"))))
-    return catalogue.groupBy("log_id", F.floor((number - 1) / page_events).alias("page")).agg(
+    return catalogue.groupBy("log_id", (F.floor((number - 1) / page_events) if page_events else F.lit(0)).alias("page")).agg(
         F.array_join(F.transform(ordered, lambda e: e["row"]), "\n").alias("events_text")
     )
 

@@ -62,7 +62,7 @@ def detect_format(lines: DataFrame, k: int = 10, tries: int = 3, seed: int = 0)
     text = strip(F.col("line"))
     # Only the candidates of a line's own log are tested: AND stops at the cheap first part.
     counts = (
-        lookup_join(lines, names, ["log_id"], F.col("line_no"), "inner")
+        lookup_join(lines, names, ["log_id"], "inner")
         .groupBy("log_id")
         .agg(
             F.count("*").alias("n_lines"),
@@ -96,7 +96,6 @@ def parse_detected(lines: DataFrame, detected: DataFrame) -> DataFrame:
         lines.select("log_id", "line_no", "line"),
         detected.select("log_id", "format"),
         ["log_id"],
-        F.col("line_no"),
         "inner",
     )
 

@@ -32,11 +32,10 @@ from logweave.session import lookup_join, materialize
 BLOCK_LINES = 1 << 18
 
 _OUTPUT = (
-    "log_id string, block bigint, kind string, n_tokens int, template string, path string, "
+    "log_id string, block bigint, kind string, n_tokens int, template string, path array<string>, "
     "cluster bigint, first_line bigint, last_line bigint, lines bigint"
 )
 _STATE = ["log_id", "block", "n_tokens", "template", "path", "cluster"]
-_PATH_MARK = "\u0001"
 
 
 class _Leaf:
@@ -133,7 +132,7 @@ def _run_block(texts: pd.DataFrame, state: pd.DataFrame, st: float, key_tokens:
         if width in known_by_width:
             known = known_by_width[width].sort_values("cluster")
             for cluster, path, template in zip(known["cluster"], known["path"], known["template"]):
-                leaf, _ = forest.open(tuple(path.split(_PATH_MARK)) if key_tokens else ())
+                leaf, _ = forest.open(tuple(path))
                 if template is not None:
                     leaf.add(int(cluster), encode(template.split(" ")))
 
@@ -216,9 +215,9 @@ def _run_block(texts: pd.DataFrame, state: pd.DataFrame, st: float, key_tokens:
                 yield "run", width, text, None, cluster, first, last, count
         for cluster, (leaf, place, path) in changed.items():
             template = " ".join(words_of[c] for c in leaf.rows[place])
-            yield "state", width, template, None if path is None else _PATH_MARK.join(path), cluster, None, None, None
+            yield "state", width, template, None if path is None else list(path), cluster, None, None, None
         for line, path in paths:
-            yield "state", width, None, _PATH_MARK.join(path), line, None, None, None
+            yield "state", width, None, list(path), line, None, None, None
 
 
 def _mine_round(blocks: DataFrame, state: DataFrame, st: float, key_tokens: int) -> DataFrame:
@@ -301,7 +300,7 @@ def mine_assignments(
     spark = masked.sparkSession
     empty = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in (
         ("log_id", "string"), ("block", "bigint"), ("n_tokens", "int"),
-        ("template", "string"), ("path", "string"), ("cluster", "bigint"),
+        ("template", "string"), ("path", "array<string>"), ("cluster", "bigint"),
     )))
     heads = block_list.groupBy("log_id").agg(F.min("block").alias("block"))
     outputs = materialize(
@@ -334,7 +333,7 @@ def mine_assignments(
         *keys, "n_tokens", "template", "cluster", "first_line", "last_line", "lines"
     )
     merged = lookup_join(
-        runs, final, ["log_id", "n_tokens", "cluster"], F.xxhash64("block", "template"), "inner"
+        runs, final, ["log_id", "n_tokens", "cluster"], "inner"
     ).drop("cluster")
     alone = texts.filter(~active).select(
         *keys,

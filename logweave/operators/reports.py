@@ -127,6 +127,10 @@ def task_ranking(metrics: DataFrame, model: str) -> DataFrame:
     return means.withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
+def _group_key(keys: list[str]) -> Column:
+    return F.struct(*keys).alias("_key")
+
+
 def quantiles(df: DataFrame, keys: list[str], probabilities: dict[str, float], value: str = "value") -> DataFrame:
     """Exact quantiles with linear interpolation, one column per name.
 
@@ -134,23 +138,24 @@ def quantiles(df: DataFrame, keys: list[str], probabilities: dict[str, float], v
     values of a group are cut into ranges at approximate quantiles, each range is sorted by
     its own task, and range totals place it in the group: no task sees a whole group.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    counted = materialize(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), "values")
+    # One struct for the keys: groups whose key holds a null meet in joins like any other.
+    rows = df.filter(F.col(value).isNotNull()).select(_group_key(keys), value)
+    counted = materialize(rows.groupBy("_key", value).agg(F.count("*").alias("_n")), "values")
     cuts = [i / QUANTILE_RANGES for i in range(1, QUANTILE_RANGES)]
-    groups = counted.groupBy(*keys).agg(
+    groups = counted.groupBy("_key").agg(
         F.sum("_n").alias("_total"), F.percentile_approx(value, cuts, 1000).alias("_cuts")
     )
-    ranged = lookup_join(counted, groups, keys, F.col(value), "inner").withColumn(
+    ranged = lookup_join(counted, groups, ["_key"], "inner").withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     )
-    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size")).select(
-        *keys, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    before = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_key", "_range").agg(F.sum("_n").alias("_size")).select(
+        "_key", "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    inside = W.partitionBy(*keys, "_range").orderBy(value)
+    inside = W.partitionBy("_key", "_range").orderBy(value)
     reached = (
         ranged.withColumn("_reached", F.sum("_n").over(inside))
-        .join(offsets, [*keys, "_range"])
+        .join(offsets, ["_key", "_range"])
         .withColumn("_reached", F.col("_reached") + F.col("_offset"))
     )
 
@@ -163,9 +168,10 @@ def quantiles(df: DataFrame, keys: list[str], probabilities: dict[str, float], v
         share = F.max((F.col("_total") - 1) * p - low)
         return at_rank(low) + (at_rank(high) - at_rank(low)) * share
 
-    return reached.groupBy(*keys).agg(
+    found = reached.groupBy("_key").agg(
         F.max("_total").alias("n_values"), *[quantile(p).alias(name) for name, p in probabilities.items()]
     )
+    return found.select("_key.*", "n_values", *probabilities)
 
 
 def iqr(metrics: DataFrame, keys: list[str]) -> DataFrame:
@@ -181,12 +187,12 @@ def medians(metrics: DataFrame, keys: list[str]) -> DataFrame:
 def with_fences(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Values with the 1.5·IQR fences of their group and an ``outlier`` flag."""
     spread = iqr(metrics, keys).select(
-        *keys,
+        _group_key(keys),
         (F.col("q1") - 1.5 * F.col("iqr")).alias("low"),
         (F.col("q3") + 1.5 * F.col("iqr")).alias("high"),
     )
-    joined = lookup_join(metrics, spread, keys, F.xxhash64("sheet", "value"), "inner")
-    return joined.withColumn("outlier", (F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
+    joined = lookup_join(metrics.withColumn("_key", _group_key(keys)), spread, ["_key"], "inner")
+    return joined.drop("_key").withColumn("outlier", (F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
 
 
 def outliers(metrics: DataFrame, keys: list[str]) -> DataFrame:
@@ -254,4 +260,5 @@ def box_stats(metrics: DataFrame, keys: list[str]) -> DataFrame:
         F.max(inside).alias("whisker_high"),
         F.count_if("outlier").alias("n_outliers"),
     )
-    return boxes.join(whiskers, keys)
+    boxes = boxes.withColumn("_key", _group_key(keys))
+    return boxes.join(whiskers.withColumn("_key", _group_key(keys)).drop(*keys), "_key").drop("_key")

@@ -100,7 +100,7 @@ def bucket_idf(counts: DataFrame, texts: DataFrame) -> DataFrame:
 
 def unit_weights(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     """TF-IDF weights of length one: ``(*keys, bucket, weight)``."""
-    weighted = lookup_join(counts, idf, ["bucket"], F.xxhash64(*keys), "inner").withColumn(
+    weighted = lookup_join(counts, idf, ["bucket"], "inner").withColumn(
         "_w", F.col("n_words") * F.col("idf")
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(*keys)))
@@ -134,8 +134,11 @@ def nearest(
     """
     numbered = materialize(queries.select(F.col(query_id).cast("bigint").alias("query_id"), "vector"), "queries")
     n_slices = -(-numbered.count() // slice_size)
+    if not n_slices:
+        empty = f"{query_id} bigint, {vector_id} bigint, score double, place bigint"
+        return vectors.sparkSession.createDataFrame([], empty)
     found = None
-    for number in range(max(1, n_slices)):
+    for number in range(n_slices):
         part = numbered if n_slices <= 1 else numbered.filter(
             F.pmod(F.xxhash64("query_id"), F.lit(n_slices)) == number
         )

@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 # Names of the routes on both levels.
 ALL, PARTIAL, GENERATION = "all", "partial", "generation"
 SEARCH, EVENT, RETRIEVE = "search", "event", "retrieve"
+ROUTES = (ALL, PARTIAL, GENERATION, SEARCH, EVENT, RETRIEVE)
 
 # What the rules look for; written for both Java and RE2.
 WHOLE_LOG = r"(?i)summar|report|overview|anomal|abnormal|entire log|whole log"
 LOG_TOPIC = r"(?i)\blogs?\b|\blogged\b|\blogin\b|log file|log on|\bevents?\b|\blines?\b|\boccur"
 EVENT_NAME = r"(?i)\bevent ?(\d+)\b"
 CLOCK_TIME = r"\d{2}:\d{2}:\d{2}"
-QUOTED = r"'([^']+)'"
+# Quotes count at the edges of words only, so that an apostrophe inside a word is none.
+QUOTED = r"\B'([^']+)'\B"
+DOUBLE_QUOTED = r"\B\"([^\"]+)\"\B"
 
 ROUTE_SCHEMA = "choice string, keywords array<string>, events array<string>"
 
 
 def question_keywords(question: Column) -> Column:
-    """Quoted strings, then clock times, each once."""
+    """Strings in single quotes, then in double quotes, then clock times, each once."""
     return F.array_distinct(
         F.concat(
             F.regexp_extract_all(question, F.lit(QUOTED), F.lit(1)),
+            F.regexp_extract_all(question, F.lit(DOUBLE_QUOTED), F.lit(1)),
             F.regexp_extract_all(question, F.lit(CLOCK_TIME), F.lit(0)),
         )
     )
@@ -35,16 +39,21 @@ def question_events(question: Column) -> Column:
     return F.array_distinct(F.transform(numbers, lambda n: F.concat(F.lit("Event"), n)))
 
 
+def _quoted(question: Column) -> Column:
+    return question.rlike(QUOTED) | question.rlike(DOUBLE_QUOTED)
+
+
 def first_route(question: Column) -> Column:
-    """Whole log, part of the log, or no log."""
+    """Whole log, part of the log, or no log; what is quoted does not speak of the whole log."""
+    unquoted = F.regexp_replace(F.regexp_replace(question, QUOTED, " "), DOUBLE_QUOTED, " ")
     partial = (
         question.rlike(EVENT_NAME)
         | question.rlike(CLOCK_TIME)
-        | question.rlike(QUOTED)
+        | _quoted(question)
         | question.rlike(LOG_TOPIC)
     )
     return (
-        F.when(question.rlike(WHOLE_LOG), F.lit(ALL))
+        F.when(unquoted.rlike(WHOLE_LOG), F.lit(ALL))
         .when(partial, F.lit(PARTIAL))
         .otherwise(F.lit(GENERATION))
     )
@@ -54,7 +63,7 @@ def second_route(question: Column) -> Column:
     """By event name, by keyword, or by similarity."""
     return (
         F.when(question.rlike(EVENT_NAME), F.lit(EVENT))
-        .when(question.rlike(QUOTED) | question.rlike(CLOCK_TIME), F.lit(SEARCH))
+        .when(_quoted(question) | question.rlike(CLOCK_TIME), F.lit(SEARCH))
         .otherwise(F.lit(RETRIEVE))
     )
 
@@ -74,13 +83,17 @@ def route_questions(questions: DataFrame) -> DataFrame:
 
 
 def parse_route_json(answers: DataFrame, column: str = "json") -> DataFrame:
-    """Read a router's JSON answer; a malformed one gives null and falls back to no log."""
+    """Read a router's JSON answer.
+
+    ``usable`` says whether the choice is a route; a malformed answer gives null, and neither it
+    nor an unknown choice is usable: such questions are answered without the log.
+    """
     parsed = F.from_json(F.col(column), ROUTE_SCHEMA)
     return (
         answers.withColumn("_route", parsed)
         .withColumn("choice", F.col("_route.choice"))
         .withColumn("keywords", F.col("_route.keywords"))
         .withColumn("events", F.col("_route.events"))
-        .withColumn("usable", F.col("choice").isNotNull())
+        .withColumn("usable", F.coalesce(F.lower("choice").isin(*ROUTES), F.lit(False)))
         .drop("_route")
     )

@@ -109,7 +109,7 @@ def _words_by_gram(lines: DataFrame, words: DataFrame) -> DataFrame:
     # The one-row generator keeps the lowered text from being computed again for every gram.
     lowered = lines.select("log_id", "line_no", F.explode(F.array(text)).alias("_text"))
     rows = lowered.select("log_id", "line_no", "_text", F.explode(pieces).alias("gram"))
-    met = lookup_join(rows, keyed, ["gram"], F.xxhash64("log_id", "line_no"), "inner")
+    met = lookup_join(rows, keyed, ["gram"], "inner")
     held = F.filter("_candidates", lambda w: F.contains(F.col("_text"), w))
     return (
         met.select("log_id", "line_no", F.explode(held).alias("word"))
@@ -157,7 +157,7 @@ class KeywordSets:
         """Lines that hold ``word`` and none of ``earlier``, for each distinct pair in ``roles``."""
         rows = self.held.select("log_id", "line_no", "words", F.explode("words").alias("word"))
         paired = roles.groupBy("word").agg(F.collect_set("earlier").alias("_roles"))
-        met = lookup_join(rows, paired, ["word"], F.xxhash64("log_id", "line_no"), "inner")
+        met = lookup_join(rows, paired, ["word"], "inner")
         return met.select("log_id", "line_no", "words", "word", F.explode("_roles").alias("earlier")).filter(
             ~F.arrays_overlap("words", "earlier")
         )
@@ -170,42 +170,46 @@ class KeywordSets:
         return found.join(text, ["log_id", "line_no"]).select("set_key", "log_id", "line_no", "line")
 
     def capped(self, cap: int = KEYWORD_CAP) -> DataFrame:
-        """``(set_key, place, line_no, line, n_matched, trimmed)``: first lines and true total.
+        """``(set_key, log_id, place, line_no, line, n_matched, trimmed)``: first lines and true total per log.
 
         The first lines of a set are among the first lines of its words, and words with many
-        lines are listed once for all sets.  ``lines`` must hold one log.
+        lines are listed once for all sets.
         """
         later = self.members.filter(F.size("earlier") > 0)
-        extra = self._new_lines(later.select("word", "earlier").distinct()).groupBy("word", "earlier").agg(
+        extra = self._new_lines(later.select("word", "earlier").distinct()).groupBy("log_id", "word", "earlier").agg(
             F.count("*").alias("n_new")
         )
-        n_new = F.when(F.size("earlier") == 0, F.col("n_lines")).otherwise(F.coalesce("n_new", F.lit(0)))
+        in_log = self.held.select("log_id", F.explode("words").alias("word")).groupBy("log_id", "word").agg(
+            F.count("*").alias("n_log")
+        )
+        n_new = F.when(F.size("earlier") == 0, F.col("n_log")).otherwise(F.coalesce("n_new", F.lit(0)))
         totals = (
-            self.members.join(extra, ["word", "earlier"], "left")
-            .groupBy("set_key")
+            self.members.join(in_log, "word")
+            .join(extra, ["log_id", "word", "earlier"], "left")
+            .groupBy("set_key", "log_id")
             .agg(F.sum(n_new).alias("n_matched"))
         )
-        by_line = W.partitionBy("word").orderBy("line_no")
+        by_line = W.partitionBy("log_id", "word").orderBy("line_no")
         firsts = materialize(
-            self.held.select("line_no", F.explode("words").alias("word"))
+            self.held.select("log_id", "line_no", F.explode("words").alias("word"))
             .withColumn("_place", F.row_number().over(by_line))
             .filter(F.col("_place") <= cap)
-            .select("word", "line_no"),
+            .select("log_id", "word", "line_no"),
             "first_lines",
         )
-        wanted = firsts.select("line_no").distinct()
+        wanted = firsts.select("log_id", "line_no").distinct()
         text = lookup_join(
-            self.lines.select("line_no", strip(F.col("line")).alias("line")), wanted, ["line_no"], F.col("line_no"), "inner"
+            self.lines.select("log_id", "line_no", strip(F.col("line")).alias("line")), wanted, ["log_id", "line_no"], "inner"
         )
-        in_set = W.partitionBy("set_key").orderBy("line_no")
+        in_set = W.partitionBy("set_key", "log_id").orderBy("line_no")
         return (
             self.members.join(firsts, "word")
-            .select("set_key", "line_no")
+            .select("set_key", "log_id", "line_no")
             .distinct()
             .withColumn("place", F.row_number().over(in_set).cast("bigint"))
             .filter(F.col("place") <= cap)
-            .join(totals, "set_key")
-            .join(text, "line_no")
+            .join(totals, ["set_key", "log_id"])
+            .join(text, ["log_id", "line_no"])
             .withColumn("trimmed", F.col("n_matched") >= cap)
         )
 
@@ -221,7 +225,7 @@ def event_lookup(catalogue: DataFrame, events: Iterable[str]) -> DataFrame:
 
 def event_hits(structured: DataFrame, wanted: DataFrame) -> DataFrame:
     """Lines of all events named in ``wanted(EventId)``, each line once."""
-    return lookup_join(structured, wanted.select("EventId").distinct(), ["EventId"], F.col("line_no"), "left_semi")
+    return lookup_join(structured, wanted.select("EventId").distinct(), ["EventId"], "left_semi")
 
 
 def event_lines(structured: DataFrame) -> DataFrame:
@@ -258,4 +262,4 @@ def mentions(answers: DataFrame, text: str = "text") -> DataFrame:
 def mention_lines(answers: DataFrame, structured: DataFrame, text: str = "text") -> DataFrame:
     """Lines of every mentioned event, each event once, with the number of texts naming it."""
     named = mentions(answers, text).groupBy("EventId").agg(F.count("*").alias("n_mentions"))
-    return lookup_join(structured, named, ["EventId"], F.col("line_no"), "inner")
+    return lookup_join(structured, named, ["EventId"], "inner")

@@ -52,7 +52,7 @@ def number_events(found: DataFrame) -> DataFrame:
 def attach_events(templated: DataFrame, events: DataFrame) -> DataFrame:
     """Give each line its ``EventId`` and ``EventTemplate``."""
     names = events.select("log_id", F.col("EventTemplate").alias("template"), "EventId")
-    return lookup_join(templated, names, ["log_id", "template"], F.col("line_no")).withColumnRenamed(
+    return lookup_join(templated, names, ["log_id", "template"]).withColumnRenamed(
         "template", "EventTemplate"
     )
 
@@ -69,7 +69,7 @@ def with_parameters(structured: DataFrame, events: DataFrame, content: str = "Co
         T.parameter_pattern(template).alias("_pattern"),
         T.wildcard_count(template).alias("_gaps"),
     )
-    joined = lookup_join(structured, patterns, ["log_id", "EventId"], F.col("line_no"))
+    joined = lookup_join(structured, patterns, ["log_id", "EventId"])
     found = T.parameters(F.col(content), F.col("_pattern"), F.col("_gaps"))
     return joined.withColumn("ParameterList", found).drop("_pattern", "_gaps")
 
@@ -129,7 +129,7 @@ def match_catalogue(lines: DataFrame, events: DataFrame, st: float) -> DataFrame
     )
     keys = ["log_id", "n_tokens", "template"]
     texts = lines.groupBy(*keys).agg(F.min("line_no").alias("_first")).withColumn("_own", F.split("template", " "))
-    joined = lookup_join(texts, lists, ["log_id", "n_tokens"], F.col("_first"), "inner")
+    joined = lookup_join(texts, lists, ["log_id", "n_tokens"], "inner")
     scored = F.transform(
         F.col("_events"),
         lambda e: F.struct(T.matched_literals(e["tokens"], F.col("_own")).alias("hits"), e["wildcards"], e["age"]),
@@ -145,4 +145,4 @@ def match_catalogue(lines: DataFrame, events: DataFrame, st: float) -> DataFrame
         )
     )
     named = best.join(events.select("log_id", "EventId", "EventTemplate"), ["log_id", "EventId"])
-    return lookup_join(lines, named, keys, F.col("line_no"))
+    return lookup_join(lines, named, keys)

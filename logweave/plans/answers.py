@@ -26,7 +26,7 @@ def search_answers(routed: DataFrame, lines: DataFrame) -> DataFrame:
     found = capped.groupBy("set_key").agg(
         F.max("n_matched").alias("n_matched"), F.max("trimmed").alias("trimmed"), _ordered("place").alias("context")
     )
-    return lookup_join(asked, found, ["set_key"], F.col("question_id"), "inner").select(*_ANSWER)
+    return lookup_join(asked, found, ["set_key"], "inner").select(*_ANSWER)
 
 
 def event_answers(routed: DataFrame, structured: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -48,7 +48,6 @@ def event_answers(routed: DataFrame, structured: DataFrame, catalogue: DataFrame
         structured.select("EventId", "line_no", "line"),
         sets.select("EventId").distinct(),
         ["EventId"],
-        F.col("line_no"),
         "left_semi",
     )
     first = (
@@ -61,7 +60,7 @@ def event_answers(routed: DataFrame, structured: DataFrame, catalogue: DataFrame
         .agg(_ordered("place").alias("context"))
     )
     found = first.join(totals, "set_key").withColumn("trimmed", F.col("n_matched") >= EVENT_CAP)
-    return lookup_join(asked, found, ["set_key"], F.col("question_id"), "inner").select(*_ANSWER)
+    return lookup_join(asked, found, ["set_key"], "inner").select(*_ANSWER)
 
 
 def retrieved_answers(routed: DataFrame, lines: DataFrame, k: int = retrieval.TOP_K) -> DataFrame:
@@ -84,7 +83,7 @@ def retrieved_answers(routed: DataFrame, lines: DataFrame, k: int = retrieval.TO
         .groupBy("query_id")
         .agg(F.count("*").alias("n_matched"), F.lit(False).alias("trimmed"), _ordered("place").alias("context"))
     )
-    return lookup_join(asked, found, ["query_id"], F.col("question_id"), "inner").select(*_ANSWER)
+    return lookup_join(asked, found, ["query_id"], "inner").select(*_ANSWER)
 
 
 def answer_questions(

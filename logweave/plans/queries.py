@@ -88,10 +88,21 @@ def _joined(items: str, mark: str = "|") -> Column:
 
 @query
 def read_text_log(spark, folder):
-    """Lines written as text files and read back with their place in the file."""
+    """Lines written as text files, one per day, and read back with their place in the file."""
     path = scratch_path(spark, "text")
-    _lines(spark, folder).select("line").write.mode("overwrite").text(path)
-    return read_log_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
+    day = F.substring("line", 1, 10).alias("day")
+    dated = _lines(spark, folder).select("line_no", "line", day)
+    # One file per day, so that its numbers are known.
+    dated.repartition("day").sortWithinPartitions("day", "line_no").select("day", "line").write.partitionBy(
+        "day"
+    ).text(path)
+    return read_log_lines(spark, path).groupBy(F.regexp_extract("log_id", "^day=([^/]*)/", 1).alias("day")).agg(
+        F.count("*").alias("n"),
+        F.min("line_no").alias("first"),
+        F.max("line_no").alias("last"),
+        F.count_distinct("line_no").alias("numbers"),
+        F.md5(F.array_join(F.array_sort(F.collect_set(F.md5(F.concat_ws(":", "line_no", "line")))), "")).alias("lines_md5"),
+    )
 
 
 @query
@@ -606,6 +617,12 @@ def top_categories(spark, folder):
     return _rounded(ranked.filter(F.col("place") <= 3))
 
 
+@query
+def total_improvement(spark, folder):
+    means = reports.category_mean(_metrics(spark, folder))
+    return _rounded(reports.total_improvement(reports.category_improvement(means, BASELINE)))
+
+
 @query
 def model_means(spark, folder):
     return _rounded(reports.model_means(_metrics(spark, folder)))

@@ -96,10 +96,12 @@ questions AS (
     WHEN 6 THEN 'What is a Brute Force Attack?'
     WHEN 7 THEN 'Which users are named in the event ' || (c % 9 + 1) || ' and in Event' || (t % 9 + 1) || '?'
     WHEN 8 THEN 'What are ''user ' || (c % 150) || ''' and ''ERROR'' in this log?'
-    ELSE text END AS question
+    ELSE '' END || ' ' || text AS question
   FROM asked)"""
 
-_EVENT, _CLOCK, _QUOTE = map(_quoted, (routing.EVENT_NAME, routing.CLOCK_TIME, routing.QUOTED))
+_EVENT, _CLOCK, _QUOTE, _DOUBLE = map(
+    _quoted, (routing.EVENT_NAME, routing.CLOCK_TIME, routing.QUOTED, routing.DOUBLE_QUOTED)
+)
 
 
 def _distinct(items: str) -> str:
@@ -107,23 +109,26 @@ def _distinct(items: str) -> str:
 
 
 _ALL_KEYWORDS = (
-    f"list_concat(regexp_extract_all(question, {_QUOTE}, 1), regexp_extract_all(question, {_CLOCK}))"
+    f"list_concat(list_concat(regexp_extract_all(question, {_QUOTE}, 1), regexp_extract_all(question, {_DOUBLE}, 1)), "
+    f"regexp_extract_all(question, {_CLOCK}))"
 )
 _ALL_EVENTS = f"list_transform(regexp_extract_all(question, {_EVENT}, 1), lambda x: 'Event' || x)"
 
 ROUTED = f"""{QUESTIONS},
 level1 AS (
   SELECT *, CASE
-    WHEN regexp_matches(question, {_quoted(routing.WHOLE_LOG)}) THEN 'all'
+    WHEN regexp_matches(regexp_replace(regexp_replace(question, {_QUOTE}, ' ', 'g'), {_DOUBLE}, ' ', 'g'),
+      {_quoted(routing.WHOLE_LOG)}) THEN 'all'
     WHEN regexp_matches(question, {_EVENT}) OR regexp_matches(question, {_CLOCK})
-      OR regexp_matches(question, {_QUOTE}) OR regexp_matches(question, {_quoted(routing.LOG_TOPIC)}) THEN 'partial'
+      OR regexp_matches(question, {_QUOTE}) OR regexp_matches(question, {_DOUBLE})
+      OR regexp_matches(question, {_quoted(routing.LOG_TOPIC)}) THEN 'partial'
     ELSE 'generation' END AS level1
   FROM questions),
 level2 AS (
   SELECT *, CASE
     WHEN level1 <> 'partial' THEN NULL
     WHEN regexp_matches(question, {_EVENT}) THEN 'event'
-    WHEN regexp_matches(question, {_CLOCK}) OR regexp_matches(question, {_QUOTE}) THEN 'search'
+    WHEN regexp_matches(question, {_CLOCK}) OR regexp_matches(question, {_QUOTE}) OR regexp_matches(question, {_DOUBLE}) THEN 'search'
     ELSE 'retrieve' END AS level2
   FROM level1),
 routed AS (
@@ -166,7 +171,7 @@ ANSWERS_WIDE = f"""wide AS (
     d.text AS "copy", b.text AS bench,
     CASE WHEN b.text IS NULL THEN d.text ELSE b.text || ' ' || d.text END AS joined,
     CASE WHEN l.quality = 1 THEN d.text END AS labelled
-  FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40 LEFT JOIN labels l ON l.doc_id = d.doc_id),
+  FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark) LEFT JOIN labels l ON l.doc_id = d.doc_id),
 answers AS (
   SELECT sheet, question_id, category, expected, model, answer
   FROM (SELECT * FROM wide WHERE NOT starts_with(sheet, '---'))
@@ -292,12 +297,17 @@ SUMMARY = """extent AS (
   FROM lines GROUP BY log_id),
 whole AS (SELECT *, (SELECT count(*) FROM catalogue) AS n_events FROM extent),
 pages AS (
-  SELECT (number - 1) // 500 AS page,
+  SELECT 0::BIGINT AS page,
     string_agg(EventId || ',' || EventTemplate || ',' || Occurrences, chr(10) ORDER BY number) AS events_text
-  FROM catalogue GROUP BY 1)"""
+  FROM catalogue)"""
 
 SQL: dict[str, str] = {
-    "read_text_log": f"WITH {LINES} SELECT line, count(*) AS n FROM lines GROUP BY line",
+    "read_text_log": f"""WITH {LINES}, days AS (
+        SELECT substr(line, 1, 10) AS day, row_number() OVER (PARTITION BY substr(line, 1, 10) ORDER BY line_no) AS place, line
+        FROM lines)
+        SELECT day, count(*) AS n, 1::BIGINT AS first, count(*) AS last, count(*) AS numbers,
+          md5(string_agg(h, '' ORDER BY h)) AS lines_md5
+        FROM (SELECT *, md5(place || ':' || line) AS h FROM days) GROUP BY day""",
     "parse_lines": f"WITH {PARSED} SELECT line_no, Date, Time, Level, Component, Content FROM parsed",
     "line_ids": f"WITH {PARSED} SELECT line_no, row_number() OVER (ORDER BY line_no) AS LineId FROM parsed",
     "rejected_lines": f"WITH {LINES} SELECT line_no, line FROM lines WHERE NOT regexp_matches(line, {RX})",
@@ -475,6 +485,8 @@ SQL: dict[str, str] = {
         SELECT category, avg(improvement) AS improvement FROM category_improved GROUP BY category),
         r AS (SELECT *, row_number() OVER (ORDER BY improvement DESC, category) AS place FROM a)
         SELECT category, round(improvement, 6) AS improvement, place FROM r WHERE place <= 3""",
+    "total_improvement": f"""WITH {METRICS} SELECT metric, round(avg(improvement), 6) AS improvement
+        FROM category_improved GROUP BY metric""",
     "model_means": f"""WITH {METRICS} SELECT model, metric, round(value, 6) AS value,
         row_number() OVER (PARTITION BY metric ORDER BY value DESC, model) AS place FROM model_mean""",
     "overall_improvement": f"""WITH {METRICS}, d AS (

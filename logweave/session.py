@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Largest lookup table that is sent to every executor.
@@ -61,20 +61,16 @@ def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
     keys: list[str],
-    spread: Column,
     how: str = "left",
-    salts: int = 32,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join many rows to a lookup table, also where one key holds most of the rows.
 
     The lookup is written first, so that its size is known.  Up to ``broadcast_bytes`` it is
-    broadcast and the rows are not shuffled.  Beyond, the rows of a key are spread over
-    ``salts`` tasks and each lookup row is repeated once per salt.
+    broadcast and the rows are not shuffled.  Beyond, both sides are shuffled by the keys, and
+    adaptive execution splits the partitions of hot keys; nothing is repeated beforehand.
     """
     lookup, size = materialize_sized(lookup, "lookup")
     if size <= broadcast_bytes:
         return rows.join(F.broadcast(lookup), keys, how)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    return rows.join(lookup.hint("merge"), keys, how)

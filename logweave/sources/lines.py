@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.session import lookup_join
+from logweave.session import lookup_join, materialize
 
 # Rows per numbering bucket: bounds the rows any one task sorts.
 BUCKET_ROWS = 1 << 20
 
 
+def _plain_path(path: Column) -> Column:
+    """A file's path without scheme and URL escapes."""
+    whole = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+    return F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B")))
+
+
+def _name_below(path: Column, roots: list[str]) -> Column:
+    """The path below the root it was read from; the file's own name where the root is the file."""
+    name = path
+    for root in roots:
+        root = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root)
+        folder = re.split(r"[*?\[{]", root)[0]
+        if folder != root:
+            folder = folder[: folder.rfind("/")]
+        folder = (folder if folder.startswith("/") else os.path.abspath(folder)).rstrip("/")
+        name = (
+            F.when(path == F.lit(folder), F.element_at(F.split(path, "/"), -1))
+            .when(path.startswith(folder + "/"), F.substring(path, len(folder) + 2, 1 << 30))
+            .otherwise(name)
+        )
+    return name
+
+
 def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(log_id, line_no, line)`` for text files; ``log_id`` is the file name.
+    """``(log_id, line_no, line)`` for text files; ``log_id`` is the path below the one that is read.
 
     Each file split is read by one task in order, so the number of a line is its place in
-    the split plus the lines of the file's earlier splits.  Only one row per split is
-    shuffled; the lines themselves stay where they are read.
+    the split plus the lines of the file's earlier splits.  The files are read once, into a
+    scratch table that keeps each line's split and place: how a later job cuts the files makes no
+    difference.  Only one row per split is shuffled.  A line whose split has no offset is an
+    error, not a line less.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_row"),
-        F.col("value").alias("line"),
+    lines = materialize(
+        spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_row"),
+            F.col("value").alias("line"),
+        ),
+        "log_lines",
     )
     splits = lines.groupBy("_file", "_start").agg(
         F.min("_row").alias("_first"), F.count("*").alias("_lines")
@@ -34,9 +65,10 @@ def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "_start",
         (F.coalesce(F.sum("_lines").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_shift"),
     )
-    return lookup_join(lines, offsets, ["_file", "_start"], F.col("_row"), "inner").select(
-        F.element_at(F.split("_file", "/"), -1).alias("log_id"),
-        (F.col("_row") + F.col("_shift")).alias("line_no"),
+    known = F.coalesce("_shift", F.raise_error(F.concat(F.lit("no offset for a split of "), "_file")).cast("bigint"))
+    return lookup_join(lines, offsets, ["_file", "_start"], "left").select(
+        _name_below(_plain_path(F.col("_file")), [path] if isinstance(path, str) else list(path)).alias("log_id"),
+        (F.col("_row") + known).alias("line_no"),
         "line",
     )
 

@@ -50,7 +50,8 @@ def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
 def log_questions(spark: SparkSession, folder: str) -> DataFrame:
     """``(question_id, question)``: one question per user turn of the conversations.
 
-    Nine kinds of question about the rendered log, and the user's own words as the tenth.
+    Nine kinds of question about the rendered log, each followed by the user's own words; the
+    tenth kind is these words alone.
     """
     turns = spark.read.parquet(f"{folder}/conversations.parquet").filter(F.col("role") == "user")
     conv, turn = F.col("conv_id"), F.col("turn")
@@ -79,10 +80,10 @@ def log_questions(spark: SparkSession, folder: str) -> DataFrame:
         ),
         F.concat(F.lit("What are 'user "), number(conv % 150), F.lit("' and 'ERROR' in this log?")),
     )
-    question = F.col("text")
+    question = F.lit("")
     for kind, text in enumerate(questions):
         question = F.when((conv * 7 + turn) % 10 == kind, text).otherwise(question)
-    return turns.select((conv * 1000 + turn).alias("question_id"), question.alias("question"))
+    return turns.select((conv * 1000 + turn).alias("question_id"), F.concat_ws(" ", question, "text").alias("question"))
 
 
 def event_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +108,7 @@ def document_answers(spark: SparkSession, folder: str, categories: tuple[str, ..
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
     category = F.element_at(F.array(*map(F.lit, categories)), (F.col("doc_id") % len(categories) + 1).cast("int"))
     return (
-        lookup_join(documents.withColumn("item_id", F.col("doc_id") % 40), items, ["item_id"], F.col("doc_id"))
+        lookup_join(documents.withColumn("item_id", F.col("doc_id") % items.count()), items, ["item_id"])
         .join(labels, "doc_id", "left")
         .select(
             F.when(F.col("lang") == "es", F.lit("---es")).otherwise(F.col("lang")).alias("sheet"),

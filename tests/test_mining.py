@@ -113,3 +113,11 @@ def test_rendered_log_gives_the_sequential_result(spark):
     assert [r.template for r in got] == expected
     events = {r.EventTemplate: (r.EventId, r.Occurrences) for r in mining.mined_catalogue(found).collect()}
     assert events == expected_events(expected)
+
+
+def test_control_characters_in_key_tokens(spark):
+    texts = ["a\u0001b c d 1", "x y z", "a\u0001b c d 2", "a\u0001b c d 3", "a b\u0001c d 1", "a b\u0001c d 2"]
+    expected = mine(texts, 0.5, 5)
+    for block_lines in (1, 2, 1 << 18):
+        got, _ = mine_with_spark(spark, {"l": texts}, 0.5, 5, block_lines)
+        assert got["l"] == expected, block_lines

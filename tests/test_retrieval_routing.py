@@ -77,14 +77,47 @@ def test_routes_of_sample_questions(spark):
 
 
 def test_router_json(spark):
-    texts = ['{"choice": "search", "keywords": ["a"]}', '{"choice": "event", "events": ["Event1"]}', "no json", "{}", None]
+    texts = ['{"choice": "search", "keywords": ["a"]}', '{"choice": "event", "events": ["Event1"]}', "no json", "{}", None, '{"choice": "banana"}']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, json string")
     rows = routing.parse_route_json(df).orderBy("id").collect()
-    assert [r.choice for r in rows] == ["search", "event", None, None, None]
-    assert [r.usable for r in rows] == [True, True, False, False, False]
+    assert [r.choice for r in rows] == ["search", "event", None, None, None, "banana"]
+    assert [r.usable for r in rows] == [True, True, False, False, False, False]
     assert rows[0].keywords == ["a"] and rows[1].events == ["Event1"]
 
 
+def test_quotes_and_routes(spark):
+    cases = {
+        "What's in the log and who's logged on?": ("Partial > Retrieve", []),
+        "How many times does 'error report' occur in the log?": ("Partial > Search", ["error report"]),
+        "What is 'summary.txt' in this log?": ("Partial > Search", ["summary.txt"]),
+        'Where is "ALERT" and \'a\',\'b\'?': ("Partial > Search", ["a", "b", "ALERT"]),
+        "Give a summary of 'x'": ("All", []),
+        "It's the dogs' owners' report": ("All", []),
+    }
+    df = spark.createDataFrame([(q,) for q in cases], "question string")
+    found = {r.question: (r.route, r.keywords) for r in routing.route_questions(df).collect()}
+    assert found == cases
+
+
+@pytest.mark.parametrize("question", ["What is the event Event1?", "Where is 'Boom' in the log?", "Summarize the log.", "Who are you?", "Which log line is it?"])
+def test_batches_with_one_route(spark, question):
+    structured = spark.createDataFrame([("l", 1, "Boom here", "Event1")], SCHEMA + ", EventId string")
+    catalogue = spark.createDataFrame(
+        [("l", "Event1", "Boom here", 1)], "log_id string, EventId string, EventTemplate string, Occurrences bigint"
+    )
+    asked = spark.createDataFrame([(1, question)], "question_id bigint, question string")
+    rows = answer_questions(asked, structured.select("log_id", "line_no", "line"), structured, catalogue).collect()
+    assert len(rows) == 1
+    none = asked.limit(0)
+    assert answer_questions(none, structured.select("log_id", "line_no", "line"), structured, catalogue).count() == 0
+
+
+def test_nearest_without_queries(spark):
+    vectors = spark.createDataFrame([(1, [0.5, 1.0])], "vec_id bigint, vector array<double>")
+    found = retrieval.nearest(vectors, vectors.limit(0).withColumnRenamed("vec_id", "query_id"))
+    assert found.columns == ["query_id", "vec_id", "score", "place"] and found.count() == 0
+
+
 def test_answers(spark):
     texts = [f"ok {i}" for i in range(160)] + ["Boom at 03:28:22", "rare thing here"]
     rows = [("l", i + 1, t, "Event1" if i < 160 else f"Event{i - 158}") for i, t in enumerate(texts)]

@@ -160,3 +160,13 @@ def test_pivots(spark, cosine):
     assert by_model["ROUGE-1 F1 (Root Cause Analysis)"] is None
     back = reports.wide_to_metrics(wide.drop("position"))
     assert back.exceptAll(cosine.select(back.columns)).count() == 0 and back.count() == 140
+
+
+def test_groups_with_a_null_key_stay(spark):
+    rows = [("s", None, 1.0), ("s", None, 2.0), ("s", None, 90.0), ("s", "b", 3.0)] + [("s", None, 1.5)] * 5
+    df = spark.createDataFrame(rows, "sheet string, category string, value double")
+    found = {r.category: (r.n_values, r.median) for r in reports.medians(df, ["category"]).collect()}
+    assert found == {None: (8, 1.5), "b": (1, 3.0)}
+    shares = {r.category: (r.n_values, r.n_outliers) for r in reports.outlier_share(df, ["category"]).collect()}
+    assert shares[None][0] == 8 and shares[None][1] >= 1 and shares["b"] == (1, 0)
+    assert reports.box_stats(df, ["category"]).count() == 2

@@ -57,6 +57,20 @@ def test_keyword_sets_against_brute_force(spark, inline_words):
         assert sorted(capped.get(keys[number], [])) == shown
 
 
+def test_capped_keeps_logs_apart(spark):
+    rows = [("a", 1, "error a1"), ("a", 2, "nothing a2"), ("b", 1, "nothing b1"), ("b", 2, "ERROR b2"), ("b", 3, "error warn b3")]
+    lines = spark.createDataFrame(rows, SCHEMA)
+    asked = spark.createDataFrame([(1, ["error"]), (2, ["warn", "Error"])], "question_id bigint, keywords array<string>")
+    found = search.KeywordSets(lines, asked).capped(5).collect()
+    got = {}
+    for r in found:
+        got.setdefault((r.set_key, r.log_id), []).append((r.place, r.line, r.n_matched))
+    both = {"a": [(1, "error a1", 1)], "b": [(1, "ERROR b2", 2), (2, "error warn b3", 2)]}
+    assert len(got) == 4
+    for (_, log), hits in got.items():
+        assert sorted(hits) == both[log]
+
+
 def test_mentions_in_first_seen_order(spark):
     df = spark.createDataFrame([(1, "Event2 and Event1, Event2, myEvent3"), (2, "none")], "id int, text string")
     assert [(r.id, r.place, r.EventId) for r in search.mentions(df).collect()] == [(1, 0, "Event2"), (1, 1, "Event1")]
@@ -78,7 +92,7 @@ def test_event_lines_and_pages(spark):
 def test_lookup_join_beyond_the_broadcast_bound(spark):
     rows = spark.range(1000).withColumn("k", F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 7))
     lookup = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k bigint, v string")
-    small = lookup_join(rows, lookup, ["k"], F.col("id"))
-    large = lookup_join(rows, lookup, ["k"], F.col("id"), broadcast_bytes=0)
+    small = lookup_join(rows, lookup, ["k"])
+    large = lookup_join(rows, lookup, ["k"], broadcast_bytes=0)
     order = lambda df: sorted((r.id, r.k, r.v) for r in df.select("id", "k", "v").collect())
     assert order(small) == order(large) and large.count() == 1000

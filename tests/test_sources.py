@@ -29,6 +29,33 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     assert [(r.line_no, r.line) for r in rows if r.log_id == "small.log"] == [(1, "only")]
 
 
+def test_a_changed_split_plan_loses_no_line(spark, tmp_path):
+    count = 600_000
+    (tmp_path / "big.log").write_text("".join(f"line {i}\n" for i in range(1, count + 1)))
+    setting = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(setting)
+    lines = read_log_lines(spark, str(tmp_path))
+    spark.conf.set(setting, "1m")
+    try:
+        right = F.col("line") == F.concat(F.lit("line "), F.col("line_no"))
+        row = lines.agg(F.count("*").alias("n"), F.count_if(right).alias("right"), F.count_distinct("line_no").alias("d")).first()
+    finally:
+        spark.conf.set(setting, old)
+    assert tuple(row) == (count, count, count)
+
+
+def test_logs_of_equal_names_stay_apart(spark, tmp_path):
+    for folder, text in (("a", "x\ny\n"), ("b", "z\n"), ("c d+e%", "w\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "app.log").write_text(text)
+    rows = read_log_lines(spark, str(tmp_path / "*" / "app.log")).collect()
+    assert sorted((r.log_id, r.line_no, r.line) for r in rows) == [
+        ("a/app.log", 1, "x"), ("a/app.log", 2, "y"), ("b/app.log", 1, "z"), ("c d+e%/app.log", 1, "w"),
+    ]
+    single = read_log_lines(spark, [f"file://{tmp_path}/b/app.log"]).collect()
+    assert [(r.log_id, r.line_no) for r in single] == [("app.log", 1)]
+
+
 def test_contiguous_ids_with_small_buckets(spark):
     df = spark.range(0, 500, 7).select((F.col("id") % 3).alias("k"), "id")
     rows = contiguous_ids(df, "k", "id", "n", bucket_rows=20).collect()
