@@ -80,6 +80,56 @@ parameters AS (
     CASE WHEN regexp_matches(Content, pattern) THEN gaps ELSE 0 END AS n_parameters
   FROM patterned)"""
 
+# Mining line by line: one walk per number of tokens, with the list of clusters as its state.  ``c``
+# holds the clusters (k: first token of the branch, t: tokens), ``own`` the cluster of the line.
+# One token is the branch key, and lines of one token are their own templates.
+MINED = f"""{PARSED},
+light AS (SELECT *, {LIGHT_MASK} AS t FROM parsed),
+grouped AS (
+  SELECT len(string_split(t, ' ')) AS n, list(t ORDER BY line_no) AS texts, list(line_no ORDER BY line_no) AS nos
+  FROM light WHERE len(string_split(t, ' ')) > 1 GROUP BY 1),
+walk AS (
+  SELECT n, 0::BIGINT AS i, 0::BIGINT AS own, []::STRUCT(k VARCHAR, t VARCHAR[])[] AS c FROM grouped
+  UNION ALL
+  SELECT n, i + 1,
+    CASE WHEN found THEN place ELSE len(c) + 1 END,
+    CASE WHEN found
+      THEN list_transform(c, lambda x, j: CASE WHEN j = place THEN {{'k': x.k, 't': list_transform(x.t, lambda y, p:
+             CASE WHEN y = b[p] THEN y ELSE '<*>' END)}} ELSE x END)
+      ELSE list_append(c, {{'k': CASE WHEN list_contains(kids, b[1]) THEN b[1]
+             WHEN regexp_matches(b[1], '[0-9]') OR len(kids) >= CASE WHEN list_contains(kids, '<*>') THEN 100 ELSE 99 END
+             THEN '<*>' ELSE b[1] END, 't': b}}) END
+  FROM (
+    SELECT *, best // 1000000000 >= 0.5 * n AND best >= 0 AS found, list_position(scores, best)::BIGINT AS place
+    FROM (
+      SELECT *, coalesce(list_max(scores), -1) AS best
+      FROM (
+        SELECT *, list_transform(c, lambda x, j: CASE WHEN x.k = branch THEN
+            len(list_filter(x.t, lambda y, p: y <> '<*>' AND y = b[p])) * 1000000000
+            + len(list_filter(x.t, lambda y: y = '<*>')) * 1000000 + 999999 - j ELSE -1 END) AS scores
+        FROM (
+          SELECT *, CASE WHEN list_contains(kids, b[1]) THEN b[1] WHEN list_contains(kids, '<*>') THEN '<*>' END AS branch
+          FROM (
+            SELECT w.n, w.i, w.c, string_split(g.texts[w.i + 1], ' ') AS b,
+              list_distinct(list_transform(w.c, lambda x: x.k)) AS kids
+            FROM walk w JOIN grouped g ON g.n = w.n WHERE w.i < len(g.texts))))))),
+ended AS (SELECT w.n, w.c FROM walk w JOIN grouped g ON g.n = w.n AND w.i = len(g.texts)),
+assigned AS (
+  SELECT g.nos[w.i] AS line_no, array_to_string(e.c[w.own].t, ' ') AS template
+  FROM walk w JOIN grouped g ON g.n = w.n JOIN ended e ON e.n = w.n WHERE w.i > 0
+  UNION ALL SELECT line_no, t FROM light WHERE len(string_split(t, ' ')) = 1),
+mined AS (SELECT template, count(*) AS n, min(line_no) AS first_line FROM assigned GROUP BY template),
+mined_events AS (
+  SELECT 'Event' || row_number() OVER (ORDER BY first_line) AS EventId, template AS EventTemplate, n AS Occurrences,
+    first_line, substr(md5(template), 1, 8) AS template_key
+  FROM mined),
+mined_lines AS (
+  SELECT p.line_no, row_number() OVER (ORDER BY p.line_no) AS LineId, p.Content, e.EventId, e.EventTemplate,
+    (length(EventTemplate) - length(replace(EventTemplate, '<*>', ''))) // 3 AS gaps,
+    '^' || replace(regexp_replace(regexp_replace(EventTemplate, '([^A-Za-z0-9])', '\\\\\\1', 'g'),
+      '\\\\ +', '\\\\s+', 'g'), '\\<\\*\\>', '(.*?)') || '$' AS pattern
+  FROM parsed p JOIN assigned a ON a.line_no = p.line_no JOIN mined_events e ON e.EventTemplate = a.template)"""
+
 QUESTIONS = """asked AS (
   SELECT conv_id * 1000 + turn AS question_id, conv_id AS c, turn AS t, text, (conv_id * 7 + turn) % 10 AS kind
   FROM conversations WHERE role = 'user'),
@@ -359,6 +409,14 @@ SQL: dict[str, str] = {
                 CASE WHEN min(token) = max(token) THEN min(token) ELSE '<*>' END AS token FROM p GROUP BY 1, 2, 3)
         SELECT n_tokens, first_token, string_agg(token, ' ' ORDER BY place) AS merged_template, max(n) AS n_lines
         FROM m GROUP BY 1, 2""",
+    "mine_templates": f"""WITH RECURSIVE {MINED}
+        SELECT EventId, EventTemplate, Occurrences, first_line, template_key FROM mined_events""",
+    "mined_log": f"""WITH RECURSIVE {MINED}
+        SELECT line_no, LineId, EventId, EventTemplate,
+          CASE WHEN gaps = 0 OR NOT regexp_matches(Content, pattern) THEN ''
+            ELSE regexp_replace(Content, pattern, array_to_string(list_transform(range(1, gaps + 1), lambda i: '\\' || i), '|'))
+            END AS parameters
+        FROM mined_lines""",
     "mined_lengths": f"""WITH {PARSED}, l AS (SELECT line_no, len(string_split({LIGHT_MASK}, ' ')) AS n_tokens FROM parsed)
         SELECT n_tokens, count(*) AS n_lines, min(line_no) AS first_line FROM l GROUP BY n_tokens""",
     "keyword_search": f"""WITH {LINES} SELECT line_no, line FROM lines
