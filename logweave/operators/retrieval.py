@@ -17,49 +17,108 @@ from logweave.session import lookup_join, materialize
 CHUNK_TOKENS = 1024
 TOP_K = 2
 
-# Chunks start anew at each multiple of this many lines, which bounds a task.
-CHUNK_BLOCK_LINES = 1 << 16
+# Lines that one task packs; the chunks do not depend on it.
+CHUNK_BLOCK_LINES = 1 << 20
 
 # Query vectors sent to the executors at a time.
 QUERY_SLICE = 4096
 
 
+def _first_over(total: np.ndarray, used: np.ndarray, budget: int) -> np.ndarray:
+    """Place of the first line that no longer fits after ``used`` tokens; ``total`` are running sums."""
+    return np.where(used > budget, 0, np.searchsorted(total, budget - used, side="right"))
+
+
+def _block_map(total: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fill that a block may be entered with, the fill it is left with, and the last chunk's first line.
+
+    A fill is the number of tokens in the open chunk, ``budget + 1`` if nothing fits any more.
+    The place -1 stands for the chunk that was open before.
+    """
+    count = len(total)
+    before = np.concatenate([[0], total[:-1]])
+    following = np.maximum(np.searchsorted(total, before + budget, side="right"), np.arange(count) + 1)
+    last = np.arange(count)
+    for start in range(count - 1, -1, -1):
+        if following[start] < count:
+            last[start] = last[following[start]]
+    left = np.minimum(total[-1] - before[last], budget + 1)
+    fills = np.arange(budget + 2)
+    entry = _first_over(total, fills, budget)
+    inside = entry < count
+    safe = np.minimum(entry, count - 1)
+    return np.where(inside, left[safe], np.minimum(fills + total[-1], budget + 1)), np.where(inside, last[safe], -1)
+
+
 def chunk_ids(lines: DataFrame, budget: int = CHUNK_TOKENS, block_lines: int = CHUNK_BLOCK_LINES) -> DataFrame:
-    """``(log_id, line_no, n_tokens, block, chunk)``: whole lines packed greedily into chunks.
+    """``(log_id, line_no, n_tokens, line_from)``: whole lines packed greedily through each log.
 
     A chunk takes lines in order while their tokens stay within the budget; a longer line is
-    a chunk of its own.  Only token counts travel to the packing step, never the text.
+    a chunk of its own.  ``line_from`` is the chunk's first line.  Only token counts travel to
+    the packing steps, never the text.
+
+    Blocks of lines are packed in parallel: a block first tells what it leaves open for each
+    fill that it may be entered with (one row of ``budget`` numbers per block), these rows are
+    followed from block to block, and then each block is packed from the fill it really meets.
+    The first line of a log is entered like one after a full chunk.
     """
-    sized = lines.select(
-        "log_id",
-        "line_no",
-        F.size(tokens(F.col("line"))).cast("bigint").alias("n_tokens"),
-        F.floor(F.col("line_no") / F.lit(block_lines)).alias("block"),
+    sized = materialize(
+        lines.select(
+            "log_id",
+            "line_no",
+            F.size(tokens(F.col("line"))).cast("bigint").alias("n_tokens"),
+            F.floor(F.col("line_no") / F.lit(block_lines)).alias("block"),
+        ),
+        "line_sizes",
     )
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no")
+        leaves, last = _block_map(pdf["n_tokens"].to_numpy().cumsum(), budget)
+        numbers = pdf["line_no"].to_numpy()
+        opened = np.where(last < 0, -1, numbers[np.maximum(last, 0)])
+        return pd.DataFrame({"log_id": pdf["log_id"].iloc[:1], "block": pdf["block"].iloc[:1], "leaves": [leaves], "opened": [opened]})
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        fill, opened, found = budget + 1, -1, []
+        for leaves, firsts in zip(pdf["leaves"], pdf["opened"]):
+            found.append((fill, opened))
+            opened = opened if firsts[fill] < 0 else int(firsts[fill])
+            fill = int(leaves[fill])
+        return pd.DataFrame({
+            "log_id": pdf["log_id"], "block": pdf["block"],
+            "fill": [f for f, _ in found], "open_from": [o for _, o in found],
+        })
+
+    def pack(pdf: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no")
-        total = pdf["n_tokens"].to_numpy().cumsum()
-        chunk = np.zeros(len(total), dtype=np.int64)
-        start, used, number = 0, 0, 0
+        numbers, total = pdf["line_no"].to_numpy(), pdf["n_tokens"].to_numpy().cumsum()
+        first = np.full(len(total), entered["open_from"].iloc[0])
+        start = int(_first_over(total, np.array(entered["fill"].iloc[0]), budget))
         while start < len(total):
+            used = int(total[start - 1]) if start else 0
             end = max(int(np.searchsorted(total, used + budget, side="right")), start + 1)
-            chunk[start:end] = number
-            start, used, number = end, int(total[end - 1]), number + 1
-        return pdf.assign(chunk=chunk)
-
-    return sized.groupBy("log_id", "block").applyInPandas(
-        pack, "log_id string, line_no bigint, n_tokens bigint, block bigint, chunk bigint"
+            first[start:end] = numbers[start]
+            start = end
+        return pdf[["log_id", "line_no", "n_tokens"]].assign(line_from=first)
+
+    blocks = sized.groupBy("log_id", "block")
+    told = blocks.applyInPandas(tell, "log_id string, block bigint, leaves array<bigint>, opened array<bigint>")
+    entered = told.groupBy("log_id").applyInPandas(
+        follow, "log_id string, block bigint, fill bigint, open_from bigint"
+    )
+    return blocks.cogroup(materialize(entered, "chunk_blocks").groupBy("log_id", "block")).applyInPandas(
+        pack, "log_id string, line_no bigint, n_tokens bigint, line_from bigint"
     )
 
 
 def chunk_spans(lines: DataFrame, budget: int = CHUNK_TOKENS, block_lines: int = CHUNK_BLOCK_LINES) -> DataFrame:
-    """``(log_id, block, chunk, line_from, line_to, n_lines, n_tokens)`` per chunk."""
+    """``(log_id, line_from, line_to, n_lines, n_tokens)`` per chunk."""
     return (
         chunk_ids(lines, budget, block_lines)
-        .groupBy("log_id", "block", "chunk")
+        .groupBy("log_id", "line_from")
         .agg(
-            F.min("line_no").alias("line_from"),
             F.max("line_no").alias("line_to"),
             F.count("*").alias("n_lines"),
             F.sum("n_tokens").alias("n_tokens"),
@@ -68,15 +127,12 @@ def chunk_spans(lines: DataFrame, budget: int = CHUNK_TOKENS, block_lines: int =
 
 
 def chunk_texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(log_id, block, chunk, line_from, text)``; a text is at most one chunk budget long."""
+    """``(log_id, line_from, text)``; a text is at most one chunk budget long."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", strip(F.col("line")).alias("line"))))
     return (
-        lines.join(ids.select("log_id", "line_no", "block", "chunk"), ["log_id", "line_no"])
-        .groupBy("log_id", "block", "chunk")
-        .agg(
-            F.min("line_no").alias("line_from"),
-            F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("text"),
-        )
+        lines.join(ids.select("log_id", "line_no", "line_from"), ["log_id", "line_no"])
+        .groupBy("log_id", "line_from")
+        .agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("text"))
     )
 
 

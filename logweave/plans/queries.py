@@ -341,7 +341,7 @@ def mention_lines(spark, folder):
 @query
 def chunks(spark, folder):
     found = retrieval.chunk_spans(_lines(spark, folder))
-    return found.select("chunk", "line_from", "line_to", "n_lines", "n_tokens")
+    return found.select("line_from", "line_to", "n_lines", "n_tokens")
 
 
 @query

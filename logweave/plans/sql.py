@@ -199,21 +199,15 @@ ranked AS (
 
 CHUNKS = f"""{LINES},
 sized AS (
-  SELECT line_no, line, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda t: t <> '')) AS n,
-    line_no // 65536 AS block FROM lines),
-cum AS (SELECT *, sum(n) OVER (PARTITION BY block ORDER BY line_no)::BIGINT AS total FROM sized),
+  SELECT line_no, line, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda t: t <> '')) AS n FROM lines),
+cum AS (SELECT *, sum(n) OVER (ORDER BY line_no)::BIGINT AS total FROM sized),
 walk AS (
-  SELECT block, 0::BIGINT AS chunk, min(line_no)::BIGINT AS line_from, 0::BIGINT AS used FROM cum GROUP BY block
+  SELECT min(line_no)::BIGINT AS line_from, 0::BIGINT AS used FROM cum
   UNION ALL
   SELECT * FROM (
-    SELECT w.block, w.chunk + 1, min(c.line_no)::BIGINT,
-      (SELECT p.total FROM cum p WHERE p.line_no = min(c.line_no) - 1 AND p.block = w.block)
-    FROM walk w JOIN cum c
-      ON c.block = w.block AND c.line_no > w.line_from AND c.total - w.used > 1024
-    GROUP BY w.block, w.chunk)),
-owned AS (
-  SELECT c.*, w.chunk, w.line_from FROM cum c ASOF JOIN walk w
-    ON c.block = w.block AND c.line_no >= w.line_from)"""
+    SELECT min(c.line_no)::BIGINT AS line_from, (SELECT p.total FROM cum p WHERE p.line_no = min(c.line_no) - 1)
+    FROM walk w JOIN cum c ON c.line_no > w.line_from AND c.total - w.used > 1024) WHERE line_from IS NOT NULL),
+owned AS (SELECT c.*, w.line_from FROM cum c ASOF JOIN walk w ON c.line_no >= w.line_from)"""
 
 ANSWERS_WIDE = f"""wide AS (
   SELECT CASE d.lang WHEN 'es' THEN '---es' ELSE d.lang END AS sheet, d.doc_id AS question_id,
@@ -455,10 +449,10 @@ SQL: dict[str, str] = {
           SELECT DISTINCT conv_id, turn, unnest(['Event' || (conv_id % 9 + 1), 'Event' || (turn % 9 + 1)]) AS EventId
           FROM conversations WHERE role = 'assistant') GROUP BY EventId)
         SELECT EventId, line_no, line, n_mentions FROM structured JOIN named USING (EventId)""",
-    "chunks": f"""WITH RECURSIVE {CHUNKS} SELECT chunk, min(line_no) AS line_from, max(line_no) AS line_to,
-        count(*) AS n_lines, sum(n)::BIGINT AS n_tokens FROM owned GROUP BY block, chunk""",
+    "chunks": f"""WITH RECURSIVE {CHUNKS} SELECT line_from, max(line_no) AS line_to,
+        count(*) AS n_lines, sum(n)::BIGINT AS n_tokens FROM owned GROUP BY line_from""",
     "chunk_texts": f"""WITH RECURSIVE {CHUNKS}, t AS (
-        SELECT line_from, string_agg(line, chr(10) ORDER BY line_no) AS text FROM owned GROUP BY block, chunk, line_from)
+        SELECT line_from, string_agg(line, chr(10) ORDER BY line_no) AS text FROM owned GROUP BY line_from)
         SELECT line_from, md5(text) AS text_md5, length(text) AS n_chars FROM t""",
     "chunk_vectors": """WITH w AS (
         SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS word FROM documents),
@@ -487,7 +481,7 @@ SQL: dict[str, str] = {
         event_totals AS (
           SELECT question_id, sum(Occurrences)::BIGINT AS n FROM (
             SELECT question_id, unnest(events) AS EventId FROM routed) JOIN catalogue USING (EventId) GROUP BY 1),
-        n_chunks AS (SELECT count(*) AS n FROM (SELECT DISTINCT block, chunk FROM owned)),
+        n_chunks AS (SELECT count(*) AS n FROM (SELECT DISTINCT line_from FROM owned)),
         counted AS (
           SELECT r.*, CASE
             WHEN level1 = 'all' THEN (SELECT count(*) FROM catalogue)

@@ -24,8 +24,11 @@ def test_chunks_are_greedy(spark):
     draw = random.Random(1)
     sizes = [draw.choice([0, 1, 3, 5, 12]) for _ in range(200)]
     lines = spark.createDataFrame([("l", i + 1, "w " * n) for i, n in enumerate(sizes)], SCHEMA)
-    got = [r.chunk for r in retrieval.chunk_ids(lines, budget=10).orderBy("line_no").collect()]
-    assert got == greedy(sizes, 10)
+    numbers = greedy(sizes, 10)
+    expected = [numbers.index(n) + 1 for n in numbers]
+    for block_lines in (1, 2, 7, 64, 1 << 20):
+        ids = retrieval.chunk_ids(lines, budget=10, block_lines=block_lines)
+        assert [r.line_from for r in ids.orderBy("line_no").collect()] == expected, block_lines
     spans = retrieval.chunk_spans(lines, budget=10, block_lines=64).collect()
     assert sum(r.n_lines for r in spans) == 200 and all(r.n_tokens <= 12 for r in spans)
     texts = retrieval.chunk_texts(lines, retrieval.chunk_ids(lines, budget=10)).collect()
