@@ -20,6 +20,29 @@ HOT_SHARE = 1000
 BATCH_BYTES = 8 << 20
 
 
+class Remembered(dict):
+    """Values made on first use, of which at most two times ``limit`` are remembered.
+
+    When the young half is full it becomes the old one; what is used again moves to the new
+    young half, so frequent keys stay.  Keys longer than ``longest`` are made each time.
+    """
+
+    def __init__(self, make: Callable, limit: int = 150_000, longest: int = 48):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key):
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -136,11 +159,26 @@ def chosen_documents(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """The documents whose doc_id and text digest are in ``chosen`` (doc_id, digest), with their columns.
 
     Rows that repeat a doc_id and text cannot be told apart; one of them stays.  ``chosen`` says
-    in ``rows`` how many there are, so that only those are grouped again.
+    in ``rows`` how many there are, so that only those are grouped again.  The columns travel in
+    a struct, so that none of them clashes with the keys.
     """
-    keys = chosen.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("rows").alias("_rows"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_digest() == F.col("_digest"))
-    found = documents.join(keys, same)
-    once = found.filter("_rows = 1").select(*documents.columns)
-    repeated = found.filter("_rows > 1").dropDuplicates(["_doc", "_digest"]).select(*documents.columns)
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"))
+    keys = chosen.select(F.col("doc_id").alias("key"), "digest", "rows")
+    text = F.sha2(F.coalesce(F.col("document.text"), F.lit("")), 256)
+    same = F.col("document.doc_id").cast("long").eqNullSafe(F.col("key")) & (text == F.col("digest"))
+    found = whole.join(keys, same)
+    once = found.filter("rows = 1").select("document.*")
+    repeated = found.filter("rows > 1").dropDuplicates(["key", "digest"]).select("document.*")
     return once.unionByName(repeated)
+
+
+def keep_rows(documents: DataFrame, setup: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The documents whose text passes, with all their columns; ``setup`` builds a task's test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = setup()
+        for whole in batches:
+            for batch in slices(whole):
+                yield batch.filter(pa.array([passes(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

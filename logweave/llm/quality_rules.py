@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import WORD, labelled_sample, map_rows
+from logweave.llm.common import WORD, Remembered, keep_rows, labelled_sample, map_rows
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -30,7 +30,7 @@ BUCKETS = 1 << 16
 CALIBRATION = 5
 #: Probability of good quality from which a text is kept.
 THRESHOLD = 0.3
-#: Of labelled rows none is held out here; the remainder does not exist.
+#: No labelled rows are held out here: a division by one has no remainder one.
 HELD_OUT = (1, 1)
 
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -60,22 +60,11 @@ def base_figures(text: str | None, words: list[str]) -> tuple[int, int, int, int
 class Hasher:
     """Hashed features of a text: buckets of its words, then of its character triples."""
 
-    REMEMBERED = 500_000
-
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = Remembered(lambda word: zlib.crc32(word.lower().encode("utf-8", "replace")) & (BUCKETS - 1))
 
     def words(self, words: list[str]) -> np.ndarray:
-        known, found = self.known, []
-        for word in words:
-            bucket = known.get(word)
-            if bucket is None:
-                bucket = zlib.crc32(word.lower().encode("utf-8", "replace")) & (BUCKETS - 1)
-                if len(known) >= self.REMEMBERED:
-                    known.clear()
-                known[word] = bucket
-            found.append(bucket)
-        return np.array(found, np.int64)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     @staticmethod
     def triples(text: str) -> np.ndarray:
@@ -218,9 +207,8 @@ def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns.  The model is fitted to ``documents``."""
     model = train(documents, labels)
 
-    def run(batches):
-        for batch in batches:
-            judged = [judge_text(t, model) for t in batch.column("text").to_pylist()]
-            yield batch.filter([not j[5] and j[6] >= THRESHOLD for j in judged])
+    def passes(text: str | None) -> bool:
+        judged = judge_text(text, model)
+        return not judged[5] and judged[6] >= THRESHOLD
 
-    return documents.mapInArrow(run, documents.schema)
+    return keep_rows(documents, lambda: passes)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import labelled_sample, map_rows, remainder
+from logweave.llm.common import Remembered, keep_rows, labelled_sample, map_rows, remainder
 from logweave.session import materialize
 
 #: Labelled documents that the model is fitted to, at most.
@@ -140,7 +140,7 @@ def fit(
         push = turn / (turn + 3)
         b, w = bias + push * (bias - old_bias), weights + push * (weights - old_weights)
         logit = x.times(w) + b
-        error = 1 / (1 + np.exp(-logit)) - labels
+        error = 1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels
         change = y.times(w) - x.times(w)
         slope = x.back(error) / n + 2 * invariance * (y.back(change) - x.back(change)) / n
         old_bias, old_weights = bias, weights
@@ -173,21 +173,14 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 class Scorer:
     """Scores whole texts; remembers which words carry weight."""
 
-    REMEMBERED = 500_000
-
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.words: dict[str, tuple[str, ...]] = {}
+        self.words = Remembered(lambda word: tuple(f for f in features_of_word(word) if f in weights))
 
     def __call__(self, text: str | None) -> float:
         found: set[str] = set()
         for word in set(TERM.findall((text or "").lower())):
-            held = self.words.get(word)
-            if held is None:
-                held = tuple(f for f in features_of_word(word) if f in self.weights)
-                if len(self.words) >= self.REMEMBERED:
-                    self.words.clear()
-                self.words[word] = held
+            held = self.words[word]
             if held:
                 found.update(held)
         logit = self.bias + sum(self.weights[f] for f in sorted(found))
@@ -215,9 +208,8 @@ def clean_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns.  The model is fitted to ``documents``."""
     model = train(documents, labels)
 
-    def run(batches):
+    def passes():
         scorer = Scorer(*model)
-        for batch in batches:
-            yield batch.filter([scorer(t) < THRESHOLD for t in batch.column("text").to_pylist()])
+        return lambda text: scorer(text) < THRESHOLD
 
-    return documents.mapInArrow(run, documents.schema)
+    return keep_rows(documents, passes)
