@@ -284,7 +284,8 @@ def keyword_search_batch(spark, folder):
         F.max("n_matched").alias("n_matched"), F.count("*").alias("n_shown"), F.max("trimmed").alias("trimmed"),
         F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
     )
-    return asked.select("question_id", "set_key").join(per_set, "set_key").drop("set_key")
+    found = asked.select("question_id", "set_key").join(per_set, "set_key", "left").drop("set_key")
+    return found.fillna({"n_matched": 0, "n_shown": 0, "trimmed": False})
 
 
 @query
@@ -430,7 +431,7 @@ def dispatch(spark, folder):
 
 @query
 def prompts(spark, folder):
-    """Search prompts with the matched lines."""
+    """Search prompts with the matched lines; a question without a match is asked directly."""
     asked = routing.route_questions(rendered.log_questions(spark, folder)).filter(F.size("keywords") > 0)
     asked = materialize(search.with_set_key(asked), "asked")
     capped = search.KeywordSets(_lines(spark, folder), asked).capped(search.KEYWORD_CAP)
@@ -443,7 +444,10 @@ def prompts(spark, folder):
         F.col("question"), "keywords", F.col("keywords"), F.col("n_matched"), F.col("trimmed"),
         search.KEYWORD_CAP, F.col("context"),
     )
-    return asked.join(per_set, "set_key").select("question_id", prompt.alias("prompt"))
+    direct = context.chat_prompt(F.col("question"))
+    return asked.join(per_set, "set_key", "left").select(
+        "question_id", F.when(F.col("n_matched").isNull(), direct).otherwise(prompt).alias("prompt")
+    )
 
 
 @query

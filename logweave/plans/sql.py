@@ -420,9 +420,10 @@ SQL: dict[str, str] = {
         FROM lines WHERE contains(lower(line), 'app.error'))
         SELECT *, n_matched >= 200 AS trimmed FROM m WHERE place <= 200""",
     "keyword_search_batch": f"""WITH {LINES}, {ROUTED}, {KEYWORD_HITS}
-        SELECT question_id, max(n_matched) AS n_matched, count(*) AS n_shown, max(n_matched) >= 200 AS trimmed,
-          min(line_no) AS first_line, max(line_no) AS last_line
-        FROM ranked WHERE place <= 200 GROUP BY question_id""",
+        SELECT question_id, coalesce(max(n_matched), 0) AS n_matched, count(line_no) AS n_shown,
+          coalesce(max(n_matched), 0) >= 200 AS trimmed, min(line_no) AS first_line, max(line_no) AS last_line
+        FROM (SELECT question_id FROM routed WHERE len(keywords) > 0)
+        LEFT JOIN (SELECT * FROM ranked WHERE place <= 200) USING (question_id) GROUP BY question_id""",
     "keyword_matches": f"""WITH {LINES}, {ROUTED}, sets AS (
         SELECT DISTINCT list_sort(list_transform(keywords, lambda k: lower(k))) AS k FROM routed WHERE len(keywords) > 0)
         SELECT array_to_string(k, '|') AS keywords, line_no, line FROM sets JOIN lines
@@ -502,8 +503,9 @@ SQL: dict[str, str] = {
     "prompts": f"""WITH {LINES}, {ROUTED}, {KEYWORD_HITS}, c AS (
         SELECT question_id, max(n_matched) AS n_matched, string_agg(line, chr(10) ORDER BY line_no) AS context
         FROM ranked WHERE place <= 200 GROUP BY question_id)
-        SELECT question_id, {_like_format(CHAT_FRAME, _quoted(SYSTEM_PROMPT), _SEARCH_TEXT)} AS prompt
-        FROM c JOIN routed USING (question_id)""",
+        SELECT question_id, CASE WHEN n_matched IS NULL THEN {_like_format(CHAT_FRAME, _quoted(SYSTEM_PROMPT), "question")}
+          ELSE {_like_format(CHAT_FRAME, _quoted(SYSTEM_PROMPT), _SEARCH_TEXT)} END AS prompt
+        FROM routed LEFT JOIN c USING (question_id) WHERE len(keywords) > 0""",
     "summary_prompts": f"""WITH {CATALOGUE}, {SUMMARY}, {ROUTED}
         SELECT q.question_id, p.page, {_SUMMARY_TEXT} AS prompt
         FROM routed q CROSS JOIN whole w CROSS JOIN pages p WHERE q.level1 = 'all'""",
