@@ -80,7 +80,9 @@ class Builder:
         return f' {self.random.choice(["class", "class", "id"])}="{self.random.choice(NAMES[part])}"'
 
     def links(self) -> str:
-        items = [f'<a href="/{n}">{self.random.choice(MENU + WORDS)}</a>' for n in range(self.random.randint(2, 9))]
+        texts = [self.random.choice(MENU + WORDS) for _ in range(self.random.randint(1, 9))]
+        plain = self.random.random() < 0.15
+        items = texts if plain else [f'<a href="/{n}">{text}</a>' for n, text in enumerate(texts)]
         if self.random.random() < 0.6:
             return "<ul>" + "".join(f"<li>{a}</li>" for a in items) + "</ul>"
         return self.random.choice([" | ", " ", ""]).join(items)
@@ -140,7 +142,11 @@ class Builder:
                 blocks.append(f"<figure><img src=x><figcaption>{self.sentence()}</figcaption></figure>")
             else:
                 blocks.append(f"<p>{self.random.choice(WORDS).capitalize()}.</p>")
-        if self.random.random() < 0.2:
+        tiny = self.random.random() < 0.12
+        if tiny:
+            word = lambda: self.random.choice(WORDS).capitalize() + self.random.choice([".", "", "!"])
+            blocks = [f"<h1>{word()}</h1>"] + [f"<p>{word()}</p>" for _ in range(self.random.randint(1, 4))]
+        elif self.random.random() < 0.2:
             # Many short lines: a poem, a word list, a transcript.
             short = lambda: " ".join(self.random.choices(WORDS, k=self.random.randint(1, 4))) + self.random.choice([".", "", ","])
             at = self.random.randint(0, len(blocks))
@@ -148,14 +154,14 @@ class Builder:
         for name in ("ad", "share", "form", "sidebar", "notice", "comments"):
             if self.random.random() < 0.12:
                 blocks.insert(self.random.randint(1, len(blocks)), self.part(name))
-        if self.random.random() < 0.12:
+        if self.random.random() < 0.12 and not tiny:
             # No element around the article: its blocks lie in the page's body.
             marked = [b if 'data-content="0"' in b else re.sub(r"^<(\w+)", r'<\1 data-content="1"', b) for b in blocks]
             return "".join(marked)
         inner = "".join(blocks)
         if self.random.random() < 0.5:
             inner = f"<div{self.attribute('content', 0.6)}>{inner}</div>"
-        element = self.random.choice(["article", "article", "div", "main", "section", "td"])
+        element = self.random.choice(["article", "article", "div", "main", "section", "td"][: 2 if tiny else None])
         often = 1.0 if element in ("div", "section") and self.random.random() < 0.8 else 0.4
         made = f'<{element}{self.attribute("content", often)} data-content="1">{inner}</{element}>'
         if element == "td":
@@ -167,6 +173,8 @@ class Builder:
         after = [self.part(n) for n in ("comments", "share", "sidebar", "ad", "form", "nav") if self.random.random() < 0.4]
         if self.random.random() < 0.8:
             after.append(self.part("footer"))
+        if self.random.random() < 0.12:
+            before, after = [], []
         self.random.shuffle(before)
         inner = "".join(before) + self.article() + "".join(after)
         if self.random.random() < 0.3:
