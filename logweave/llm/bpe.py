@@ -30,20 +30,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from logweave.llm.common import map_rows
+from logweave.llm.common import Remembered, map_rows
 
 #: Stands for the end of a word inside the automaton; no word holds it.
 END = "\n"
 SUFFIX = "</w>"
 NEVER = 1 << 30
 
-#: Distinct blank-separated pieces, words and pairs that a worker remembers.
-REMEMBERED = 1_000_000
+#: Pairs of tokens that a worker remembers, and half of the words and of the pieces.
+REMEMBERED = 300_000
 #: Pieces of these letters need no normalisation but lower case, and split by a plain pattern.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-#: Longer pieces are encoded each time, so that the memory stays bounded.
-SHORT = 48
 
 
 def vocabulary_path() -> str:
@@ -59,22 +57,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
-class Pieces(dict):
-    """Ids of the blank-separated pieces met so far; a new piece is encoded on first use."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encode = encoder.encode_piece
-
-    def __missing__(self, piece: bytes) -> bytes:
-        found = self.encode(piece)
-        if len(piece) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class Encoder:
     """Encodes and decodes whole texts exactly as the vocabulary's own library does."""
 
@@ -112,8 +94,8 @@ class Encoder:
         self.names = [b""] * size
         for text, token in [*model["model"]["vocab"].items(), *self.special.items()]:
             self.names[token] = text.encode()
-        self.words: dict[str, bytes] = {}
-        self.pieces = Pieces(self)
+        self.words = Remembered(self.encode_word, REMEMBERED)
+        self.pieces = Remembered(self.encode_piece, REMEMBERED)
         self.letters = byte_letters()
 
     def compatible_inside(self, token: int) -> bool:
@@ -144,9 +126,6 @@ class Encoder:
 
     def encode_word(self, word: str) -> bytes:
         """Ids (32-bit little-endian) of one word in the vocabulary's byte letters."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
         text = word + END
         last = [-1] * (len(text) + 1)
         start = [0] * (len(text) + 1)
@@ -174,12 +153,7 @@ class Encoder:
             ids.append(last[place])
             place = start[place]
         ids.reverse()
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= SHORT:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = found
-        return found
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def words_of(self, text: str) -> list[str]:
         """Words of a text without special tokens, in byte letters."""
@@ -195,13 +169,13 @@ class Encoder:
         """Ids (32-bit little-endian) of one blank-separated piece."""
         text = piece.decode("utf-8", "replace")
         if not any(mark in piece for mark in self.marks):
-            return b"".join(map(self.encode_word, self.words_of(text)))
+            return b"".join(map(self.words.__getitem__, self.words_of(text)))
         found = []
         for part in self.special_pieces.split(text):
             if part in self.special:
                 found.append(struct.pack("<I", self.special[part]))
             elif part:
-                found += map(self.encode_word, self.words_of(part))
+                found += map(self.words.__getitem__, self.words_of(part))
         return b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
