@@ -254,9 +254,16 @@ def linked_rows(rows: DataFrame, radius: int) -> DataFrame:
     named = vertices.join(roots.select(F.col("vertex").alias("fingerprint"), "root"), "fingerprint", "left").select(
         "fingerprint", "smallest", "group_size", F.coalesce("root", "fingerprint").alias("root")
     )
-    named = materialize(named, "vertex-roots")
-    smallest = named.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = materialize(named.join(smallest, "root").select("fingerprint", "group_size", "component_id", "root"), "vertex-components")
+    # A component may hold many fingerprints: its result goes back to them like a group's.
+    named = materialize(named.withColumnRenamed("group_size", "copies"), "vertex-roots")
+    smallest = named.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("group_size"))
+    smallest = materialize(smallest, "component-minima")
+    named = materialize(
+        attach_groups(named, smallest, "root", named.count()).select(
+            "fingerprint", "component_id", "root", F.col("copies").alias("group_size")
+        ),
+        "vertex-components",
+    )
     return attach_groups(rows, named, "fingerprint", rows.count())
 
 
