@@ -130,6 +130,7 @@ class Encoder:
         last = [-1] * (len(text) + 1)
         start = [0] * (len(text) + 1)
         follows = self.follows
+        known = follows.get
         for end, (length, token) in self.automaton.iter(text):
             end += 1
             if last[end] >= 0:
@@ -140,7 +141,7 @@ class Encoder:
                 if previous < 0:
                     continue
                 key = previous << 17 | token
-                fits = follows.get(key)
+                fits = known(key)
                 if fits is None:
                     if len(follows) >= REMEMBERED:
                         follows.clear()
@@ -167,8 +168,11 @@ class Encoder:
 
     def encode_piece(self, piece: bytes) -> bytes:
         """Ids (32-bit little-endian) of one blank-separated piece."""
+        if piece.isalpha():
+            # ASCII letters alone are one word.
+            return self.words[piece.lower().decode()]
         text = piece.decode("utf-8", "replace")
-        if not any(mark in piece for mark in self.marks):
+        if not any([mark in piece for mark in self.marks]):
             return b"".join(map(self.words.__getitem__, self.words_of(text)))
         found = []
         for part in self.special_pieces.split(text):
