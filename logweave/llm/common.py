@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.session import materialize
+
+LOG = logging.getLogger(__name__)
+
 #: Words: what lies between ASCII blanks, tabs and line ends.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: A group is hot when it holds at least one part in so many of all rows.
 HOT_SHARE = 1000
 
+#: A label has at least one part in so many of a sample of labelled rows, if there are as many rows of it.
+RARE_SHARE = 50
+
 #: Bytes of text that a Python worker handles at a time.
 BATCH_BYTES = 8 << 20
 
@@ -52,9 +60,9 @@ def remainder(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def hash_order(key: str) -> Column:
-    """An order of rows that depends on the key alone, for samples that repeat."""
-    return F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
+def hash_order(*keys: str) -> Column:
+    """An order of rows that depends on the keys alone, for samples that repeat."""
+    return F.xxhash64(*[F.col(key).cast("string") for key in keys], F.lit("sample"))
 
 
 def slices(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -112,12 +120,33 @@ def map_rows(
     return df.select(*sent).mapInArrow(run, out_schema)
 
 
+def hash_part(rows: int, total: int, *keys: str) -> Column:
+    """True for about ``rows`` of ``total`` rows, by a 64-bit hash of the keys; for all if there are no more."""
+    if total <= rows:
+        return F.lit(True)
+    return hash_order(*keys) < F.lit((rows << 64) // total - (1 << 63))
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows of ``df`` at most, chosen by the hash of ``key``: the same ones each time."""
-    total = df.count()
+    return df.filter(hash_part(rows, df.count(), key))
+
+
+def class_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``bounded_sample`` of rows with a label, in which a rare label keeps a share of ``rows``.
+
+    Labels are drawn in proportion, but of each at least a ``1 / RARE_SHARE`` part of ``rows``, or
+    all rows that it has.
+    """
+    counts = {r.label: r.n for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
     if total <= rows:
         return df
-    return df.filter(F.pmod(hash_order(key), F.lit(1_000_000)) < int(rows / total * 1_000_000))
+    chosen = F.lit(False)
+    for label, n in counts.items():
+        own = max(rows * n // total, rows // RARE_SHARE, 1)
+        chosen = chosen | ((F.col("label") == label) & hash_part(own, n, *keys))
+    return df.filter(chosen)
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
@@ -141,14 +170,31 @@ def labelled_sample(
     """doc_id, text and label (0 or 1) of about ``rows`` labelled documents at most.
 
     ``held_out`` is (parts, remainder): documents whose crc32(doc_id) modulo parts is that
-    remainder are never taken.  The labels are sampled first, so their broadcast is bounded and
-    the texts are not shuffled.  Rows without a label are left out; of several labels for one
-    document the largest counts, and repeated documents are all taken.
+    remainder are never taken.  Only labels of the given documents count, so the size of the
+    table of labels does not matter: the two meet by doc_id alone, then labelled ids are sampled,
+    so that their broadcast is bounded, and other texts are not shuffled.  Rows without a label
+    are left out; of several labels for one document the largest counts.  Of repeated rows (same
+    doc_id and text) one is taken, and where one doc_id has many texts these are sampled as well.
     """
-    known = labels.groupBy("doc_id").agg(F.max(label).alias("label")).filter("label is not null and doc_id is not null")
+    known = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    known = known.filter("label is not null and doc_id is not null")
     known = known.filter(remainder("doc_id", held_out[0]) != held_out[1])
-    known = bounded_sample(known, "doc_id", rows).select("doc_id", F.col("label").cast("int").alias("label"))
-    return documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    given = documents.select("doc_id").distinct()
+    known = materialize(known.join(given, "doc_id", "left_semi"), "labelled-ids")
+    sampled = class_sample(known, ["doc_id"], rows)
+    found = documents.select("doc_id", "text").join(F.broadcast(sampled), "doc_id")
+    found = found.withColumn("digest", text_digest()).dropDuplicates(["doc_id", "digest"])
+    found = class_sample(materialize(found, "labelled-texts"), ["doc_id", "digest"], rows)
+    return found.select("doc_id", "text", "label")
+
+
+def one_class(target: Sequence, label: str) -> bool:
+    """Whether labelled rows of both kinds are missing, so that no model can be fitted; says so in the log."""
+    good = sum(target)
+    if 0 < good < len(target):
+        return False
+    LOG.warning("no model for %s: %d labelled documents, %d of them 1; every text passes", label, len(target), good)
+    return True
 
 
 def text_digest() -> Column:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import labelled_sample, map_rows, remainder
+from logweave.llm.common import labelled_sample, map_rows, one_class, remainder
 
 FILTERS = 16
 WIDTH = 5
@@ -167,7 +167,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     sample = labelled_sample(documents, labels, "quality", HELD_OUT, sample_rows)
     found = sample.select("doc_id", "text", "label").toPandas().sort_values("doc_id", kind="stable")
     target = found["label"].to_numpy(np.float64)
-    if not 0 < target.sum() < len(target):
+    if one_class(target, "quality"):
         network = Network()
         network.out[:], network.bias = 0, np.float32(5)
         return network

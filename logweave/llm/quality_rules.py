@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import WORD, Remembered, keep_rows, labelled_sample, map_rows
+from logweave.llm.common import WORD, Remembered, keep_rows, labelled_sample, map_rows, one_class
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -166,7 +166,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     found = map_rows(sample, ["text"], encode, "place binary, share binary", keep=("doc_id", "label"), setup=Hasher)
     found = found.toPandas().sort_values("doc_id", kind="stable")
     target = found["label"].to_numpy(np.float64)
-    if not 0 < target.sum() < len(target):
+    if one_class(target, "quality"):
         return Model(np.zeros(2 * BUCKETS), 5.0, (1.0, 0.0))
     rows = [(np.frombuffer(p, "<i4").astype(np.int64), np.frombuffer(s, "<f4").astype(np.float64))
             for p, s in zip(found["place"], found["share"])]

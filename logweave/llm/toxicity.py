@@ -20,8 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Remembered, keep_rows, labelled_sample, map_rows, remainder
-from logweave.session import materialize
+from logweave.llm.common import Remembered, keep_rows, labelled_sample, map_rows, one_class, remainder
 
 #: Labelled documents that the model is fitted to, at most.
 SAMPLE_ROWS = 12_000
@@ -152,7 +151,7 @@ def fit(
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], float]:
     """Weight per feature, and the intercept.  Without labelled rows of both kinds nothing is toxic."""
-    sample = materialize(labelled_sample(documents, labels, "toxic", HELD_OUT, sample_rows), "toxic-sample")
+    sample = labelled_sample(documents, labels, "toxic", HELD_OUT, sample_rows)
     names = candidates(sample, FEATURES)
     place = {f: n for n, f in enumerate(names)}
 
@@ -163,7 +162,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     rows = map_rows(sample, ["text"], encode, "plain array<long>, swap array<long>", keep=("doc_id", "label"))
     found = rows.toPandas().sort_values("doc_id", kind="stable")
     target = found["label"].to_numpy(np.float64)
-    if not 0 < target.sum() < len(target):
+    if one_class(target, "toxic"):
         return {}, -20.0
     arrays = lambda column: [np.sort(np.asarray(v, np.int64)) for v in found[column]]
     weights, bias = fit(arrays("plain"), arrays("swap"), target, len(names))
