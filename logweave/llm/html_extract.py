@@ -29,6 +29,8 @@ from logweave.llm.html_pages import labelled_pages
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are no part of a page's text.
 UNSEEN = frozenset("script style head title noscript template iframe object svg canvas select option button textarea".split())
+#: Elements that may stand in a head; any other one begins the body.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: Elements that run on in their block's line.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
@@ -68,7 +70,21 @@ class Page(HTMLParser):
         self.feed(html)
         self.close()
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            # A marked section of no known name is a comment up to the next ">".
+            return self.parse_bogus_comment(i)
+
+    def begin_body(self) -> None:
+        """Close a head that was never closed, unless one of its elements is open."""
+        if self.hidden and self.tags[self.stack[-1]] == "head":
+            self.end("head", frozenset())
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD:
+            self.begin_body()
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.text(" ")
@@ -79,7 +95,7 @@ class Page(HTMLParser):
             for sibling in ENDS_SIBLING[tag][0]:
                 self.end(sibling, ENDS_SIBLING[tag][1])
         if tag == "body" and self.hidden:
-            # A head that was never closed.
+            # A head that was never closed, nor what is open in it.
             self.end("head", frozenset())
         names = []
         mark = self.marks[self.stack[-1]]
@@ -118,6 +134,8 @@ class Page(HTMLParser):
                 return
 
     def text(self, data: str) -> None:
+        if self.hidden and not data.isspace():
+            self.begin_body()
         if self.hidden:
             return
         owner = block = self.stack[-1]
