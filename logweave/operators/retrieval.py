@@ -136,10 +136,10 @@ def chunk_texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def bucket_counts(texts: DataFrame, keys: list[str], buckets: int = 256, text: str = "text") -> DataFrame:
-    """Words hashed into buckets: ``(*keys, bucket, n_words)``."""
+def bucket_counts(texts: DataFrame, keys: list[str], buckets: int | None = 256, text: str = "text") -> DataFrame:
+    """Words hashed into buckets: ``(*keys, bucket, n_words)``.  Without a number of buckets each word is its own."""
     word = F.explode(tokens(F.lower(text)))
-    bucket = F.conv(F.substring(F.md5("_word"), 1, 6), 16, 10).cast("bigint") % buckets
+    bucket = F.conv(F.substring(F.md5("_word"), 1, 6), 16, 10).cast("bigint") % buckets if buckets else F.col("_word")
     return (
         texts.select(*keys, word.alias("_word"))
         .groupBy(*keys, bucket.alias("bucket"))
@@ -173,6 +173,32 @@ def dense_vectors(weights: DataFrame, keys: list[str], buckets: int = 256) -> Da
     return weights.groupBy(*keys).agg(entries.alias("_entries")).select(*keys, filled.alias("vector"))
 
 
+def nearest_texts(texts: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """``(query_id, vec_id, score, place)``: the ``k`` texts most similar to each query by TF-IDF of their words.
+
+    ``texts`` holds ``vec_id`` and ``text``, ``queries`` ``query_id`` and ``text``.  Words are not
+    hashed, so a rare word is not lost among others.  The words of queries meet those of texts in a
+    join; a text's words lie in one task, which sums its scores and passes on the best ``k`` per
+    query.  Where fewer texts share a word with a query, the first texts follow with score 0.
+    """
+    counts = materialize(bucket_counts(texts, ["vec_id"], None), "word_counts")
+    idf = materialize(bucket_idf(counts, texts), "word_idf")
+    asked = unit_weights(bucket_counts(queries, ["query_id"], None), idf, ["query_id"])
+    weights = unit_weights(counts, idf, ["vec_id"])
+    scored = (
+        lookup_join(weights, asked.withColumnRenamed("weight", "_asked"), ["bucket"], "inner")
+        .groupBy("query_id", "vec_id")
+        .agg(F.round(F.sum(F.col("weight") * F.col("_asked")), 9).alias("score"))
+    )
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = F.row_number().over(order).cast("bigint")
+    best = scored.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+    first = texts.select("vec_id").orderBy("vec_id").limit(k)
+    others = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    found = best.unionByName(others).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,

@@ -64,20 +64,14 @@ def event_answers(routed: DataFrame, structured: DataFrame, catalogue: DataFrame
 
 
 def retrieved_answers(routed: DataFrame, lines: DataFrame, k: int = retrieval.TOP_K) -> DataFrame:
-    """Chunks most similar to a question, by hashed TF-IDF vectors."""
+    """Chunks most similar to a question, by TF-IDF of their words."""
     asked = routed.filter(F.col("level2") == RETRIEVE).withColumn("query_id", F.xxhash64("question"))
     texts = asked.groupBy("query_id").agg(F.any_value("question").alias("text"))
     ids = materialize(retrieval.chunk_ids(lines), "chunks")
     chunks = materialize(
         retrieval.chunk_texts(lines, ids).withColumn("vec_id", F.col("line_from")), "chunk_texts"
     )
-    counts = materialize(retrieval.bucket_counts(chunks, ["vec_id"]), "bucket_counts")
-    idf = materialize(retrieval.bucket_idf(counts, chunks), "bucket_idf")
-    vectors = retrieval.dense_vectors(retrieval.unit_weights(counts, idf, ["vec_id"]), ["vec_id"])
-    queries = retrieval.dense_vectors(
-        retrieval.unit_weights(retrieval.bucket_counts(texts, ["query_id"]), idf, ["query_id"]), ["query_id"]
-    )
-    best = retrieval.nearest(vectors, queries, k)
+    best = retrieval.nearest_texts(chunks.select("vec_id", "text"), texts, k)
     found = (
         best.join(chunks.select("vec_id", F.col("text").alias("line")), "vec_id")
         .groupBy("query_id")
