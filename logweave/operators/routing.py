@@ -97,3 +97,38 @@ def parse_route_json(answers: DataFrame, column: str = "json") -> DataFrame:
         .withColumn("usable", F.coalesce(F.lower("choice").isin(*ROUTES), F.lit(False)))
         .drop("_route")
     )
+
+
+def decided_questions(questions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``route_questions`` with given decisions in place of the rules.
+
+    ``decisions`` has question_id and what ``parse_route_json`` reads: choice, keywords, events,
+    usable.  A decision that is not usable leaves the question without the log; a question
+    without a decision is routed by the rules.  A choice of ``partial`` alone gets the rules' second
+    level, keywords and events.  Of several decisions for a question the smallest counts.
+    """
+    given = decisions.groupBy("question_id").agg(F.min(F.struct("choice", "keywords", "events", "usable")).alias("_given"))
+    choice = F.when(F.col("_given.usable"), F.lower("_given.choice")).otherwise(F.lit(GENERATION))
+    question, nothing = F.col("question"), F.array().cast("array<string>")
+    names = lambda column: F.coalesce(F.array_distinct(F.array_compact(column)), nothing)
+    level2 = F.when(F.col("_choice").isin(SEARCH, EVENT, RETRIEVE), F.col("_choice")).when(
+        F.col("_choice") == PARTIAL, second_route(question)
+    )
+    ruled = F.col("_given").isNull()
+    alone = F.col("_choice") == PARTIAL
+    own = lambda route, found, column: F.when(
+        F.col("_level2") == route, F.when(alone, found).otherwise(names(F.col(column)))
+    ).otherwise(nothing)
+    routed = route_questions(questions).join(given, "question_id", "left").withColumn("_choice", choice)
+    routed = routed.withColumn("_level2", level2)
+    return (
+        routed.withColumn("keywords", F.when(ruled, F.col("keywords")).otherwise(own(SEARCH, question_keywords(question), "_given.keywords")))
+        .withColumn("events", F.when(ruled, F.col("events")).otherwise(own(EVENT, question_events(question), "_given.events")))
+        .withColumn(
+            "level1",
+            F.when(ruled, F.col("level1")).when(F.col("_level2").isNotNull(), F.lit(PARTIAL)).otherwise(F.col("_choice")),
+        )
+        .withColumn("level2", F.when(ruled, F.col("level2")).otherwise(F.col("_level2")))
+        .withColumn("route", F.initcap(F.concat_ws(" > ", "level1", "level2")))
+        .drop("_given", "_choice", "_level2")
+    )

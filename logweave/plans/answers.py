@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.operators import context as texts_of
 from logweave.operators import retrieval
-from logweave.operators.routing import ALL, EVENT, PARTIAL, RETRIEVE, SEARCH, route_questions
+from logweave.operators.routing import ALL, EVENT, PARTIAL, RETRIEVE, SEARCH, decided_questions, route_questions
 from logweave.operators.search import EVENT_CAP, KEYWORD_CAP, KeywordSets, with_set_key
 from logweave.session import lookup_join, materialize
 
@@ -81,15 +82,21 @@ def retrieved_answers(routed: DataFrame, lines: DataFrame, k: int = retrieval.TO
 
 
 def answer_questions(
-    questions: DataFrame, lines: DataFrame, structured: DataFrame, catalogue: DataFrame
+    questions: DataFrame,
+    lines: DataFrame,
+    structured: DataFrame,
+    catalogue: DataFrame,
+    decisions: DataFrame | None = None,
 ) -> DataFrame:
-    """``(question_id, route, n_matched, trimmed, direct, context, keywords, events)``.
+    """``(question_id, question, route, n_matched, trimmed, direct, context, keywords, events)``.
 
     All tables are about one log.  ``direct`` marks questions to answer without log lines:
     routed to no log, or nothing found.  Whole-log questions count the events; their context
-    is the catalogue itself (``catalogue_pages``).
+    is the catalogue itself (``catalogue_pages``), which ``question_prompts`` attaches.  A router's
+    ``decisions`` (see ``decided_questions``) go before the rules.
     """
-    routed = materialize(route_questions(questions), "routed")
+    routed = route_questions(questions) if decisions is None else decided_questions(questions, decisions)
+    routed = materialize(routed, "routed")
     partial = (
         search_answers(routed, lines)
         .unionByName(event_answers(routed, structured, catalogue))
@@ -114,3 +121,42 @@ def answer_questions(
             "events",
         )
     )
+
+
+def question_prompts(
+    questions: DataFrame,
+    lines: DataFrame,
+    structured: DataFrame,
+    catalogue: DataFrame,
+    decisions: DataFrame | None = None,
+) -> DataFrame:
+    """``(question_id, route, prompt)``: the prompt of every question, with the context of its route.
+
+    Whole-log questions get the catalogue, the log's first and last line and its counts; questions
+    on events the events' catalogue rows and lines; the others their lines or chunks.  Direct
+    questions are asked as they are.  All tables are about one log.
+    """
+    found = materialize(answer_questions(questions, lines, structured, catalogue, decisions), "answers")
+    named = found.select("question_id", F.explode("events").alias("EventId")).join(catalogue, "EventId")
+    rows = named.groupBy("question_id").agg(texts_of.events_text().alias("_rows"))
+    whole = texts_of.summary_context(lines, catalogue).join(
+        texts_of.catalogue_pages(catalogue).select("log_id", "events_text"), "log_id", "left"
+    )
+    route = F.lower(F.element_at(F.split("route", " > "), -1))
+    asked = found.join(rows, "question_id", "left").withColumn("_route", route)
+    whole = whole.withColumn("events_text", F.coalesce("events_text", F.lit(""))).withColumn("_route", F.lit(ALL))
+    asked = asked.join(F.broadcast(whole), "_route", "left")
+    question, n_matched, trimmed, lines_of = F.col("question"), F.col("n_matched"), F.col("trimmed"), F.col("context")
+    prompt = (
+        F.when(F.col("direct") | ((F.col("_route") == ALL) & F.col("log_id").isNull()), texts_of.chat_prompt(question))
+        .when(F.col("_route") == ALL, texts_of.summary_prompt(question))
+        .when(
+            F.col("_route") == EVENT,
+            texts_of.event_prompt(question, F.col("events"), n_matched, trimmed, EVENT_CAP, F.col("_rows"), lines_of),
+        )
+        .when(F.col("_route") == RETRIEVE, texts_of.retrieve_prompt(question, lines_of))
+        .otherwise(
+            texts_of.search_prompt(question, "keywords", F.col("keywords"), n_matched, trimmed, KEYWORD_CAP, lines_of)
+        )
+    )
+    return asked.select("question_id", "route", prompt.alias("prompt"))
