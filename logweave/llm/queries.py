@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from logweave.llm import bpe, exact_dedup, html_extract, packing, quality_conv, quality_rules, simhash, toxicity, url_filter, warc
+from logweave.llm import (
+    bpe,
+    exact_dedup,
+    html_extract,
+    merkle,
+    packing,
+    quality_conv,
+    quality_rules,
+    simhash,
+    toxicity,
+    url_filter,
+    warc,
+)
 from logweave.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +70,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.dedup_documents(read_table(spark, folder, "documents"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -73,9 +89,46 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle": op11_merkle,
     "pipeline": pipeline,
 }
 
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+#: crc32 of the decimal doc_id, bit by bit.
+_CRC = """
+    xor(4294967295::UBIGINT, list_reduce(
+        list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+        lambda made, byte: list_reduce(
+            list_prepend(xor(made, byte), [0::UBIGINT, 1, 2, 3, 4, 5, 6, 7]),
+            lambda bits, n: xor(bits >> 1, 3988292384::UBIGINT * (bits & 1)))))
+"""
+_RUN = "OVER (PARTITION BY level, tree, idx // 16 ORDER BY idx ROWS BETWEEN"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Nodes of all levels, and the digests before and after each in its run."""
+    return f"""
+        {name}(level, tree, idx, n, digest) AS (
+            {leaves}
+            UNION ALL
+            SELECT level + 1, tree, idx // 16, any_value((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY idx))
+            FROM {name} WHERE n > 1 GROUP BY level, tree, idx // 16
+        ), {name}_steps AS (
+            SELECT level, tree, idx,
+                   coalesce(string_agg(digest, '') {_RUN} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                   coalesce(string_agg(digest, '') {_RUN} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+            FROM {name} WHERE n > 1
+        )"""
+
+
 SQL: dict[str, str] = {
     "op6_warc": """
         WITH payloads AS (
@@ -99,4 +152,44 @@ SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op11_merkle": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, source, {_leaf("text")} AS leaf,
+                   CASE WHEN {_CRC} % 5 = 0
+                        THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+                   END AS forged
+            FROM documents
+        ), placed AS (
+            SELECT *, row_number() OVER () AS number,
+                   dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+                   count(*) OVER (PARTITION BY source) AS n
+            FROM leaves
+        ), {_levels("nodes", "SELECT 0, tree, idx, n, leaf FROM placed")},
+        tops AS (SELECT tree, level, digest FROM nodes WHERE n = 1),
+        {_levels("uppers", "SELECT 0, 0::BIGINT, tree, count(*) OVER (), digest FROM tops")},
+        paths AS (
+            SELECT number, level AS place, before, behind
+            FROM placed JOIN nodes_steps s ON s.tree = placed.tree AND s.idx = placed.idx // (1::BIGINT << (4 * s.level))
+            UNION ALL
+            SELECT number, tops.level + s.level, before, behind
+            FROM placed JOIN tops ON tops.tree = placed.tree
+            JOIN uppers_steps s ON s.idx = placed.tree // (1::BIGINT << (4 * s.level))
+        ), folded(number, place, digest) AS (
+            SELECT number, 0, coalesce(forged, leaf) FROM placed
+            UNION ALL
+            SELECT f.number, f.place + 1, sha256(before || f.digest || behind)
+            FROM folded f JOIN paths p ON p.number = f.number AND p.place = f.place
+        ), ends AS (
+            SELECT number, arg_max(digest, place) AS folded_root FROM folded GROUP BY number
+        ), proofs AS (
+            SELECT number, sha256(string_agg(before || behind, '' ORDER BY place)) AS proof FROM paths GROUP BY number
+        )
+        SELECT doc_id, leaf, tops.digest AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root,
+               folded_root = root AS verified
+        FROM placed JOIN tops ON tops.tree = placed.tree
+        JOIN ends ON ends.number = placed.number
+        LEFT JOIN proofs ON proofs.number = placed.number,
+        (SELECT digest AS root FROM uppers WHERE n = 1)
+    """,
 }
