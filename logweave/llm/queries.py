@@ -10,6 +10,7 @@ import corpus_pipeline
 from logweave.llm import (
     bpe,
     exact_dedup,
+    filter_audit,
     html_extract,
     merkle,
     packing,
@@ -74,6 +75,10 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(read_table(spark, folder, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle": op11_merkle,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": pipeline,
 }
 
@@ -192,4 +198,50 @@ SQL: dict[str, str] = {
         LEFT JOIN proofs ON proofs.number = placed.number,
         (SELECT digest AS root FROM uppers WHERE n = 1)
     """,
+    "op12_filter_audit": """
+        WITH letters(name) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        orders AS (
+            SELECT a.name || b.name || c.name || d.name || e.name AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE b.name <> a.name AND c.name NOT IN (a.name, b.name) AND d.name NOT IN (a.name, b.name, c.name)
+              AND e.name NOT IN (a.name, b.name, c.name, d.name)
+        ), texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+        ), words AS (
+            SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts
+        ), failed AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+            FROM words
+        ), marked AS (
+            SELECT part, fails, coalesce(good, false) AS good, coalesce(bad, false) AS bad
+            FROM failed LEFT JOIN (
+                SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS bad FROM labels GROUP BY doc_id
+            ) USING (doc_id)
+        ), counted AS (
+            SELECT part, fails, good, bad, count(*) AS n FROM marked GROUP BY ALL
+        ), steps AS (
+            SELECT filter_order, step::INT AS step, filter_order[step] AS own, filter_order[1:step - 1] AS before
+            FROM orders, range(1, 6) t(step)
+        ), judged AS (
+            SELECT *, contains(fails, own) AS hit, translate(fails, before, '') <> fails AS gone
+            FROM counted, steps
+        ), summed AS (
+            SELECT part, filter_order, step, own,
+                   coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n) FILTER (hit AND NOT gone AND good), 0)::BIGINT AS good_lost,
+                   coalesce(sum(n) FILTER (hit AND NOT gone AND bad), 0)::BIGINT AS toxic_lost
+            FROM judged GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+        FROM summed
+    """,
 }
