@@ -14,6 +14,7 @@ from logweave.llm import (
     html_extract,
     merkle,
     packing,
+    pii,
     quality_conv,
     quality_rules,
     simhash,
@@ -79,6 +80,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(read_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle": op11_merkle,
     "op12_filter_audit": op12_filter_audit,
+    "op13_pii": op13_pii,
     "pipeline": pipeline,
 }
 

@@ -15,7 +15,7 @@ def test_registry():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
-    assert [n for n in range(1, 13) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
