@@ -36,7 +36,9 @@ CONTINUED = bytes(range(0x80, 0xC0))
 DUPLICATE = 1 << FILTERS.index("E")
 
 #: Text that one trie holds, about.
-TRIE_BYTES = 32 << 20
+TRIE_BYTES = 16 << 20
+#: Tasks that first share the copies of a text of which there is much.
+SALTS = 64
 #: Bytes of the shortest prefix, and how much longer the next one is.
 PREFIX, LONGER = 16, 4
 #: A null id counts as larger than every other one.
@@ -218,8 +220,8 @@ def adaptive_prefixes(texts: DataFrame, limit: int) -> DataFrame:
         marked = lookup_join(marked, heavy, ["prefix"], "left").withColumn("prefix", longer).drop("heavy")
 
 
-def trie_masks(firsts: DataFrame) -> DataFrame:
-    """Masks of the rows that came with their texts, duplicates among them flagged."""
+def flag_in_tries(dealt: DataFrame, with_text: bool) -> DataFrame:
+    """Flag the duplicates that meet in a task; rows that no smaller id was met for keep their text, if it is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, out = Trie(), _Writer()
@@ -227,14 +229,33 @@ def trie_masks(firsts: DataFrame) -> DataFrame:
             for batch in slices(whole):
                 for *row, text in zip(*[batch.column(n).to_pylist() for n in ("doc_id", "part", "mask", "text")]):
                     yield from _beaten(trie, out, text, tuple(row))
-        yield from _firsts(trie, out, False)
+        yield from _firsts(trie, out, with_text)
         yield out.rest()
 
+    return dealt.select("doc_id", "part", "mask", "text").mapInArrow(run, _MASKS)
+
+
+def trie_masks(firsts: DataFrame) -> DataFrame:
+    """Masks of the rows that came with their texts, duplicates among them flagged.
+
+    Prefixes that hold too much although they are whole texts belong to copies that many tasks
+    have each found a first of.  Those are dealt by prefix and a part of the id before, so that no
+    task gets all of them.
+    """
     size = firsts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    marked = adaptive_prefixes(firsts, max(1, min(TRIE_BYTES, size // HOT_SHARE)))
+    limit = max(1, min(TRIE_BYTES, size // HOT_SHARE))
     parts = max(firsts.sparkSession.sparkContext.defaultParallelism, -(-size // TRIE_BYTES))
-    dealt = marked.repartitionByRange(parts, "prefix").select("doc_id", "part", "mask", "text")
-    return dealt.mapInArrow(run, _MASKS)
+    marked = adaptive_prefixes(firsts, limit)
+    sums = marked.groupBy("prefix").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    copies = materialize(sums.filter(F.col("bytes") > limit).select("prefix"), "filter-copies")
+    if copies.isEmpty():
+        return flag_in_tries(marked.repartitionByRange(parts, "prefix"), False)
+    shared = lookup_join(marked, copies, ["prefix"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    shared = materialize(flag_in_tries(shared.repartitionByRange(parts, "prefix", "salt"), True), "filter-shared")
+    rest = lookup_join(marked, copies, ["prefix"], "left_anti")
+    left = shared.filter("text is not null").withColumn("prefix", F.col("text"))
+    found = flag_in_tries(rest.unionByName(left).repartitionByRange(parts, "prefix"), False)
+    return found.unionByName(shared.filter("text is null"))
 
 
 def failure_masks(documents: DataFrame) -> DataFrame:
