@@ -45,6 +45,32 @@ def test_encode_documents(make, odd_rows, encoder):
     assert bpe.encode_documents(make([])).count() == 0
 
 
+def test_words_of_many_lengths_together_and_alone(encoder):
+    random.seed(4)
+    long = "".join(random.choices("abcdeé1'", k=30_000))
+    texts = [long, "", None, " ", "it's we'LL 'sam ''s -'s 1's 'reé r'e <|endoftext|>'s", "x" * 65, "x" * 64 + " " + "y" * 200, "中文 mixé 'Σ"]
+    found = encoder.encode_batch(texts)
+    expected = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == expected
+    assert encoder.encode_batch([]) == []
+
+
+def test_batches_longer_than_a_gathering(encoder, monkeypatch):
+    texts = ["a b c d e", "", "f g", "one two three four five six seven", " h "]
+    whole = encoder.encode_batch(texts)
+    for size in (1, 2, 3, 5):
+        monkeypatch.setattr(bpe, "GATHERED", size)
+        assert encoder.encode_batch(texts) == whole
+
+
+def test_table_that_fills_up():
+    table = bpe.Table(lambda key: key % 1000 + 1, bits=6)
+    keys = np.random.default_rng(1).integers(0, 1 << 40, 500)
+    for part in (keys[:10], keys[:200], keys[100:], keys[::-1], keys[:0]):
+        assert table.get(part).tolist() == (part % 1000 + 1).tolist()
+        assert table.used <= 32
+
+
 def test_partition_is_even_and_within_capacity():
     random = np.random.default_rng(3)
     lengths = np.minimum(random.lognormal(6, 1, 800).astype(int) + 1, 4095)
@@ -73,3 +99,10 @@ def test_pack(make, odd_rows, encoder):
         assert end <= 4096
     assert sum(p.length for p in pieces) == sum(len(i) for all_ids in ids.values() for i in all_ids)
     assert packing.pack(make([])).count() == 0
+
+
+def test_pack_a_million_empty_texts(spark):
+    texts = spark.range(1_000_000, numPartitions=8).selectExpr("id AS doc_id", "if(id % 3 = 0, null, '') AS text")
+    found = packing.pack(texts).groupBy("sequence_id").sum("length").collect()
+    assert sum(r[1] for r in found) == 1_000_000 and max(r[1] for r in found) <= 4096
+    assert len(found) <= 1.3 * 1_000_000 / 4096
