@@ -1,8 +1,8 @@
 """Packing documents into sequences of bounded length by multiway differencing.
 
 A document longer than a window is cut into full windows, which need no company, and a rest.
-Rests are dealt by hash into batches of about ``BATCH_TOKENS`` tokens, and each batch is
-partitioned by the Karmarkar-Karp method: every rest starts as a partial partition with one
+Rests are dealt by hash into batches of about ``BATCH_TOKENS`` tokens and at most about
+``BATCH_RESTS`` rests, and each batch is partitioned by the Karmarkar-Karp method: every rest starts as a partial partition with one
 used window; the two partial partitions with the largest imbalance are merged so that the
 fullest windows of one meet the emptiest of the other, until one partition is left.  Its windows
 are nearly equal, so with the least number of windows that the tokens allow there is little
@@ -30,7 +30,8 @@ from logweave.session import materialize
 
 CAPACITY = 4096
 END_OF_TEXT = 2
-BATCH_TOKENS = 1 << 20
+#: Tokens and rests that are partitioned together, about.
+BATCH_TOKENS, BATCH_RESTS = 1 << 20, 1 << 14
 
 
 def difference(lengths: np.ndarray, windows: int) -> np.ndarray:
@@ -96,8 +97,8 @@ def encode_pieces(documents: DataFrame, path: str | None = None, capacity: int =
 
     def work(texts, encoder):
         rows = []
-        for text in texts:
-            ids = encoder.encode(text) + end
+        for ids in encoder.encode_batch(texts):
+            ids += end
             size = 4 * capacity
             rows.append((len(ids) // 4, [zlib.crc32(ids[a : a + size]) for a in range(0, len(ids), size)]))
         return rows
@@ -135,8 +136,10 @@ def pack(
         F.lit(0).cast("long").alias("offset"),
     )
     rests = pieces.filter(F.col("length") < capacity)
-    tokens = encoded.agg(F.sum(F.col("doc_tokens") % capacity)).first()[0] or 0
-    batches = max(1, -(-tokens // batch_tokens))
+    rest = F.col("doc_tokens") % capacity
+    tokens, count = encoded.agg(F.coalesce(F.sum(rest), F.lit(0)), F.count_if(rest > 0)).first()
+    # Many short rests are bounded by their number: a merge costs a place per window.
+    batches = max(1, -(-tokens // batch_tokens), -(-count // BATCH_RESTS))
     packed = (
         rests.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("long"))
         .groupBy("batch")
