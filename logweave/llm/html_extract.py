@@ -54,6 +54,9 @@ ENDS_SIBLING = {
 }
 BOUNDARY = frozenset(["table", "td", "th", "body", "html"])
 NAME_WORD = re.compile(r"[a-z]+")
+OPENING = re.compile(r"<[A-Za-z/!?]")
+CONDITION = re.compile(r"<!\[\s*(?:if|else|endif)\b", re.IGNORECASE)
+ENDINGS = {"comment": re.compile(r"--\s*>"), "condition": re.compile(r"\]\s*>"), "section": re.compile(r"\]\s*\]\s*>")}
 
 
 class Page(HTMLParser):
@@ -62,11 +65,20 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.words, self.marks = ["#page"], [-1], [()], [None]
+        #: Of each element: the block that its text runs in, and the variable that owns the text.
+        self.blocks, self.owners = [0], [0]
+        #: Places in the stack of the open elements of each name.
+        self.open: dict[str, list[int]] = {}
         #: (element, block, text, inside a link); a new block starts a new run.
         self.runs: list[tuple[int, int, str, bool]] = []
         self.stack = [0]
         self.hidden = 0
         self.links = 0
+        # A tag that never ends is no text, and neither is what follows it.
+        cut = OPENING.search(html, html.rfind(">") + 1)
+        html = html[: cut.start()] if cut else html
+        #: Where the last end of a comment and of either kind of marked section begins; behind it they never end.
+        self.ends = {kind: max((m.start() for m in end.finditer(html)), default=-1) for kind, end in ENDINGS.items()}
         self.feed(html)
         self.close()
 
@@ -77,6 +89,19 @@ class Page(HTMLParser):
             # A marked section of no known name is a comment up to the next ">".
             return self.parse_bogus_comment(i)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment that never ends hides the rest of the page."""
+        if i + 4 > self.ends["comment"]:
+            return len(self.rawdata)
+        return super().parse_comment(i, report)
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        """A marked section that never ends is a comment up to the next ">"."""
+        kind = "condition" if CONDITION.match(self.rawdata, i) else "section"
+        if i + 3 > self.ends[kind]:
+            return self.parse_bogus_comment(i)
+        return super().parse_marked_section(i, report)
+
     def begin_body(self) -> None:
         """Close a head that was never closed, unless one of its elements is open."""
         if self.hidden and self.tags[self.stack[-1]] == "head":
@@ -108,7 +133,12 @@ class Page(HTMLParser):
         self.parents.append(self.stack[-1])
         self.words.append(tuple(dict.fromkeys(names)))
         self.marks.append(mark)
-        self.stack.append(len(self.tags) - 1)
+        node, above = len(self.tags) - 1, self.stack[-1]
+        inline = tag in INLINE
+        self.blocks.append(self.blocks[above] if inline else node)
+        self.owners.append(self.owners[above] if inline and not names else node)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
         self.hidden += tag in UNSEEN
         self.links += tag == "a"
 
@@ -116,34 +146,30 @@ class Page(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(self.tags[n] == "p" for n in self.stack):
-            return
         self.end(tag, frozenset() if tag in ("body", "html", "table") else frozenset(["body"]))
 
     def end(self, tag: str, bounds: frozenset | set) -> None:
         """Close the innermost open element of that name, and all inside it, unless a bound comes first."""
-        for at in range(len(self.stack) - 1, 0, -1):
-            found = self.tags[self.stack[at]]
-            if found == tag:
-                for node in self.stack[at:]:
-                    self.hidden -= self.tags[node] in UNSEEN
-                    self.links -= self.tags[node] == "a"
-                del self.stack[at:]
-                return
-            if found in bounds:
-                return
+        places = self.open.get(tag)
+        if not places:
+            return
+        at = places[-1]
+        if any(self.open[bound][-1] > at for bound in bounds if self.open.get(bound)):
+            return
+        for node in self.stack[at:]:
+            name = self.tags[node]
+            self.open[name].pop()
+            self.hidden -= name in UNSEEN
+            self.links -= name == "a"
+        del self.stack[at:]
 
     def text(self, data: str) -> None:
         if self.hidden and not data.isspace():
             self.begin_body()
         if self.hidden:
             return
-        owner = block = self.stack[-1]
-        while block and self.tags[block] in INLINE:
-            block = self.parents[block]
-        while owner != block and not self.words[owner]:
-            owner = self.parents[owner]
-        self.runs.append((owner, block, data, self.links > 0))
+        node = self.stack[-1]
+        self.runs.append((self.owners[node], self.blocks[node], data, self.links > 0))
 
     handle_data = text
 

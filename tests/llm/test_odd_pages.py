@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from logweave.llm.html_extract import Page, extract_pages
+from logweave.llm.html_extract import Page, extract_pages, trained
 
 TEXT = "This is the first sentence of the story, and it goes on for a while. " * 6
 
@@ -30,6 +32,22 @@ def test_what_is_open_in_a_head_stays_unseen(head):
     assert seen(f"<head>{head}</head><body><p>the text") == "the text"
 
 
+@pytest.mark.parametrize("part", ["<b>", "<div>", "<p><b>", "<ul><li>x", "<a href=x>", "<!--", "<a", "<![CDATA[", "<?", '<a x="', "</", "&#"])
+def test_time_is_linear_in_repeated_openings(part):
+    """A hundred thousand of them; quadratic time would be minutes."""
+    start = time.process_time()
+    trained().extract(f"<p>{TEXT}</p>" + part * 100_000 + "end")
+    assert time.process_time() - start < 20
+
+
+def test_what_never_ends():
+    assert seen("<p>before<!--never ended <p>more") == "before"
+    assert seen("<p>before<a href='x") == "before"
+    assert seen("<p>before <![CDATA[ never <b>ended</b>") == "before ended"
+    assert seen("<p>a <![if x> b <b>c") == "a b c"
+    assert seen("1 < 2 and 3 <") == "1 < 2 and 3 <"
+
+
 def test_odd_pages_in_a_table(spark):
     rows = [
         (1, "u", f"<html><body><article><p>{TEXT}</p><![x[b]]><p>{TEXT}</p></article></body></html>"),
