@@ -1,8 +1,10 @@
 """Exact deduplication against a persistent index of text digests.
 
-The index holds one row per distinct text ever seen and is bucketed and sorted by digest, so
-that it joins by sort-merge without being shuffled.  A batch of documents is reduced to one row
-per digest before it meets the index; what the anti-join leaves is new and is appended.
+The index is bucketed and sorted by digest, so that it joins by sort-merge without being shuffled.
+It holds a first row for each distinct text ever seen, and a row for each later batch that had
+the text again, with the batch's number of copies.  A batch of documents is reduced to one row per
+digest before it meets the index.  What the anti-join leaves is new: the batch's own row stays;
+the rest is known, and stays with the index's row.  Both are appended in one write.
 
 All of it is DataFrame and SQL work.  Texts are read once and not shuffled.  A digest that many
 rows share costs one row per task in the grouping; to bring a group's result back to its rows,
@@ -22,7 +24,7 @@ from logweave.session import materialize, scratch_path
 
 
 class DigestIndex:
-    """One row per distinct text: digest, keep_id of the row that stays, group_size so far.
+    """Rows of digest, keep_id, group_size (copies in one batch) and whether it is the text's first row.
 
     The folder outlives the session; open it again with the same number of buckets.  An append
     is one Spark write job: if it fails, nothing of it is seen.
@@ -32,20 +34,26 @@ class DigestIndex:
         self.spark, self.buckets = spark, buckets
         self.table = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT, group_size BIGINT, first BOOLEAN) "
+            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def totals(self) -> DataFrame:
+        """One row per distinct text: digest, keep_id of the row that stays, copies so far (not shuffled)."""
+        keep = F.max(F.when(F.col("first"), F.struct("keep_id"))).getField("keep_id")
+        return self.rows().groupBy("digest").agg(keep.alias("keep_id"), F.sum("group_size").alias("group_size"))
+
     def unseen(self, groups: DataFrame) -> DataFrame:
         """Groups whose digest is not in the index (sort-merge anti-join)."""
-        return groups.hint("merge").join(self.rows(), "digest", "left_anti")
+        return groups.hint("merge").join(self.rows().filter("first").select("digest"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
+        """Write a batch's digest, keep_id, group_size and first."""
         (
-            groups.select("digest", "keep_id", "group_size")
+            groups.select("digest", "keep_id", "group_size", "first")
             .repartition(self.buckets, "digest")
             .write.insertInto(self.table)
         )
@@ -85,18 +93,24 @@ def dedup(documents: DataFrame, index: DigestIndex) -> DataFrame:
     rows = digests(documents)
     groups = materialize(group_digests(rows), "digest-groups")
     total = rows.count()
-    known = index.rows().select("digest", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
     # One row per digest on either side: no key is hot here.
-    resolved = materialize(
-        groups.hint("merge").join(known, "digest", "left").select(
+    new = index.unseen(groups).withColumn("copies", F.col("group_size")).withColumn("first", F.lit(True))
+    known = (
+        groups.select("digest", F.col("group_size").alias("copies"))
+        .hint("merge")
+        .join(index.totals(), "digest")
+        .select(
             "digest",
-            F.when(F.col("_size").isNull(), F.col("keep_id")).otherwise(F.col("_keep")).alias("keep_id"),
-            F.when(F.col("_size").isNull(), F.col("keep_row")).alias("keep_row"),
-            (F.col("group_size") + F.coalesce(F.col("_size"), F.lit(0))).alias("group_size"),
-        ),
-        "digest-resolved",
+            "keep_id",
+            F.lit(None).cast("long").alias("keep_row"),
+            (F.col("group_size") + F.col("copies")).alias("group_size"),
+            "copies",
+            F.lit(False).alias("first"),
+        )
     )
-    index.append(index.unseen(groups))
+    resolved = materialize(new.unionByName(known), "digest-resolved")
+    index.append(resolved.select("digest", "keep_id", F.col("copies").alias("group_size"), "first"))
+    resolved = resolved.select("digest", "keep_id", "keep_row", "group_size")
     return attach_groups(rows, resolved, "digest", total).select(
         "doc_id",
         "keep_id",

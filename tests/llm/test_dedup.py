@@ -36,11 +36,27 @@ def test_index_outlives_a_batch(spark, make):
     again = exact_dedup.DigestIndex(spark, path, 4)
     second = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(make([(7, "b"), (8, "c")]), again).collect()}
     assert second == {7: (3, 3, False), 8: (8, 1, True)}
-    assert again.rows().count() == 3
+    assert again.totals().count() == 3
     plan = again.unseen(exact_dedup.group_digests(exact_dedup.digests(make([(9, "d")]))))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
 
 
+def test_third_batch_counts_all_batches(spark, make):
+    path = scratch_path(spark, "digest-index")
+    seen = []
+    for rows in ([(1, "b"), (2, "b")], [(3, "b"), (None, "n")], [(4, "b"), (5, "n"), (5, "n"), (6, "new")]):
+        seen.append(exact_dedup.dedup(make(rows), exact_dedup.DigestIndex(spark, path, 4)).collect())
+    found = [[(r.doc_id, r.keep_id, r.group_size, r.kept) for r in sorted(rows, key=str)] for rows in seen]
+    assert found[0] == [(1, 2, 2, False), (2, 2, 2, True)]
+    assert found[1] == [(3, 2, 3, False), (None, None, 1, True)]
+    assert found[2] == [(4, 2, 4, False), (5, None, 3, False), (5, None, 3, False), (6, 6, 1, True)]
+    totals = sorted((str(r.keep_id), r.group_size) for r in exact_dedup.DigestIndex(spark, path, 4).totals().collect())
+    assert totals == [("2", 4), ("6", 1), ("None", 3)]
+    # What is new comes through the anti-join, and totals are summed without a shuffle of the index.
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    assert "Exchange" not in index.totals()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_distinct_documents_keep_columns(make, odd_rows):
     docs = make(odd_rows)
     found = exact_dedup.distinct_documents(docs)
