@@ -3,7 +3,10 @@
 The given list decides where a rule fits; the longest one wins.  Every other URL is judged by
 association rules: FP-growth finds the token combinations of labelled URLs that go with a
 label, rules of too little support or confidence are pruned, and so are rules that a shorter
-rule of at least the same confidence covers.  An inverted index holds each rule under its
+rule of at least the same confidence covers.  Of a labelled URL only the ``URL_TOKENS`` tokens
+that tell the labels apart best are combined, to rules of at most ``RULE_TOKENS`` tokens, so sites
+with long common paths cost no more than others: a combination of n tokens would otherwise
+have 2^n parts, all as frequent as itself.  An inverted index holds each rule under its
 rarest token, so a URL meets a rule only if it holds that token; the other tokens are then
 checked.  A URL's surest rule decides, and without one it is allowed.
 
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import bounded_sample
-from logweave.session import materialize
+from logweave.session import lookup_join, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,6 +40,8 @@ SUPPORT = 0.005
 CONFIDENCE = 0.8
 #: Tokens in more than this part of the labelled URLs tell nothing apart and are not combined.
 COMMON = 0.9
+#: Tokens of a labelled URL that are combined, and tokens of a rule, at most.
+URL_TOKENS, RULE_TOKENS = 10, 4
 
 
 def lower_ascii(text: Column) -> Column:
@@ -96,22 +101,32 @@ def mine_rules(
     mark = "label="
     sample = materialize(bounded_sample(labelled.filter("label is not null"), "page_id", sample_rows), "url-sample")
     total = sample.count()
-    # Tokens that most URLs hold: no more of them than a URL has tokens.
-    uses = sample.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count("*").alias("uses"))
-    usual = [r.key for r in uses.filter(F.col("uses") > COMMON * total).collect()]
-    baskets = sample.select(
-        F.array_union(
-            F.array_except("tokens", F.array(*map(F.lit, usual)).cast("array<string>")),
-            F.array(F.concat(F.lit(mark), "label")),
-        ).alias("items")
-    )
     empty = "tokens array<string>, label string, confidence double, support double, rule_id bigint, key string"
     if not total:
         return labelled.sparkSession.createDataFrame([], empty)
+    # Tokens that most URLs hold are left out.
+    counts = sample.select("label", F.explode("tokens").alias("key")).groupBy("key", "label").agg(F.count("*").alias("n"))
+    shares = sample.groupBy("label").agg((F.count("*") / F.lit(max(1, total))).alias("share"))
+    uses = materialize(
+        counts.groupBy("key").agg(F.sum("n").alias("uses")).filter(F.col("uses") <= COMMON * total), "url-tokens"
+    )
+    # How far a token's labelled URLs are from those of a token that says nothing.
+    gaps = counts.join(uses, "key").join(F.broadcast(shares), "label")
+    clear = materialize(
+        gaps.groupBy("key").agg(F.max(F.abs(F.col("n") - F.col("uses") * F.col("share"))).alias("clarity")), "url-clarity"
+    )
+    own = lookup_join(sample.select("page_id", "label", F.explode("tokens").alias("key")), clear, ["key"], "inner")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("clarity")).alias("order"), "key"))), 1, URL_TOKENS)
+    baskets = own.groupBy("page_id").agg(
+        F.array_union(F.transform(best, lambda t: t["key"]), F.array(F.concat(F.lit(mark), F.first("label")))).alias("items")
+    )
+    baskets = materialize(baskets, "url-baskets")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     head = F.col("consequent")[0]
     rules = materialize(
-        model.associationRules.filter(head.startswith(mark) & ~F.exists("antecedent", lambda t: t.startswith(mark))).select(
+        model.associationRules.filter(head.startswith(mark) & ~F.exists("antecedent", lambda t: t.startswith(mark)))
+        .filter(F.size("antecedent") <= RULE_TOKENS)
+        .select(
             F.array_sort("antecedent").alias("tokens"),
             F.substring(head, len(mark) + 1, 1 << 20).alias("label"),
             "confidence",
@@ -127,18 +142,17 @@ def mine_rules(
         .agg(F.min_by("key", F.struct("uses", "key")).alias("key"))
     )
     rules = materialize(rules.join(keyed, "rule_id"), "url-index")
-    # A shorter rule that covers this one is found through any of this rule's tokens as its key.
-    short = rules.select(
-        F.col("key").alias("_key"),
-        F.col("tokens").alias("_tokens"),
-        F.col("label").alias("_label"),
-        F.col("confidence").alias("_confidence"),
+    # A shorter rule that covers this one is one of its proper parts.
+    parts = F.expr(
+        "transform(sequence(1, shiftleft(1, size(tokens)) - 2), "
+        "mask -> filter(tokens, (t, at) -> (mask & shiftleft(1, at)) <> 0))"
     )
+    short = rules.select(F.col("tokens").alias("_part"), F.col("label").alias("_label"), F.col("confidence").alias("_confidence"))
     covered = (
-        rules.withColumn("_key", F.explode("tokens"))
-        .join(short, "_key")
-        .filter("_label = label and _confidence >= confidence and size(_tokens) < size(tokens)")
-        .filter("size(array_except(_tokens, tokens)) = 0")
+        rules.filter("size(tokens) > 1")
+        .select("rule_id", "label", "confidence", F.explode(parts).alias("_part"))
+        .join(short, "_part")
+        .filter("_label = label and _confidence >= confidence")
         .select("rule_id")
         .distinct()
     )
@@ -192,14 +206,25 @@ def judge_urls(
     )
 
 
-def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Tokens of the pages that have labels: ``block`` for low quality or toxic text, else ``allow``."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    known = labels.groupBy(F.col("doc_id").alias("page_id")).agg(
+def document_number(path: Column) -> Column:
+    """The number that a path ends with; null if it ends otherwise."""
+    return F.nullif(F.regexp_extract(path, "/([0-9]+)/?$", 1), F.lit("")).try_cast("bigint")
+
+
+def labelled_urls(pages: DataFrame, labels: DataFrame, document: Column | None = None) -> DataFrame:
+    """Tokens of the pages whose documents have labels: ``block`` for low quality or toxic text, else ``allow``.
+
+    ``document`` gives the document that a page carries; by default it is the number at the end of
+    its path.  A page without such a document is left out; of several labels the worst counts.
+    """
+    url = F.col("url")
+    host, path = host_of(url), path_of(url)
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic")
     )
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
-    return pages.select("page_id", "url").join(known, "page_id").select(
+    carried = document_number(path) if document is None else document
+    return pages.select("page_id", "url", carried.cast("long").alias("doc_id")).join(known, "doc_id").select(
         "page_id",
         tokens_of(F.col("url"), host, path).alias("tokens"),
         F.when(bad, "block").otherwise("allow").alias("label"),

@@ -124,6 +124,7 @@ def test_mined_rules(spark):
     rows = [(n, f"http://{'casino' if n % 4 == 0 else 'news'}{n}-x.site.org/{'play' if n % 4 == 0 else 'read'}/{n}") for n in range(400)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(n, int(n % 4 != 0), 0) for n in range(200)], "doc_id long, quality int, toxic int")
+    assert url_filter.labelled_urls(pages, labels).count() == 200
     labelled = url_filter.labelled_urls(pages, labels)
     mined = url_filter.mine_rules(labelled)
     rules = mined.collect()
@@ -140,3 +141,59 @@ def test_mined_rules(spark):
     for page, own in tokens.items():
         hits = [(r.confidence, r.support, r.rule_id, r.label) for r in rules if set(r.tokens) <= own]
         assert found[page] == (max(hits)[3] if hits else "allow")
+
+
+def test_urls_that_share_long_paths(spark):
+    """Twelve common path parts: combinations of them are not enumerated."""
+    shared = "/".join(f"part{chr(97 + n)}" for n in range(12))
+    rows = [(n, f"http://site{n}.org/{shared}/{'bad' if n % 2 else 'fine'}/{n}") for n in range(200)]
+    rows += [(n, f"http://other.org/{n}") for n in range(200, 400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(n, int(not (n < 200 and n % 2)), 0) for n in range(400)], "doc_id long, quality int, toxic int")
+    mined = url_filter.mine_rules(url_filter.labelled_urls(pages, labels))
+    rules = mined.collect()
+    assert max(len(r.tokens) for r in rules) <= url_filter.RULE_TOKENS
+    assert any(r.tokens == ["p:bad"] and r.label == "block" for r in rules)
+    found = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, mined).collect()}
+    assert all(found[n] == ("block" if n < 200 and n % 2 else "allow") for n in range(400))
+
+
+def test_the_query_blocks_by_mined_rules(spark):
+    """Labels of the documents that the pages carry reach the verdicts of pages without labels."""
+    from logweave.llm.queries import QUERIES
+
+    folder = scratch_path(spark, "url-query")
+    rows = [(1000 + n, f"http://www.{'pills' if n % 3 == 0 else 'daily'}.org/{'buy' if n % 3 == 0 else 'news'}/x/{n}?ref=1", "") for n in range(300)]
+    rows += [(5, None, None), (6, "http://example.com/en/pills/buy", ""), (7, "http://pills.org/" + "buy/" * 20_000, ""), (None, "http://pills.org/buy/x/900", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    labels = [(n, int(n % 3 != 0), 0) for n in range(150)] + [(None, 0, 1), (150, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    found = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op3_url_filter"](spark, folder).collect()}
+    assert all(found[1000 + n] == (None, "block" if n % 3 == 0 else "allow") for n in range(300))
+    assert found[5] == (None, "allow") and found[6] == ("example.com/en/", "block")
+    assert found[7] == found[None] == (None, "block")
+
+
+def test_no_pages_and_no_labels(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    mined = url_filter.mine_rules(url_filter.labelled_urls(none, labels))
+    assert mined.count() == 0 and url_filter.judge_urls(none, mined).count() == 0
+
+
+def plain_reading(html):
+    """The given pages keep their text in one article of headings and paragraphs."""
+    import html as entities
+    import re
+
+    inside = re.search(r"<article[^>]*>(.*?)</article>", html or "", re.S)
+    text = re.sub(r"<(script|style).*?</\1>|<!--.*?-->", "", inside.group(1) if inside else "", flags=re.S)
+    text = re.sub(r"</?(h[1-6]|p|br|ul|ol|li|div|blockquote)\b[^>]*>", " ", text)
+    return " ".join(entities.unescape(re.sub(r"<[^>]+>", "", text)).split())
+
+
+def test_given_pages_against_a_plain_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    expected = {r.page_id: plain_reading(r.html) for r in pages.collect()}
+    found = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert {n for n in expected if found[n] != expected[n]} == set()
