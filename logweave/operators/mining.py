@@ -3,14 +3,21 @@
 A line joins the most similar template of its length, or starts a new one, and the
 template then loses the tokens on which the two differ.  What happens to a line depends on
 the templates the earlier lines left behind, so a log is a chain.  It is cut into blocks
-of bounded size, and all blocks run at once from a guessed start state; the templates a
-block leaves behind correct the guess of the later blocks, and only blocks whose start
-state changed run again.  When no start state changes any more, each block has run from
-exactly the state its predecessors leave behind, which is the result of one pass in order.
-Block 0 always starts right, so every round settles at least one more block; templates
-stabilise early in a log, so few rounds are needed in practice.
-
-A block sees each distinct masked text once, with the numbers of the lines that carry it.
+of bounded size, and a block into units, one per number of tokens: lines of different lengths
+never meet.  All units run at once from a guessed start state; what a unit leaves behind
+corrects the guess of later ones, and only units whose start state changed run again.  When none
+changes any more, each unit has run from exactly the state its predecessors leave behind, which
+is the result of one pass in order.  The first unit of a length always starts right, so every
+round settles at least one more; templates stabilise early in a log, so few rounds are needed in
+practice.
+
+State travels by leaf, which is a path of leading tokens with its templates.  A unit asks only for
+the paths that its own lines can take, literal or wildcard, so a template reaches just the units
+whose lines could meet it, not every later block.  Each asked path has a signature of what the
+unit starts with there; after a round only the paths that some unit changed are looked at again.
+How many branches a node has is part of the state only where the limit of branches can act.
+
+A unit sees each distinct masked text once, with the numbers of the lines that carry it.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,10 +39,13 @@ from logweave.session import lookup_join, materialize
 BLOCK_LINES = 1 << 18
 
 _OUTPUT = (
-    "log_id string, block bigint, kind string, n_tokens int, template string, path array<string>, "
+    "log_id string, block bigint, n_tokens int, kind string, template string, path array<string>, made boolean, "
     "cluster bigint, first_line bigint, last_line bigint, lines bigint"
 )
-_STATE = ["log_id", "block", "n_tokens", "template", "path", "cluster"]
+_UNIT = ["log_id", "block", "n_tokens"]
+_NODE = ["log_id", "n_tokens", "path"]
+#: What a unit starts with: clusters of a leaf, nodes that exist, numbers of branches.
+_START = "log_id string, block bigint, n_tokens int, path array<string>, kind string, cluster bigint, template string"
 
 
 class _Leaf:
@@ -78,8 +88,19 @@ class _Forest:
         self.width, self.key_tokens = width, key_tokens
         self.children: dict[tuple[str, ...], set[str]] = {}
         self.leaves: dict[tuple[str, ...], _Leaf] = {}
+        #: Branches of a node that are not listed because no line of the unit can take them.
+        self.unlisted: dict[tuple[str, ...], int] = {}
+        #: Nodes made by this unit's lines.
+        self.made: list[tuple[str, ...]] = []
         self.version = 0
 
+    def know(self, path: tuple[str, ...]) -> None:
+        """Enter a node that earlier lines made."""
+        if path:
+            self.children.setdefault(path[:-1], set()).add(path[-1])
+        if len(path) == self.key_tokens and path not in self.leaves:
+            self.leaves[path] = _Leaf(self.width)
+
     def find(self, words: list[str]) -> _Leaf | None:
         path: tuple[str, ...] = ()
         for word in words[: self.key_tokens]:
@@ -97,7 +118,7 @@ class _Forest:
         for word in words[: self.key_tokens]:
             known = self.children.get(path, set())
             limit = MAX_CHILDREN if WILDCARD in known else MAX_CHILDREN - 1
-            shared = any(c.isdigit() for c in word) or len(known) >= limit
+            shared = any(c.isdigit() for c in word) or len(known) + self.unlisted.get(path, 0) >= limit
             path += (WILDCARD if word not in known and shared else word,)
         return path
 
@@ -107,14 +128,17 @@ class _Forest:
         if leaf is not None:
             return leaf, False
         for depth in range(len(path)):
-            self.children.setdefault(path[:depth], set()).add(path[depth])
+            branches = self.children.setdefault(path[:depth], set())
+            if path[depth] not in branches:
+                branches.add(path[depth])
+                self.made.append(path[: depth + 1])
         leaf = self.leaves[path] = _Leaf(self.width)
         self.version += 1
         return leaf, True
 
 
-def _run_block(texts: pd.DataFrame, state: pd.DataFrame, st: float, key_tokens: int) -> Iterator[tuple]:
-    """Take the lines of one block in order, starting from the given templates."""
+def _run_unit(texts: pd.DataFrame, start: pd.DataFrame, width: int, st: float, key_tokens: int) -> Iterator[tuple]:
+    """Take the lines of one unit in order, starting from the given state."""
     codes: dict[str, int] = {WILDCARD: 0}
     words_of: list[str] = [WILDCARD]
 
@@ -125,153 +149,224 @@ def _run_block(texts: pd.DataFrame, state: pd.DataFrame, st: float, key_tokens:
                 words_of.append(word)
         return [codes[word] for word in words]
 
-    known_by_width = dict(tuple(state.groupby("n_tokens"))) if len(state) else {}
-    for width, group in texts.groupby("n_tokens"):
-        width = int(width)
-        forest = _Forest(width, key_tokens)
-        if width in known_by_width:
-            known = known_by_width[width].sort_values("cluster")
-            for cluster, path, template in zip(known["cluster"], known["path"], known["template"]):
-                leaf, _ = forest.open(tuple(path))
-                if template is not None:
-                    leaf.add(int(cluster), encode(template.split(" ")))
-
-        words = [text.split(" ") for text in group["template"]]
-        rows = np.array([encode(w) for w in words], dtype=np.int64).reshape(len(words), width)
-        fixed = ((rows != 0).sum(axis=1) / width < st).tolist()
-        order = np.concatenate([np.asarray(p, dtype=np.int64) for p in group["positions"]])
-        owner = np.repeat(np.arange(len(words)), [len(p) for p in group["positions"]])
-        turn = np.argsort(order, kind="stable")
-        lines, owners = order[turn].tolist(), owner[turn].tolist()
-
-        # Per text: (template's place, leaf, forest version, leaf version) while nothing changes for it.
-        settled: list[tuple | None] = [None] * len(words)
-        runs: list[list] = [[] for _ in words]
-        changed: dict[int, tuple] = {}
-        paths: list[tuple[int, tuple]] = []
-
-        def is_settled(text: int) -> bool:
-            known = settled[text]
-            return known is not None and known[2] == forest.version and known[3] == known[1].version
-
-        def settle(upcoming: list[int]) -> None:
-            """Find the texts among the upcoming ones that change nothing, leaf by leaf."""
-            by_leaf: dict[int, list[int]] = {}
-            leaves = {}
-            for text in dict.fromkeys(upcoming):
-                if not fixed[text] and not is_settled(text):
-                    leaf = forest.find(words[text])
-                    if leaf is not None:
-                        by_leaf.setdefault(id(leaf), []).append(text)
-                        leaves[id(leaf)] = leaf
-            for name, members in by_leaf.items():
-                leaf = leaves[name]
-                step = max(1, 2_000_000 // max(1, len(leaf.ids)))
-                for start in range(0, len(members), step):
-                    part = members[start : start + step]
-                    places, covered = leaf.closest(rows[part], st)
-                    for text, place, same in zip(part, places.tolist(), covered.tolist()):
-                        if place >= 0 and same:
-                            settled[text] = (place, leaf, forest.version, leaf.version)
-
-        ahead = 16
-        for event, (line, text) in enumerate(zip(lines, owners)):
-            if fixed[text]:
-                # Too few literals to match anything, ever: only its branch matters.
-                path = forest.path_for(words[text])
-                if forest.open(path)[1]:
-                    paths.append((line, path))
-                continue
-            if not is_settled(text):
-                settle(owners[event : event + ahead])
-                ahead = min(2 * ahead, 1 << 14)
-            if is_settled(text):
-                place, leaf = settled[text][:2]
-            else:
-                ahead = 16
+    forest = _Forest(width, key_tokens)
+    for path in start.loc[start["kind"] == "node", "path"]:
+        forest.know(tuple(path))
+    for path, count in start.loc[start["kind"] == "count", ["path", "cluster"]].itertuples(index=False):
+        forest.unlisted[tuple(path)] = int(count) - len(forest.children.get(tuple(path), ()))
+    known = start[start["kind"] == "cluster"].sort_values("cluster")
+    for cluster, path, template in zip(known["cluster"], known["path"], known["template"]):
+        forest.know(tuple(path))
+        forest.leaves[tuple(path)].add(int(cluster), encode(template.split(" ")))
+
+    words = [text.split(" ") for text in texts["template"]]
+    rows = np.array([encode(w) for w in words], dtype=np.int64).reshape(len(words), width)
+    fixed = ((rows != 0).sum(axis=1) / width < st).tolist()
+    order = np.concatenate([np.asarray(p, dtype=np.int64) for p in texts["positions"]])
+    owner = np.repeat(np.arange(len(words)), [len(p) for p in texts["positions"]])
+    turn = np.argsort(order, kind="stable")
+    lines, owners = order[turn].tolist(), owner[turn].tolist()
+
+    # Per text: (template's place, leaf, forest version, leaf version) while nothing changes for it.
+    settled: list[tuple | None] = [None] * len(words)
+    runs: list[list] = [[] for _ in words]
+    began: set[int] = set()
+    changed: dict[int, tuple] = {}
+
+    def is_settled(text: int) -> bool:
+        known = settled[text]
+        return known is not None and known[2] == forest.version and known[3] == known[1].version
+
+    def settle(upcoming: list[int]) -> None:
+        """Find the texts among the upcoming ones that change nothing, leaf by leaf."""
+        by_leaf: dict[int, list[int]] = {}
+        leaves = {}
+        for text in dict.fromkeys(upcoming):
+            if not fixed[text] and not is_settled(text):
                 leaf = forest.find(words[text])
-                place = int(leaf.closest(rows[text : text + 1], st)[0][0]) if leaf is not None else -1
-                path = None
-                if place < 0:
-                    path = forest.path_for(words[text])
-                    leaf, _ = forest.open(path)
-                    place = len(leaf.ids)
-                    leaf.add(line, rows[text])
-                else:
-                    leaf.rows[place] = np.where(leaf.rows[place] == rows[text], rows[text], 0)
-                    leaf.version += 1
-                    path = changed.get(leaf.ids[place], (None, None, None))[2]
-                changed[leaf.ids[place]] = (leaf, place, path)
-            cluster = leaf.ids[place]
-            mine = runs[text]
-            if mine and mine[-1][0] == cluster:
-                mine[-1][2] = line
-                mine[-1][3] += 1
+                if leaf is not None:
+                    by_leaf.setdefault(id(leaf), []).append(text)
+                    leaves[id(leaf)] = leaf
+        for name, members in by_leaf.items():
+            leaf = leaves[name]
+            step = max(1, 2_000_000 // max(1, len(leaf.ids)))
+            for start in range(0, len(members), step):
+                part = members[start : start + step]
+                places, covered = leaf.closest(rows[part], st)
+                for text, place, same in zip(part, places.tolist(), covered.tolist()):
+                    if place >= 0 and same:
+                        settled[text] = (place, leaf, forest.version, leaf.version)
+
+    ahead = 16
+    for event, (line, text) in enumerate(zip(lines, owners)):
+        if fixed[text]:
+            # Too few literals to match anything, ever: only its branch matters.
+            forest.open(forest.path_for(words[text]))
+            continue
+        if not is_settled(text):
+            settle(owners[event : event + ahead])
+            ahead = min(2 * ahead, 1 << 14)
+        if is_settled(text):
+            place, leaf = settled[text][:2]
+        else:
+            ahead = 16
+            leaf = forest.find(words[text])
+            place = int(leaf.closest(rows[text : text + 1], st)[0][0]) if leaf is not None else -1
+            if place < 0:
+                leaf, _ = forest.open(forest.path_for(words[text]))
+                place = len(leaf.ids)
+                leaf.add(line, rows[text])
+                began.add(line)
             else:
-                mine.append([cluster, line, line, 1])
-
-        for text, text_runs in zip(group["template"], runs):
-            for cluster, first, last, count in text_runs:
-                yield "run", width, text, None, cluster, first, last, count
-        for cluster, (leaf, place, path) in changed.items():
-            template = " ".join(words_of[c] for c in leaf.rows[place])
-            yield "state", width, template, None if path is None else list(path), cluster, None, None, None
-        for line, path in paths:
-            yield "state", width, None, list(path), line, None, None, None
-
-
-def _mine_round(blocks: DataFrame, state: DataFrame, st: float, key_tokens: int) -> DataFrame:
+                leaf.rows[place] = np.where(leaf.rows[place] == rows[text], rows[text], 0)
+                leaf.version += 1
+            changed[leaf.ids[place]] = (leaf, place)
+        cluster = leaf.ids[place]
+        mine = runs[text]
+        if mine and mine[-1][0] == cluster:
+            mine[-1][2] = line
+            mine[-1][3] += 1
+        else:
+            mine.append([cluster, line, line, 1])
+
+    for text, text_runs in zip(texts["template"], runs):
+        for cluster, first, last, count in text_runs:
+            yield "run", text, None, None, cluster, first, last, count
+    where = {id(leaf): list(path) for path, leaf in forest.leaves.items()}
+    for cluster, (leaf, place) in changed.items():
+        template = " ".join(words_of[c] for c in leaf.rows[place])
+        yield "state", template, where[id(leaf)], cluster in began, cluster, None, None, None
+    for path in forest.made:
+        yield "node", None, list(path), None, None, None, None, None
+
+
+def _mine_round(units: DataFrame, start: DataFrame, st: float, key_tokens: int) -> DataFrame:
     def run(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if texts.empty:
             return pd.DataFrame(columns=[c.split()[0] for c in _OUTPUT.split(", ")])
-        found = list(_run_block(texts, known, st, key_tokens))
+        found = list(_run_unit(texts, known, int(key[2]), st, key_tokens))
         frame = pd.DataFrame(
-            found,
-            columns=["kind", "n_tokens", "template", "path", "cluster", "first_line", "last_line", "lines"],
+            found, columns=["kind", "template", "path", "made", "cluster", "first_line", "last_line", "lines"]
         )
         for column in ("cluster", "first_line", "last_line", "lines"):
             frame[column] = frame[column].astype("Int64")
-        frame.insert(0, "block", key[1])
-        frame.insert(0, "log_id", key[0])
+        for place, name in enumerate(_UNIT):
+            frame.insert(place, name, key[place])
         return frame
 
-    keys = ["log_id", "block"]
-    return blocks.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(run, _OUTPUT)
+    return units.groupBy(*_UNIT).cogroup(start.groupBy(*_UNIT)).applyInPandas(run, _OUTPUT)
+
+
+def _asked_paths(texts: DataFrame, key_tokens: int) -> DataFrame:
+    """Per unit the nodes that its lines can pass: every leading token as it is or as the wildcard."""
+    words = F.split("template", " ")
+    paths = [F.array().cast("array<string>")] if key_tokens == 0 else [
+        F.array(*[F.lit(WILDCARD) if choice >> at & 1 else words[at] for at in range(depth)])
+        for depth in range(1, key_tokens + 1)
+        for choice in range(1 << depth)
+    ]
+    return texts.select(*_UNIT, F.explode(F.array_distinct(F.array(*paths))).alias("path")).distinct()
 
 
-def _start_states(outputs: DataFrame, block_list: DataFrame) -> DataFrame:
-    """What each block finds when it starts: the last template of each earlier cluster.
+def _parent(path: str = "path") -> Column:
+    """The node above; what has none gets a mark that is no node."""
+    return F.when(F.size(path) > 0, F.slice(path, 1, F.size(path) - 1)).otherwise(F.array(F.lit("\u0000")))
 
-    A template holds from the block after the one that left it to the block where it
-    changes again; each such span becomes one row per block.
+
+def _start_rows(outputs: DataFrame, asked: DataFrame) -> DataFrame:
+    """What units find on the paths that they ask for (``_START``).
+
+    A template holds from the unit after the one that left it to the one where it changes
+    again.  A cluster that its unit no longer begins is an outdated guess, and left out.
     """
-    left = outputs.filter(F.col("kind") == "state").select(*_STATE)
-    history = W.partitionBy("log_id", "n_tokens", "cluster").orderBy("block")
-    span = (
-        left.withColumn("_until", F.lead("block").over(history))
-        .withColumn("path", F.first("path", ignorenulls=True).over(history))
-        .join(block_list.groupBy("log_id").agg(F.max("block").alias("_last")), "log_id")
-        .withColumn("_until", F.coalesce("_until", "_last"))
-        # No path: an outdated guess about a cluster that its block no longer starts.
-        .filter((F.col("_until") > F.col("block")) & F.col("path").isNotNull())
+    history = W.partitionBy("log_id", "n_tokens", "cluster")
+    spans = (
+        outputs.filter("kind = 'state'")
+        .withColumn("_until", F.lead("block").over(history.orderBy("block")))
+        .withColumn("_began", F.max("made").over(history))
+        .filter("_began")
+        .select(*_NODE, "cluster", "template", F.col("block").alias("_from"), "_until")
     )
-    return span.select(
-        "log_id",
-        F.explode(F.sequence(F.col("block") + 1, F.col("_until"))).alias("block"),
-        "n_tokens",
-        "template",
-        "path",
-        "cluster",
-    ).join(block_list, ["log_id", "block"], "left_semi")
+    within = (F.col("block") > F.col("_from")) & (F.col("_until").isNull() | (F.col("block") <= F.col("_until")))
+    clusters = asked.join(spans, _NODE).filter(within)
+    nodes = outputs.filter("kind = 'node'").groupBy(*_NODE).agg(F.min("block").alias("_from"))
+    there = asked.join(nodes, _NODE).filter(F.col("block") > F.col("_from"))
+    # Branches of a node: counted where the unit's own could reach the limit.
+    own = asked.groupBy(*_UNIT, _parent().alias("path")).agg(F.count("*").alias("_own"))
+    branches = nodes.select("log_id", "n_tokens", _parent().alias("path"), "_from")
+    counts = (
+        own.join(branches, _NODE)
+        .filter(F.col("block") > F.col("_from"))
+        .groupBy(*_UNIT, "path")
+        .agg(F.count("*").alias("cluster"), F.max("_own").alias("_own"))
+        .filter(F.col("cluster") + F.col("_own") >= MAX_CHILDREN - 1)
+    )
+    none = F.lit(None)
+    return (
+        clusters.select(*_UNIT, "path", F.lit("cluster").alias("kind"), "cluster", "template")
+        .unionByName(there.select(*_UNIT, "path", F.lit("node").alias("kind"), none.cast("bigint").alias("cluster"), none.cast("string").alias("template")))
+        .unionByName(counts.select(*_UNIT, "path", F.lit("count").alias("kind"), "cluster", none.cast("string").alias("template")))
+    )
+
 
+_MARKED = [*_UNIT, "path", "branches"]
 
-def _signatures(states: DataFrame) -> DataFrame:
-    row = F.xxhash64("n_tokens", "template", "path", "cluster")
-    return states.groupBy("log_id", "block").agg(
-        F.bit_xor(row).alias("mark"), F.sum((row % 1000003).cast("bigint")).alias("total")
+
+def _signatures(start: DataFrame) -> DataFrame:
+    """One mark per unit and path, and one for the number of the path's branches."""
+    row = F.xxhash64("kind", "cluster", "template")
+    return start.groupBy(*_UNIT, "path", (F.col("kind") == "count").alias("branches")).agg(
+        F.bit_xor(row).alias("mark"), F.count("*").alias("total")
     )
 
 
+def _changed_paths(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes on which two outputs of the same units differ."""
+    columns = [*_UNIT, "path", "kind", "cluster", "template", "made"]
+    left = lambda outputs: outputs.filter("kind <> 'run'").select(*columns)
+    moved = left(old).exceptAll(left(new)).unionByName(left(new).exceptAll(left(old))).select(*_NODE)
+    return moved.distinct()
+
+
+def _settle(texts: DataFrame, st: float, key_tokens: int) -> DataFrame:
+    """Outputs of all units, each run from what the units before it leave behind."""
+    spark = texts.sparkSession
+    units = materialize(texts.select(*_UNIT).distinct(), "units")
+    # First guess: every later unit of a length starts from what the first one leaves behind.
+    heads = units.groupBy("log_id", "n_tokens").agg(F.min("block").alias("block"))
+    nothing = spark.createDataFrame([], _START)
+    outputs = materialize(_mine_round(texts.join(heads, _UNIT, "left_semi"), nothing, st, key_tokens), "round")
+    todo = materialize(units.join(heads, _UNIT, "left_anti"), "todo")
+    if todo.isEmpty():
+        return outputs
+    # Heads start from nothing, whatever the others leave behind.
+    asked = materialize(_asked_paths(texts.join(todo, _UNIT, "left_semi"), key_tokens), "asked")
+    start = materialize(_start_rows(outputs, asked), "start")
+    marks = materialize(_signatures(start), "marks")
+    while True:
+        again = materialize(_mine_round(texts.join(todo, _UNIT, "left_semi"), start, st, key_tokens), "again")
+        before = outputs.join(todo, _UNIT, "left_semi")
+        changed = materialize(_changed_paths(before, again), "changed")
+        outputs = materialize(outputs.join(todo, _UNIT, "left_anti").unionByName(again), "round")
+        # Only units that ask for a changed path, or for one beside it, can start differently.
+        beside = changed.select("log_id", "n_tokens", _parent().alias("_parent")).distinct()
+        looked = materialize(
+            asked.withColumn("_parent", _parent()).join(beside, ["log_id", "n_tokens", "_parent"], "left_semi"), "looked"
+        )
+        fresh = materialize(_signatures(_start_rows(outputs, looked.drop("_parent"))), "fresh")
+        keys = looked.select(*_UNIT, "path", F.lit(False).alias("branches")).unionByName(
+            looked.select(*_UNIT, F.col("_parent").alias("path"), F.lit(True).alias("branches"))
+        )
+        keys = materialize(keys.distinct(), "keys")
+        differs = marks.join(keys, _MARKED, "left_semi")
+        differs = differs.exceptAll(fresh).unionByName(fresh.exceptAll(differs))
+        todo = materialize(differs.select(*_UNIT).distinct(), "todo")
+        if todo.isEmpty():
+            return outputs
+        marks = materialize(marks.join(keys, _MARKED, "left_anti").unionByName(fresh), "marks")
+        start = materialize(_start_rows(outputs, asked.join(todo, _UNIT, "left_semi")), "start")
+
+
 def mine_assignments(
     masked: DataFrame, st: float, depth: int, block_lines: int = BLOCK_LINES
 ) -> DataFrame:
@@ -281,10 +376,9 @@ def mine_assignments(
     n_tokens, template, first_line, last_line, lines, mined)``: the lines of the block with
     that masked text, from ``first_line`` to ``last_line``, belong to template ``mined``.
     """
-    keys = ["log_id", "block"]
     texts = materialize(
         masked.withColumn("block", F.floor(F.col("line_no") / F.lit(block_lines)))
-        .groupBy(*keys, "n_tokens", "template")
+        .groupBy(*_UNIT, "template")
         .agg(F.sort_array(F.collect_list("line_no")).alias("positions")),
         "texts",
     )
@@ -292,51 +386,21 @@ def mine_assignments(
     grows = F.col("n_tokens") >= depth - 2
     literals = T.literal_count(F.split("template", " "))
     active = grows & (literals / F.col("n_tokens") >= F.lit(st))
-    long_texts = texts.filter(grows)
-    block_list = materialize(long_texts.select(*keys).distinct(), "blocks")
-    key_tokens = max(depth - 3, 0)
-
-    # First guess: every later block starts from what the first block of its log leaves behind.
-    spark = masked.sparkSession
-    empty = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in (
-        ("log_id", "string"), ("block", "bigint"), ("n_tokens", "int"),
-        ("template", "string"), ("path", "array<string>"), ("cluster", "bigint"),
-    )))
-    heads = block_list.groupBy("log_id").agg(F.min("block").alias("block"))
-    outputs = materialize(
-        _mine_round(long_texts.join(heads, keys, "left_semi"), empty, st, key_tokens), "round"
-    )
-    states = materialize(_start_states(outputs, block_list), "states")
-    # Head blocks are settled; all others have not run yet.
-    todo = materialize(block_list.join(heads, keys, "left_anti"), "todo")
-    while not todo.isEmpty():
-        again = _mine_round(
-            long_texts.join(todo, keys, "left_semi"), states.join(todo, keys, "left_semi"), st, key_tokens
-        )
-        outputs = materialize(outputs.join(todo, keys, "left_anti").unionByName(again), "round")
-        new_states = materialize(_start_states(outputs, block_list), "states")
-        old, new = _signatures(states), _signatures(new_states).withColumnsRenamed(
-            {"mark": "new_mark", "total": "new_total"}
-        )
-        moved = old.join(new, keys, "full").filter(
-            ~(F.col("mark").eqNullSafe(F.col("new_mark")) & F.col("total").eqNullSafe(F.col("new_total")))
-        )
-        todo = materialize(moved.select(*keys), "todo")
-        states = new_states
-
+    outputs = _settle(texts.filter(grows), st, max(depth - 3, 0))
     final = (
-        outputs.filter((F.col("kind") == "state") & F.col("template").isNotNull())
+        outputs.filter("kind = 'state'")
         .groupBy("log_id", "n_tokens", "cluster")
         .agg(F.max_by("template", "block").alias("mined"))
     )
     runs = outputs.filter(F.col("kind") == "run").select(
-        *keys, "n_tokens", "template", "cluster", "first_line", "last_line", "lines"
+        "log_id", "block", "n_tokens", "template", "cluster", "first_line", "last_line", "lines"
     )
     merged = lookup_join(
         runs, final, ["log_id", "n_tokens", "cluster"], "inner"
     ).drop("cluster")
     alone = texts.filter(~active).select(
-        *keys,
+        "log_id",
+        "block",
         "n_tokens",
         "template",
         F.col("positions")[0].alias("first_line"),

@@ -121,3 +121,41 @@ def test_control_characters_in_key_tokens(spark):
     for block_lines in (1, 2, 1 << 18):
         got, _ = mine_with_spark(spark, {"l": texts}, 0.5, 5, block_lines)
         assert got["l"] == expected, block_lines
+
+
+def test_branch_limit_across_blocks(spark):
+    """The number of branches is part of the state where the limit acts, at both key tokens."""
+    words = [f"{a}{b}" for a in "abcdefghijk" for b in "abcdefghijk"]
+    texts = [f"{w} said x y {v}" for w in words for v in ("yes", "no")] + ["zz said x y yes", "aa said x y 5", "ab lost x y z"]
+    texts += [f"aa {w} x y z" for w in words] + ["aa zz x y z", "kk said x y yes"]
+    got, _ = mine_with_spark(spark, {"log": texts}, 0.6, 5, 130)
+    assert got["log"] == mine(texts, 0.6, 5)
+
+
+def test_state_rows_follow_changed_leaves(spark, monkeypatch):
+    """State goes to the units whose lines can meet it, and again only where a leaf changed."""
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [f"{name} came from {n} hosts" for name in names for n in "xy"]
+    for block in range(1, 11):
+        own = names[block]
+        texts += [f"{own} came from z hosts" if n % 2 else "one two three" for n in range(128)]
+        if block == 5:
+            # A template loses one more token: only later units with that first word see it.
+            texts[-1] = f"{names[8]} came by x hosts"
+    counts = {}
+    keep = mining.materialize
+
+    def counted(df, label):
+        made = keep(df, label)
+        counts.setdefault(label, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(mining, "materialize", counted)
+    got, _ = mine_with_spark(spark, {"log": texts}, 0.5, 4, 128)
+    monkeypatch.undo()
+    assert got["log"] == mine(texts, 0.5, 4)
+    blocks, templates = len(texts) // 128, len(names)
+    # A cluster and its node per unit and asked path, not every template for every later block.
+    assert counts["start"][0] < 6 * blocks < templates * blocks / 8
+    # The one change reaches a single later unit.
+    assert counts["again"] and sum(counts["todo"][1:]) <= 3
