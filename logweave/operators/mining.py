@@ -137,7 +137,7 @@ class _Forest:
         return leaf, True
 
 
-def _run_unit(texts: pd.DataFrame, start: pd.DataFrame, width: int, st: float, key_tokens: int) -> Iterator[tuple]:
+def run_unit(texts: pd.DataFrame, start: pd.DataFrame, width: int, st: float, key_tokens: int) -> Iterator[tuple]:
     """Take the lines of one unit in order, starting from the given state."""
     codes: dict[str, int] = {WILDCARD: 0}
     words_of: list[str] = [WILDCARD]
@@ -244,7 +244,7 @@ def _mine_round(units: DataFrame, start: DataFrame, st: float, key_tokens: int)
     def run(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if texts.empty:
             return pd.DataFrame(columns=[c.split()[0] for c in _OUTPUT.split(", ")])
-        found = list(_run_unit(texts, known, int(key[2]), st, key_tokens))
+        found = list(run_unit(texts, known, int(key[2]), st, key_tokens))
         frame = pd.DataFrame(
             found, columns=["kind", "template", "path", "made", "cluster", "first_line", "last_line", "lines"]
         )

@@ -30,6 +30,7 @@ from logweave.plans.log_analysis import analyse, keep_line
 from logweave.session import materialize, scratch_path
 from logweave.sources import rendered, tables
 from logweave.sources.lines import read_log_lines
+from logweave.streaming import mining as online
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,6 +259,24 @@ def mined_log(spark, folder):
     )
 
 
+@query
+def mined_stream(spark, folder):
+    """Lines that arrive in four parts, mined part by part with state in between."""
+    masked = _masked(spark, folder, (IP_MASK,)).select("log_id", "line_no", "template", "n_tokens")
+    masked = materialize(masked, "masked")
+    last = masked.agg(F.max("line_no")).scalar()
+    root = scratch_path(spark, "stream")
+    own = spark.newSession()
+    own.conf.set(online.STATE_STORE, online.ROCKS_DB)
+    part = F.floor((F.col("line_no") - 1) * 4 / last)
+    for number in range(4):
+        masked.filter(part == number).write.parquet(f"{root}/in/part={number}")
+        arrived = own.readStream.schema(masked.schema).parquet(f"{root}/in/part=*")
+        mined = online.mine_stream(arrived, 0.5, 4)
+        online.write_mined(mined, f"{root}/out", f"{root}/check", availableNow=True).awaitTermination()
+    return online.mined_lines(spark, f"{root}/out").select("line_no", F.col("template").alias("EventTemplate"))
+
+
 # Search
 
 

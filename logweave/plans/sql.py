@@ -411,6 +411,7 @@ SQL: dict[str, str] = {
             ELSE regexp_replace(Content, pattern, array_to_string(list_transform(range(1, gaps + 1), lambda i: '\\' || i), '|'))
             END AS parameters
         FROM mined_lines""",
+    "mined_stream": f"WITH RECURSIVE {MINED} SELECT line_no, EventTemplate FROM mined_lines",
     "mined_lengths": f"""WITH {PARSED}, l AS (SELECT line_no, len(string_split({LIGHT_MASK}, ' ')) AS n_tokens FROM parsed)
         SELECT n_tokens, count(*) AS n_lines, min(line_no) AS first_line FROM l GROUP BY n_tokens""",
     "keyword_search": f"""WITH {LINES} SELECT line_no, line FROM lines
