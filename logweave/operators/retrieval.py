@@ -1,9 +1,7 @@
-"""Chunks of a log, hashed vectors for them, nearest vectors."""
+"""Chunks of a log, weights of their words, nearest texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,9 +18,6 @@ TOP_K = 2
 # Lines that one task packs; the chunks do not depend on it.
 CHUNK_BLOCK_LINES = 1 << 20
 
-# Query vectors sent to the executors at a time.
-QUERY_SLICE = 4096
-
 
 def _first_over(total: np.ndarray, used: np.ndarray, budget: int) -> np.ndarray:
     """Place of the first line that no longer fits after ``used`` tokens; ``total`` are running sums."""
@@ -197,70 +192,3 @@ def nearest_texts(texts: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     others = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
     found = best.unionByName(others).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
-
-
-def nearest(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int = TOP_K,
-    vector_id: str = "vec_id",
-    query_id: str = "query_id",
-    slice_size: int = QUERY_SLICE,
-) -> DataFrame:
-    """``(query_id, vec_id, score, place)``: the ``k`` most similar vectors by cosine.
-
-    ``vectors`` and ``queries`` hold an id (bigint) and ``vector``.  Each task multiplies its
-    batches with a slice of the queries and keeps only the best ``k`` per query, so what is
-    shuffled does not grow with the number of vectors in a task.  Any number of queries is
-    taken, one slice at a time.
-    """
-    numbered = materialize(queries.select(F.col(query_id).cast("bigint").alias("query_id"), "vector"), "queries")
-    n_slices = -(-numbered.count() // slice_size)
-    if not n_slices:
-        empty = f"{query_id} bigint, {vector_id} bigint, score double, place bigint"
-        return vectors.sparkSession.createDataFrame([], empty)
-    found = None
-    for number in range(n_slices):
-        part = numbered if n_slices <= 1 else numbered.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(n_slices)) == number
-        )
-        best = _nearest_slice(vectors.select(F.col(vector_id).cast("bigint").alias("vec_id"), "vector"), part, k)
-        found = best if found is None else found.unionByName(best)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("place", F.row_number().over(order).cast("bigint"))
-        .filter(F.col("place") <= k)
-        .withColumnsRenamed({"query_id": query_id, "vec_id": vector_id})
-    )
-
-
-def _nearest_slice(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.toPandas()  # one slice
-    ids = rows["query_id"].to_numpy(dtype=np.int64)
-    matrix = np.array(rows["vector"].tolist(), dtype=np.float64).reshape(len(rows), -1)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, unit = sent.value
-        top_scores = np.empty((len(query_ids), 0))
-        top_ids = np.empty((len(query_ids), 0), dtype=np.int64)
-        for batch in batches:
-            if batch.empty or not len(query_ids):
-                continue
-            block = np.array(batch["vector"].tolist(), dtype=np.float64)
-            block = block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
-            names = np.broadcast_to(batch["vec_id"].to_numpy(dtype=np.int64), (len(query_ids), len(block)))
-            scores = np.concatenate([top_scores, unit @ block.T], axis=1)
-            names = np.concatenate([top_ids, names], axis=1)
-            kept = np.lexsort((names, -scores), axis=1)[:, :k]
-            top_scores = np.take_along_axis(scores, kept, axis=1)
-            top_ids = np.take_along_axis(names, kept, axis=1)
-        if top_ids.size:
-            yield pd.DataFrame({
-                "query_id": np.repeat(query_ids, top_ids.shape[1]),
-                "vec_id": top_ids.ravel(),
-                "score": top_scores.ravel(),
-            })
-
-    return vectors.mapInPandas(best_of_task, "query_id bigint, vec_id bigint, score double")

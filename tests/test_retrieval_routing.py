@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,18 +34,6 @@ def test_chunks_are_greedy(spark):
     assert sum(t.text.count("w") for t in texts) == sum(sizes)
 
 
-@pytest.mark.parametrize("slice_size", [2, 100])
-def test_nearest_against_brute_force(spark, slice_size):
-    draw = np.random.default_rng(4)
-    vectors, queries = draw.normal(size=(60, 5)), draw.normal(size=(7, 5))
-    frame = lambda m, name: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{name} bigint, vector array<double>")
-    found = retrieval.nearest(frame(vectors, "vec_id"), frame(queries, "query_id"), 3, slice_size=slice_size)
-    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    scores = unit(queries) @ unit(vectors).T
-    expected = {(q, p + 1): int(v) for q in range(7) for p, v in enumerate(np.argsort(-scores[q])[:3])}
-    assert {(r.query_id, r.place): r.vec_id for r in found.collect()} == expected
-
-
 QUESTIONS = {
     "Who are you?": "Generation",
     "How are you doing today?": "Generation",
@@ -115,12 +102,6 @@ def test_batches_with_one_route(spark, question):
     assert answer_questions(none, structured.select("log_id", "line_no", "line"), structured, catalogue).count() == 0
 
 
-def test_nearest_without_queries(spark):
-    vectors = spark.createDataFrame([(1, [0.5, 1.0])], "vec_id bigint, vector array<double>")
-    found = retrieval.nearest(vectors, vectors.limit(0).withColumnRenamed("vec_id", "query_id"))
-    assert found.columns == ["query_id", "vec_id", "score", "place"] and found.count() == 0
-
-
 def test_answers(spark):
     texts = [f"ok {i}" for i in range(160)] + ["Boom at 03:28:22", "rare thing here"]
     rows = [("l", i + 1, t, "Event1" if i < 160 else f"Event{i - 158}") for i, t in enumerate(texts)]
