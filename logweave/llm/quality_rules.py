@@ -1,7 +1,7 @@
 """Quality rules: base figures of a text, and a calibrated logistic model of hashed n-grams.
 
 The base figures are exact counts over the whole text.  The model averages the weights of a
-text's hashed words and hashed character triples, fitted by adaptive gradient steps to a bounded
+text's hashed words and word pairs, and of its hashed character triples and quadruples, fitted by adaptive gradient steps to a bounded
 sample of labelled rows; a part of the sample is kept aside to turn its output into a
 probability (a logistic curve of two parameters).  Whole texts are scored in Arrow batches, and
 a text is kept if no base figure rules it out and its probability reaches ``THRESHOLD``.
@@ -23,9 +23,10 @@ LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 
 #: Labelled documents that the model is fitted to, at most.
-SAMPLE_ROWS = 8_000
-#: Buckets for words, and as many for character triples.
+SAMPLE_ROWS = 5_000
+#: Buckets for each kind of n-gram: words, word pairs, character triples, character quadruples.
 BUCKETS = 1 << 16
+KINDS = 4
 #: One labelled document in so many calibrates.
 CALIBRATION = 5
 #: Probability of good quality from which a text is kept.
@@ -33,7 +34,7 @@ THRESHOLD = 0.3
 #: No labelled rows are held out here: a division by one has no remainder one.
 HELD_OUT = (1, 1)
 
-MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 def base_figures(text: str | None, words: list[str]) -> tuple[int, int, int, int, int, bool]:
@@ -58,39 +59,41 @@ def base_figures(text: str | None, words: list[str]) -> tuple[int, int, int, int
 
 
 class Hasher:
-    """Hashed features of a text: buckets of its words, then of its character triples."""
+    """Hashed n-grams of a text: buckets of its words, word pairs, character triples and quadruples."""
 
     def __init__(self):
-        self.known = Remembered(lambda word: zlib.crc32(word.lower().encode("utf-8", "replace")) & (BUCKETS - 1))
-
-    def words(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.known = Remembered(lambda word: zlib.crc32(word.lower().encode("utf-8", "replace")))
 
     @staticmethod
-    def triples(text: str) -> np.ndarray:
-        letters = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        if len(letters) < 3:
-            return np.empty(0, np.int64)
-        mixed = letters[:-2] * MIX[0] ^ letters[1:-1] * MIX[1] ^ letters[2:] * MIX[2]
-        return ((mixed >> np.uint32(13)) & np.uint32(BUCKETS - 1)).astype(np.int64) + BUCKETS
+    def buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
+        return (hashes & np.uint32(BUCKETS - 1)).astype(np.int64) + kind * BUCKETS
+
+    def grams(self, text: str | None, words: list[str]) -> list[np.ndarray]:
+        """Buckets of each kind of n-gram, in order."""
+        word = np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words))
+        pairs = word[:-1] * MIX[0] ^ word[1:] * MIX[1]
+        letters = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
+        mixed = [letters * factor for factor in MIX]
+        triples = mixed[0][:-2] ^ mixed[1][1:-1] ^ mixed[2][2:]
+        fours = triples[:-1] ^ mixed[3][3:] if len(letters) > 3 else triples[:0]
+        shift = np.uint32(13)
+        return [self.buckets(g, kind) for kind, g in enumerate((word, pairs >> shift, triples >> shift, fours >> shift))]
 
     def features(self, text: str | None, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct buckets with their shares: those of words sum up to one, and so do those of triples."""
-        places, shares = [], []
-        for found in (self.words(words), self.triples(text or "")):
+        """Distinct buckets with their shares: those of each kind sum up to one."""
+        places, shares = [np.empty(0, np.int64)], [np.empty(0)]
+        for found in self.grams(text, words):
             if len(found):
                 place, count = np.unique(found, return_counts=True)
                 places.append(place)
                 shares.append(count / len(found))
-        if not places:
-            return np.empty(0, np.int64), np.empty(0)
         return np.concatenate(places), np.concatenate(shares)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 12, seed: int = 7):
     """Weights and intercept by adaptive gradient steps over batches of rows in a fixed random order."""
     random = np.random.default_rng(seed)
-    weights, held = np.zeros(2 * BUCKETS), np.full(2 * BUCKETS, 1e-6)
+    weights, held = np.zeros(KINDS * BUCKETS), np.full(KINDS * BUCKETS, 1e-6)
     bias, batch = 0.0, 64
     for _ in range(rounds):
         order = random.permutation(len(rows))
@@ -142,7 +145,7 @@ class Model:
     def logit(self, text: str | None, words: list[str]) -> float:
         self.hasher = self.hasher or Hasher()
         total = self.bias
-        for found in (self.hasher.words(words), self.hasher.triples(text or "")):
+        for found in self.hasher.grams(text, words):
             if len(found):
                 total += float(self.weights[found].mean(dtype=np.float64))
         return total
@@ -164,13 +167,13 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         return rows
 
     found = map_rows(sample, ["text"], encode, "place binary, share binary", keep=("doc_id", "label"), setup=Hasher)
-    found = found.toPandas().sort_values("doc_id", kind="stable")
-    target = found["label"].to_numpy(np.float64)
+    # The driver reads the rows where Arrow has put them; only batches of rows are widened.
+    found = found.toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
+    target = found["label"].to_numpy().astype(np.float64)
     if one_class(target, "quality"):
-        return Model(np.zeros(2 * BUCKETS), 5.0, (1.0, 0.0))
-    rows = [(np.frombuffer(p, "<i4").astype(np.int64), np.frombuffer(s, "<f4").astype(np.float64))
-            for p, s in zip(found["place"], found["share"])]
-    aside = np.array([zlib.crc32(str(key).encode()) // 7 % CALIBRATION == 0 for key in found["doc_id"]])
+        return Model(np.zeros(KINDS * BUCKETS), 5.0, (1.0, 0.0))
+    rows = [(np.frombuffer(p.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4")) for p, s in zip(found["place"], found["share"])]
+    aside = np.array([zlib.crc32(str(key).encode()) // 7 % CALIBRATION == 0 for key in found["doc_id"].to_pylist()])
     if not 0 < target[aside].sum() < aside.sum() or not 0 < target[~aside].sum() < (~aside).sum():
         aside = np.zeros(len(target), bool)
     weights, bias = fit([r for r, a in zip(rows, aside) if not a], target[~aside])
