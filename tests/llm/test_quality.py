@@ -31,7 +31,7 @@ def plain_figures(text):
 
 
 def test_base_figures(make, odd_rows, spark):
-    model = quality_rules.Model(np.zeros(2 * quality_rules.BUCKETS), 5.0, (1.0, 0.0))
+    model = quality_rules.Model(np.zeros(quality_rules.KINDS * quality_rules.BUCKETS), 5.0, (1.0, 0.0))
     rows = odd_rows + [(300, "a b c a b c a b\na b c\n\n \nx#\nx# \nx#"), (301, "k " * 99)]
     found = sorted((str(r.doc_id), *r[1:7], r.kept) for r in quality_rules.judge(make(rows), model).collect())
     assert found == sorted((str(d), *plain_figures(t), not plain_figures(t)[5]) for d, t in rows)
@@ -131,3 +131,16 @@ def test_conv_quality(tables, make):
     assert np.mean([r.predicted for r in aside if r.quality == 0]) < 0.25
     odd = quality_conv.score(make([(None, None), (1, ""), (2, "y" * 500_000)]), network).collect()
     assert len(odd) == 3 and all(0 <= r.score <= 1 for r in odd)
+
+
+def test_every_kind_of_gram_has_its_own_buckets():
+    hasher, size = quality_rules.Hasher(), quality_rules.BUCKETS
+    for text, counts in [("", [0, 0, 0, 0]), ("a", [1, 0, 0, 0]), ("ab", [1, 0, 0, 0]), ("abc", [1, 0, 1, 0]), ("ab cd", [2, 1, 3, 2])]:
+        grams = hasher.grams(text, text.split())
+        assert [len(g) for g in grams] == counts
+        assert all(((g >= n * size) & (g < (n + 1) * size)).all() for n, g in enumerate(grams))
+    place, share = hasher.features("ab cd ab cd", "ab cd ab cd".split())
+    assert len(place) == len(set(place.tolist())) and abs(share.sum() - 4) < 1e-9
+    # A pair depends on the order of its words.
+    one, other = hasher.grams("a b", ["a", "b"])[1], hasher.grams("b a", ["b", "a"])[1]
+    assert one.tolist() != other.tolist()
