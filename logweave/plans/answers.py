@@ -129,10 +129,13 @@ def question_prompts(
     structured: DataFrame,
     catalogue: DataFrame,
     decisions: DataFrame | None = None,
+    frames: texts_of.PromptFrames = texts_of.FRAMES,
+    page_events: int | None = None,
 ) -> DataFrame:
     """``(question_id, route, prompt)``: the prompt of every question, with the context of its route.
 
-    Whole-log questions get the catalogue, the log's first and last line and its counts; questions
+    Whole-log questions get the catalogue, the log's first and last line and its counts (with ``page_events``
+    the catalogue's first page, so that a prompt stays bounded); questions
     on events the events' catalogue rows and lines; the others their lines or chunks.  Direct
     questions are asked as they are.  All tables are about one log.
     """
@@ -140,23 +143,23 @@ def question_prompts(
     named = found.select("question_id", F.explode("events").alias("EventId")).join(catalogue, "EventId")
     rows = named.groupBy("question_id").agg(texts_of.events_text().alias("_rows"))
     whole = texts_of.summary_context(lines, catalogue).join(
-        texts_of.catalogue_pages(catalogue).select("log_id", "events_text"), "log_id", "left"
+        texts_of.catalogue_pages(catalogue, page_events).filter("page = 0").select("log_id", "events_text"), "log_id", "left"
     )
     route = F.lower(F.element_at(F.split("route", " > "), -1))
     asked = found.join(rows, "question_id", "left").withColumn("_route", route)
     whole = whole.withColumn("events_text", F.coalesce("events_text", F.lit(""))).withColumn("_route", F.lit(ALL))
-    asked = asked.join(F.broadcast(whole), "_route", "left")
+    asked = lookup_join(asked, whole, ["_route"], "left")
     question, n_matched, trimmed, lines_of = F.col("question"), F.col("n_matched"), F.col("trimmed"), F.col("context")
     prompt = (
         F.when(F.col("direct") | ((F.col("_route") == ALL) & F.col("log_id").isNull()), texts_of.chat_prompt(question))
-        .when(F.col("_route") == ALL, texts_of.summary_prompt(question))
+        .when(F.col("_route") == ALL, texts_of.summary_prompt(question, frames))
         .when(
             F.col("_route") == EVENT,
-            texts_of.event_prompt(question, F.col("events"), n_matched, trimmed, EVENT_CAP, F.col("_rows"), lines_of),
+            texts_of.event_prompt(question, F.col("events"), n_matched, trimmed, EVENT_CAP, F.col("_rows"), lines_of, frames),
         )
-        .when(F.col("_route") == RETRIEVE, texts_of.retrieve_prompt(question, lines_of))
+        .when(F.col("_route") == RETRIEVE, texts_of.retrieve_prompt(question, lines_of, frames))
         .otherwise(
-            texts_of.search_prompt(question, "keywords", F.col("keywords"), n_matched, trimmed, KEYWORD_CAP, lines_of)
+            texts_of.search_prompt(question, F.col("keywords"), n_matched, trimmed, KEYWORD_CAP, lines_of, frames)
         )
     )
     return asked.select("question_id", "route", prompt.alias("prompt"))

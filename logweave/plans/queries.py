@@ -26,7 +26,7 @@ from logweave.operators import (
     templates,
 )
 from logweave.operators.vectors import VectorIndex, nearest, recall
-from logweave.plans.answers import answer_questions
+from logweave.plans.answers import answer_questions, question_prompts
 from logweave.plans.log_analysis import analyse, keep_line
 from logweave.session import materialize, scratch_path
 from logweave.sources import rendered, tables
@@ -452,37 +452,49 @@ def router_json(spark, folder):
     )
 
 
-@query
-def dispatch(spark, folder):
-    """Every question answered with the lines, events or chunks that bear on it."""
+def _log_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions, lines, structured lines and catalogue of the rendered log."""
     structured, events = _structured(spark, folder)
-    found = answer_questions(rendered.log_questions(spark, folder), _lines(spark, folder), structured, events)
+    return rendered.log_questions(spark, folder), _lines(spark, folder), structured, events
+
+
+def _answered(found: DataFrame) -> DataFrame:
     return found.select(
         "question_id", "route", "n_matched", "trimmed", "direct",
-        F.size("context").cast("bigint").alias("n_context"),
+        F.size("context").cast("bigint").alias("n_context"), F.md5(_joined("context", "\n")).alias("context_md5"),
         _joined("keywords").alias("keywords"), _joined("events").alias("events"),
     )
 
 
+def _decisions(questions: DataFrame) -> DataFrame:
+    """A router's answers as JSON for every fifth question, of three choices in turn."""
+    turn = F.col("question_id") % 15
+    json = (
+        F.when(turn == 0, '{"choice": "search", "keywords": ["purchase", "User 1", "purchase"]}')
+        .when(turn == 5, '{"choice": "event", "events": ["Event2", "Event5"]}')
+        .otherwise('{"choice": "all"}')
+    )
+    return routing.parse_route_json(questions.filter("question_id % 5 = 0").select("question_id", json.alias("json")))
+
+
+@query
+def dispatch(spark, folder):
+    """Every question answered with the lines, events or chunks that bear on it."""
+    return _answered(answer_questions(*_log_parts(spark, folder)))
+
+
+@query
+def dispatch_decided(spark, folder):
+    """The same where a router's decisions go before the rules."""
+    parts = _log_parts(spark, folder)
+    return _answered(answer_questions(*parts, _decisions(parts[0])))
+
+
 @query
 def prompts(spark, folder):
-    """Search prompts with the matched lines; a question without a match is asked directly."""
-    asked = routing.route_questions(rendered.log_questions(spark, folder)).filter(F.size("keywords") > 0)
-    asked = materialize(search.with_set_key(asked), "asked")
-    capped = search.KeywordSets(_lines(spark, folder), asked).capped(search.KEYWORD_CAP)
-    per_set = capped.groupBy("set_key").agg(
-        F.max("n_matched").alias("n_matched"),
-        F.max("trimmed").alias("trimmed"),
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda e: e["line"]).alias("context"),
-    )
-    prompt = context.search_prompt(
-        F.col("question"), "keywords", F.col("keywords"), F.col("n_matched"), F.col("trimmed"),
-        search.KEYWORD_CAP, F.col("context"),
-    )
-    direct = context.chat_prompt(F.col("question"))
-    return asked.join(per_set, "set_key", "left").select(
-        "question_id", F.when(F.col("n_matched").isNull(), direct).otherwise(prompt).alias("prompt")
-    )
+    """The prompt of every question on every route, with the context of its route."""
+    found = question_prompts(*_log_parts(spark, folder))
+    return found.select("question_id", "route", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("n_chars"))
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from logweave.formats import FORMATS
 from logweave.operators import routing, scoring
-from logweave.operators.context import CHAT_FRAME, SEARCH_FRAME, SUMMARY_FRAME, SYSTEM_PROMPT, TRIM_NOTE
+from logweave.operators.context import CHAT_FRAME, FRAMES, SYSTEM_PROMPT
 from logweave.operators.reports import CATEGORIES
 from logweave.plans.queries import BASELINE, EVENTS, IP_MASK, KEYWORDS, MODELS, NUMBER_MASK
 
@@ -326,15 +326,30 @@ def _like_format(text: str, *arguments: str) -> str:
     return " || ".join(pieces)
 
 
-_SEARCH_TEXT = _like_format(
-    SEARCH_FRAME,
-    "n_matched", "'keywords'", "array_to_string(keywords, ', ')",
-    f"CASE WHEN n_matched >= 200 THEN {_quoted(TRIM_NOTE % 200)} ELSE '' END",
-    "context", "question",
-)
-_SUMMARY_TEXT = _like_format(
-    SUMMARY_FRAME, "w.log_id", "p.events_text", "w.first_line", "w.last_line", "w.n_lines", "w.n_events", "q.question"
-)
+def _chat(text: str) -> str:
+    return _like_format(CHAT_FRAME, _quoted(SYSTEM_PROMPT), text)
+
+
+def _advice(lines: tuple[str, ...]) -> str:
+    return _quoted("\n".join(lines))
+
+
+def _cut(cap: int) -> str:
+    return f"CASE WHEN trimmed THEN {_quoted(FRAMES.cut % cap)} ELSE '' END"
+
+
+_SUMMARY_TEXT = _chat(_like_format(
+    FRAMES.whole, "w.log_id", "w.n_lines", "w.n_events", "w.first_line", "w.last_line", "p.events_text",
+    _advice(FRAMES.whole_advice), "q.question",
+))
+_SEARCH_TEXT = _chat(_like_format(
+    FRAMES.search, "array_to_string(keywords, ', ')", "n_matched", _cut(200), "context", _advice(FRAMES.lines_advice), "q.question"
+))
+_EVENT_TEXT = _chat(_like_format(
+    FRAMES.event, "array_to_string(events, ', ')", "n_matched", _cut(150), "event_rows", "context",
+    _advice(FRAMES.lines_advice), "q.question",
+))
+_RETRIEVE_TEXT = _chat(_like_format(FRAMES.retrieve, "context", _advice(FRAMES.retrieve_advice), "q.question"))
 
 SUMMARY = """extent AS (
   SELECT log_id, min_by(line, line_no) AS first_line, max_by(line, line_no) AS last_line, count(*) AS n_lines
@@ -345,6 +360,81 @@ pages AS (
     string_agg(EventId || ',' || EventTemplate || ',' || Occurrences, chr(10) ORDER BY number) AS events_text
   FROM catalogue)"""
 
+# Chunks chosen for a question: TF-IDF of the words themselves, the two best, the first ones where too few share a word.
+CHOSEN = """chunk_text AS (
+  SELECT line_from, string_agg(line, chr(10) ORDER BY line_no) AS text FROM owned GROUP BY line_from),
+chunk_words AS (
+  SELECT line_from, word, count(*) AS n FROM (
+    SELECT line_from, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS word FROM chunk_text)
+  GROUP BY ALL),
+word_idf AS (
+  SELECT word, ln((1 + (SELECT count(*) FROM chunk_text)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM chunk_words GROUP BY word),
+chunk_weights AS (
+  SELECT line_from, word, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY line_from)) AS w
+  FROM chunk_words JOIN word_idf USING (word)),
+asked_words AS (
+  SELECT question_id, word, count(*) AS n FROM (
+    SELECT question_id, unnest(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda t: t <> '')) AS word
+    FROM routed WHERE level2 = 'retrieve')
+  GROUP BY ALL),
+asked_weights AS (
+  SELECT question_id, word, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY question_id)) AS w
+  FROM asked_words JOIN word_idf USING (word)),
+chunk_scores AS (
+  SELECT question_id, line_from, max(score) AS score FROM (
+    SELECT question_id, line_from, round(sum(a.w * c.w), 9) AS score
+    FROM asked_weights a JOIN chunk_weights c USING (word) GROUP BY ALL
+    UNION ALL
+    SELECT question_id, line_from, 0 FROM routed, (SELECT line_from FROM chunk_text ORDER BY line_from LIMIT 2)
+    WHERE level2 = 'retrieve')
+  GROUP BY ALL),
+chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, line_from) AS place FROM chunk_scores)"""
+
+CONTEXTS = """asked_events AS (SELECT question_id, unnest(events) AS EventId FROM routed),
+event_totals AS (
+  SELECT question_id, sum(Occurrences)::BIGINT AS n,
+    string_agg(EventId || ',' || EventTemplate || ',' || Occurrences, chr(10) ORDER BY number) AS event_rows
+  FROM asked_events JOIN catalogue USING (EventId) GROUP BY 1),
+event_ranked AS (
+  SELECT question_id, s.line_no, s.line, row_number() OVER (PARTITION BY question_id ORDER BY s.line_no) AS place
+  FROM asked_events JOIN structured s USING (EventId)),
+shown AS (
+  SELECT question_id, line_no AS place, line FROM ranked WHERE place <= 200
+  UNION ALL SELECT question_id, place, line FROM event_ranked WHERE place <= 150
+  UNION ALL SELECT question_id, place, text FROM chosen JOIN chunk_text USING (line_from) WHERE place <= 2),
+gathered AS (
+  SELECT question_id, count(*) AS n_context, string_agg(line, chr(10) ORDER BY place) AS context FROM shown GROUP BY 1),
+keyword_totals AS (SELECT question_id, count(*) AS n FROM hits GROUP BY 1),
+answered AS (
+  SELECT *, level1 <> 'all' AND (level1 <> 'partial' OR n_matched = 0) AS direct,
+    coalesce((level2 = 'search' AND n_matched >= 200) OR (level2 = 'event' AND n_matched >= 150), false) AS trimmed
+  FROM (
+    SELECT r.*, e.event_rows, coalesce(g.n_context, 0) AS n_context, coalesce(g.context, '') AS context,
+      CASE WHEN level1 = 'all' THEN (SELECT count(*) FROM catalogue)
+           ELSE coalesce(CASE level2 WHEN 'search' THEN k.n WHEN 'event' THEN e.n WHEN 'retrieve' THEN g.n_context END, 0) END AS n_matched
+    FROM routed r
+    LEFT JOIN keyword_totals k USING (question_id)
+    LEFT JOIN event_totals e USING (question_id)
+    LEFT JOIN gathered g USING (question_id)))"""
+
+_DISPATCH = """SELECT question_id, route, n_matched, trimmed, direct, n_context, md5(context) AS context_md5,
+  array_to_string(keywords, '|') AS keywords, array_to_string(events, '|') AS events FROM answered"""
+
+# Every fifth question has a router's decision, of three choices in turn.
+_RULED = ROUTED.replace("routed AS (", "ruled AS (")
+DECIDED = f"""{_RULED},
+routed AS (
+  SELECT question_id, question,
+    CASE WHEN question_id % 5 <> 0 THEN level1 WHEN question_id % 15 = 10 THEN 'all' ELSE 'partial' END AS level1,
+    CASE WHEN question_id % 5 <> 0 THEN level2 WHEN question_id % 15 = 0 THEN 'search' WHEN question_id % 15 = 5 THEN 'event' END AS level2,
+    CASE WHEN question_id % 5 <> 0 THEN keywords WHEN question_id % 15 = 0 THEN ['purchase', 'User 1'] ELSE [] END AS keywords,
+    CASE WHEN question_id % 5 <> 0 THEN events WHEN question_id % 15 = 5 THEN ['Event2', 'Event5'] ELSE [] END AS events,
+    CASE WHEN question_id % 5 <> 0 THEN route WHEN question_id % 15 = 0 THEN 'Partial > Search'
+      WHEN question_id % 15 = 5 THEN 'Partial > Event' ELSE 'All' END AS route
+  FROM ruled)"""
+_LOG_PARTS = f"{CHUNKS}, {STRUCTURED.removeprefix(LINES + ',')}"
+
 SQL: dict[str, str] = {
     "read_text_log": f"""WITH {LINES}, days AS (
         SELECT substr(line, 1, 10) AS day, row_number() OVER (PARTITION BY substr(line, 1, 10) ORDER BY line_no) AS place, line
@@ -481,34 +571,17 @@ SQL: dict[str, str] = {
         CASE WHEN level1 <> 'generation' THEN array_to_string(keywords, '|') END AS keywords,
         CASE WHEN level1 <> 'generation' THEN array_to_string(events, '|') END AS events,
         level1 <> 'generation' AS usable FROM routed""",
-    "dispatch": f"""WITH RECURSIVE {CHUNKS}, {STRUCTURED.removeprefix(LINES + ',')}, {ROUTED}, {KEYWORD_HITS},
-        event_totals AS (
-          SELECT question_id, sum(Occurrences)::BIGINT AS n FROM (
-            SELECT question_id, unnest(events) AS EventId FROM routed) JOIN catalogue USING (EventId) GROUP BY 1),
-        n_chunks AS (SELECT count(*) AS n FROM (SELECT DISTINCT line_from FROM owned)),
-        counted AS (
-          SELECT r.*, CASE
-            WHEN level1 = 'all' THEN (SELECT count(*) FROM catalogue)
-            WHEN level2 = 'search' THEN coalesce(k.n, 0)
-            WHEN level2 = 'event' THEN coalesce(e.n, 0)
-            WHEN level2 = 'retrieve' THEN least(2, (SELECT n FROM n_chunks))
-            ELSE 0 END AS n_matched
-          FROM routed r
-          LEFT JOIN (SELECT question_id, count(*) AS n FROM hits GROUP BY 1) k USING (question_id)
-          LEFT JOIN event_totals e USING (question_id))
-        SELECT question_id, route, n_matched,
-          coalesce((level2 = 'search' AND n_matched >= 200) OR (level2 = 'event' AND n_matched >= 150), false) AS trimmed,
-          level1 <> 'all' AND (level1 <> 'partial' OR n_matched = 0) AS direct,
-          CASE level2 WHEN 'search' THEN least(n_matched, 200) WHEN 'event' THEN least(n_matched, 150)
-            WHEN 'retrieve' THEN n_matched ELSE 0 END AS n_context,
-          array_to_string(keywords, '|') AS keywords, array_to_string(events, '|') AS events
-        FROM counted""",
-    "prompts": f"""WITH {LINES}, {ROUTED}, {KEYWORD_HITS}, c AS (
-        SELECT question_id, max(n_matched) AS n_matched, string_agg(line, chr(10) ORDER BY line_no) AS context
-        FROM ranked WHERE place <= 200 GROUP BY question_id)
-        SELECT question_id, CASE WHEN n_matched IS NULL THEN {_like_format(CHAT_FRAME, _quoted(SYSTEM_PROMPT), "question")}
-          ELSE {_like_format(CHAT_FRAME, _quoted(SYSTEM_PROMPT), _SEARCH_TEXT)} END AS prompt
-        FROM routed LEFT JOIN c USING (question_id) WHERE len(keywords) > 0""",
+    "dispatch": f"WITH RECURSIVE {_LOG_PARTS}, {ROUTED}, {KEYWORD_HITS}, {CHOSEN}, {CONTEXTS} {_DISPATCH}",
+    "dispatch_decided": f"WITH RECURSIVE {_LOG_PARTS}, {DECIDED}, {KEYWORD_HITS}, {CHOSEN}, {CONTEXTS} {_DISPATCH}",
+    "prompts": f"""WITH RECURSIVE {_LOG_PARTS}, {SUMMARY}, {ROUTED}, {KEYWORD_HITS}, {CHOSEN}, {CONTEXTS}, made AS (
+        SELECT question_id, route, CASE
+          WHEN direct THEN {_chat("q.question")}
+          WHEN level1 = 'all' THEN {_SUMMARY_TEXT}
+          WHEN level2 = 'event' THEN {_EVENT_TEXT}
+          WHEN level2 = 'retrieve' THEN {_RETRIEVE_TEXT}
+          ELSE {_SEARCH_TEXT} END AS prompt
+        FROM answered q, whole w, pages p)
+        SELECT question_id, route, md5(prompt) AS prompt_md5, length(prompt) AS n_chars FROM made""",
     "summary_prompts": f"""WITH {CATALOGUE}, {SUMMARY}, {ROUTED}
         SELECT q.question_id, p.page, {_SUMMARY_TEXT} AS prompt
         FROM routed q CROSS JOIN whole w CROSS JOIN pages p WHERE q.level1 = 'all'""",

@@ -1,4 +1,5 @@
 from logweave.operators import routing
+from logweave.operators.context import PromptFrames
 from logweave.plans.answers import answer_questions, question_prompts
 
 LINES = [("l", 1, "Boom here", "Event1"), ("l", 2, "Start of Bar", "Event2"), ("l", 3, "Boom there", "Event1")]
@@ -26,15 +27,22 @@ def test_every_question_has_a_prompt_with_its_context(spark):
     found = {r.question_id: r.prompt for r in question_prompts(*tables(spark)).collect()}
     assert found.keys() == ASKED.keys()
     assert all(ASKED[n] in text and "null" not in text for n, text in found.items())
-    assert "There are 2 lines matched by events: Event1." in found[1]
+    assert "of these events: Event1\ntotal: 2\n" in found[1]
     assert "Event1,Boom <*>,2\n" in found[1] and "Boom here\nBoom there" in found[1] and "Event2" not in found[1]
-    assert "There are 1 lines matched by keywords: Bar." in found[2] and "Context: Start of Bar" in found[2]
-    assert "Event1,Boom <*>,2\nEvent2,Start of <*>,1\nThe first line of the log file: Boom here" in found[3]
-    assert "The log file contains 3 lines\nThere are 2 log events" in found[3]
-    assert "Context information is below" in found[5] and "Start of Bar" in found[5]
+    assert "any of these words: Bar\ntotal: 1\n\nStart of Bar\n" in found[2]
+    assert "Event1,Boom <*>,2\nEvent2,Start of <*>,1\n" in found[3] and "begins with: Boom here" in found[3]
+    assert "lines: 3\nkinds of events: 2\n" in found[3]
+    assert "# Parts of the log\nBoom here\nStart of Bar" in found[5]
     assert "Boom" not in found[4] + found[6]
 
 
+def test_frames_advice_and_catalogue_pages_are_parameters(spark):
+    frames = PromptFrames(retrieve="%s~%s~%s", whole_advice=("Be brief.",))
+    found = {r.question_id: r.prompt for r in question_prompts(*tables(spark), frames=frames, page_events=1).collect()}
+    assert "~Which log line has Start in it?" in found[5]
+    assert "# Please note\nBe brief.\n" in found[3] and "Event1,Boom <*>,2\n" in found[3] and "Event2" not in found[3]
+
+
 def test_given_decisions_go_before_the_rules(spark):
     texts = {
         1: '{"choice": "search", "keywords": ["there", "there"]}',
