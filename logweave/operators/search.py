@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.functions.text import contains_any, event_mentions, strip
+from logweave.operators.gram_index import GramIndex
 from logweave.session import lookup_join, materialize
 from logweave.sources.lines import contiguous_ids
 
@@ -126,7 +127,10 @@ class KeywordSets:
     the lines of the most frequent word need not be listed per set at all.
     """
 
-    def __init__(self, lines: DataFrame, questions: DataFrame, inline_words: int = INLINE_WORDS):
+    def __init__(
+        self, lines: DataFrame, questions: DataFrame, inline_words: int = INLINE_WORDS, index: GramIndex | None = None
+    ):
+        """With an ``index`` of the same lines only the blocks that it names are read for the words."""
         self.lines = lines
         sets = materialize(
             with_set_key(questions)
@@ -136,7 +140,8 @@ class KeywordSets:
             .distinct(),
             "keyword_sets",
         )
-        self.held = materialize(line_words(lines, sets.select("word").distinct(), inline_words), "line_words")
+        words = materialize(sets.select("word").distinct(), "asked_words")
+        self.held = materialize(index.line_words(words) if index else line_words(lines, words, inline_words), "line_words")
         self.totals = materialize(
             self.held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_lines")),
             "word_totals",

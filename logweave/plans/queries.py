@@ -25,6 +25,7 @@ from logweave.operators import (
     search,
     templates,
 )
+from logweave.operators.gram_index import GramIndex
 from logweave.operators.vectors import VectorIndex, nearest, recall
 from logweave.plans.answers import answer_questions, question_prompts
 from logweave.plans.log_analysis import analyse, keep_line
@@ -310,9 +311,11 @@ def keyword_search_batch(spark, folder):
 
 @query
 def keyword_matches(spark, folder):
-    """Every line of every distinct keyword set that the questions ask for."""
+    """Every line of every distinct keyword set that the questions ask for, through a gram index."""
     asked = routing.route_questions(rendered.log_questions(spark, folder)).filter(F.size("keywords") > 0)
-    found = search.KeywordSets(_lines(spark, folder), asked).matches()
+    lines = _lines(spark, folder)
+    index = GramIndex(spark, scratch_path(spark, "gram-index")).build(lines)
+    found = search.KeywordSets(lines, asked, index=index).matches()
     return found.select(F.replace("set_key", F.lit("\u0001"), F.lit("|")).alias("keywords"), "line_no", "line")
 
 
