@@ -132,6 +132,12 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.filter(hash_part(rows, df.count(), key))
 
 
+def bounded_bytes(df: DataFrame, limit: int) -> DataFrame:
+    """Rows of ``df`` (doc_id, text), so many that their texts hold about ``limit`` bytes at most, chosen by hash."""
+    size, rows = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    return df if size <= limit else df.filter(hash_part(max(1, rows * limit // size), rows, "doc_id", "text"))
+
+
 def class_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """``bounded_sample`` of rows with a label, in which a rare label keeps a share of ``rows``.
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import labelled_sample, map_rows, one_class, remainder
+from logweave.llm.common import bounded_bytes, labelled_sample, map_rows, one_class, remainder
 
 FILTERS = 16
 WIDTH = 5
@@ -30,6 +30,8 @@ PIECE_BLOCKS = 4096
 
 #: Labelled documents that the network is fitted to, at most.
 SAMPLE_ROWS = 4_000
+#: Bytes of their texts, at most about; rows are left out beyond that, texts are never cut.
+SAMPLE_BYTES = 64 << 20
 HELD_OUT = (5, 0)
 THRESHOLD = 0.3
 
@@ -165,6 +167,7 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 4, batch: int
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
     """Fit to a bounded sample of labelled rows.  Without labelled rows of both kinds every text is good."""
     sample = labelled_sample(documents, labels, "quality", HELD_OUT, sample_rows)
+    sample = bounded_bytes(sample, SAMPLE_BYTES)
     found = sample.select("doc_id", "text", "label").toPandas().sort_values("doc_id", kind="stable")
     target = found["label"].to_numpy(np.float64)
     if one_class(target, "quality"):

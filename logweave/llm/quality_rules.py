@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,18 +81,27 @@ class Hasher:
         shift = np.uint32(13)
         return [self.buckets(g, kind) for kind, g in enumerate((word, pairs >> shift, triples >> shift, fours >> shift))]
 
-    def features(self, text: str | None, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct buckets with their shares: those of each kind sum up to one."""
-        places, shares = [np.empty(0, np.int64)], [np.empty(0)]
-        for found in self.grams(text, words):
-            if len(found):
-                place, count = np.unique(found, return_counts=True)
-                places.append(place)
-                shares.append(count / len(found))
-        return np.concatenate(places), np.concatenate(shares)
+    def features(self, text: str | None, words: list[str]) -> bytes:
+        """Distinct buckets and how often each occurs, in two bytes each, after their numbers by kind."""
+        places, counts = [], []
+        for kind, found in enumerate(self.grams(text, words)):
+            place, count = np.unique(found - kind * BUCKETS, return_counts=True)
+            places.append(place.astype("<u2"))
+            counts.append(np.minimum(count, 65_535).astype("<u2"))
+        sizes = np.array([len(place) for place in places], "<u4")
+        return b"".join(part.tobytes() for part in (sizes, *places, *counts))
+
 
+def shares(packed: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of packed features with their shares: those of each kind sum up to one."""
+    sizes = np.frombuffer(packed, "<u4", KINDS)
+    both = np.frombuffer(packed, "<u2", offset=4 * KINDS)
+    kind = np.repeat(np.arange(KINDS), sizes)
+    count = both[len(kind) :].astype(np.float64)
+    return both[: len(kind)] + kind * BUCKETS, count / np.bincount(kind, count, KINDS)[kind]
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 12, seed: int = 7):
+
+def fit(rows: Sequence[bytes], labels: np.ndarray, rounds: int = 12, seed: int = 7):
     """Weights and intercept by adaptive gradient steps over batches of rows in a fixed random order."""
     random = np.random.default_rng(seed)
     weights, held = np.zeros(KINDS * BUCKETS), np.full(KINDS * BUCKETS, 1e-6)
@@ -99,9 +110,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
         order = random.permutation(len(rows))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            place = np.concatenate([rows[n][0] for n in own])
-            share = np.concatenate([rows[n][1] for n in own])
-            row = np.repeat(np.arange(len(own)), [len(rows[n][0]) for n in own])
+            parts = [shares(rows[n]) for n in own]
+            place, share = (np.concatenate(part) for part in zip(*parts))
+            row = np.repeat(np.arange(len(own)), [len(part[0]) for part in parts])
             logit = bias + np.bincount(row, weights[place] * share, len(own))
             error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels[own]) / len(own)
             bias -= 0.5 * error.sum()
@@ -112,6 +123,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
     return weights, bias
 
 
+def fit_and_calibrate(keys: list, rows: list[bytes], target: np.ndarray) -> tuple[np.ndarray, float, tuple[float, float]]:
+    """Weights, intercept and calibration curve; a part of the rows, chosen by key, only calibrates."""
+    aside = np.array([zlib.crc32(str(key).encode()) // 7 % CALIBRATION == 0 for key in keys])
+    if not 0 < target[aside].sum() < aside.sum() or not 0 < target[~aside].sum() < (~aside).sum():
+        aside = np.zeros(len(target), bool)
+    weights, bias = fit([r for r, a in zip(rows, aside) if not a], target[~aside])
+    checked = aside if aside.any() else np.ones(len(target), bool)
+    logits = [bias + float((weights[place] * share).sum()) for place, share in (shares(r) for r, c in zip(rows, checked) if c)]
+    return weights, bias, calibrate(np.array(logits), target[checked])
+
+
 def calibrate(logits: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[float, float]:
     """Slope and shift of the logistic curve that fits the labels best (Newton steps, smoothed targets)."""
     good, bad = labels.sum(), len(labels) - labels.sum()
@@ -159,27 +181,22 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     """Fit to a bounded sample of labelled rows.  Without rows of both kinds every text is good."""
     sample = labelled_sample(documents, labels, "quality", HELD_OUT, sample_rows)
 
-    def encode(texts, hasher):
-        rows = []
-        for text in texts:
-            place, share = hasher.features(text, WORD.findall(text or ""))
-            rows.append((place.astype("<i4").tobytes(), share.astype("<f4").tobytes()))
-        return rows
-
-    found = map_rows(sample, ["text"], encode, "place binary, share binary", keep=("doc_id", "label"), setup=Hasher)
-    # The driver reads the rows where Arrow has put them; only batches of rows are widened.
-    found = found.toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
-    target = found["label"].to_numpy().astype(np.float64)
-    if one_class(target, "quality"):
+    marks = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if one_class([1] * marks.get(1, 0) + [0] * marks.get(0, 0), "quality"):
         return Model(np.zeros(KINDS * BUCKETS), 5.0, (1.0, 0.0))
-    rows = [(np.frombuffer(p.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4")) for p, s in zip(found["place"], found["share"])]
-    aside = np.array([zlib.crc32(str(key).encode()) // 7 % CALIBRATION == 0 for key in found["doc_id"].to_pylist()])
-    if not 0 < target[aside].sum() < aside.sum() or not 0 < target[~aside].sum() < (~aside).sum():
-        aside = np.zeros(len(target), bool)
-    weights, bias = fit([r for r, a in zip(rows, aside) if not a], target[~aside])
-    checked = aside if aside.any() else np.ones(len(target), bool)
-    logits = np.array([bias + float((weights[p] * s).sum()) for (p, s), c in zip(rows, checked) if c])
-    return Model(weights, bias, calibrate(logits, target[checked]))
+    encode = lambda texts, hasher: [(hasher.features(text, WORD.findall(text or "")),) for text in texts]
+    found = map_rows(sample, ["text"], encode, "features binary", keep=("doc_id", "label"), setup=Hasher)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*[batch.column(n).to_pylist() for n in ("doc_id", "features", "label")])]
+        rows.sort(key=lambda row: row[:2])
+        weights, bias, curve = fit_and_calibrate([r[0] for r in rows], [r[1] for r in rows], np.array([float(r[2]) for r in rows]))
+        values = [[weights.astype("<f4").tobytes()], [bias], [curve[0]], [curve[1]]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["weights", "bias", "slope", "shift"])
+
+    # The sample is bounded; one task fits it, and only the weights come to the driver.
+    made = found.repartition(1).mapInArrow(fitted, "weights binary, bias double, slope double, shift double").first()
+    return Model(np.frombuffer(made.weights, "<f4"), made.bias, (made.slope, made.shift))
 
 
 SCHEMA = (

@@ -139,8 +139,12 @@ def test_every_kind_of_gram_has_its_own_buckets():
         grams = hasher.grams(text, text.split())
         assert [len(g) for g in grams] == counts
         assert all(((g >= n * size) & (g < (n + 1) * size)).all() for n, g in enumerate(grams))
-    place, share = hasher.features("ab cd ab cd", "ab cd ab cd".split())
+    text = "ab cd ab cd"
+    place, share = quality_rules.shares(hasher.features(text, text.split()))
     assert len(place) == len(set(place.tolist())) and abs(share.sum() - 4) < 1e-9
+    counts = Counter(np.concatenate(hasher.grams(text, text.split())).tolist())
+    assert set(counts) == set(place.tolist())
+    assert len(quality_rules.shares(hasher.features(None, []))[0]) == 0
     # A pair depends on the order of its words.
     one, other = hasher.grams("a b", ["a", "b"])[1], hasher.grams("b a", ["b", "a"])[1]
     assert one.tolist() != other.tolist()

@@ -58,3 +58,13 @@ def test_one_class_is_said(spark, make, caplog):
     with caplog.at_level(logging.WARNING):
         assert toxicity.clean_documents(docs, labels).count() == 10
     assert "no model for toxic" in caplog.text
+
+
+def test_texts_of_a_sample_are_bounded_by_bytes(spark):
+    from logweave.llm.common import bounded_bytes
+
+    rows = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', 1000) AS text", "1 AS label")
+    assert bounded_bytes(rows, 1 << 30).count() == 4000
+    found = bounded_bytes(rows, 400_000).collect()
+    assert 200 < len(found) < 700 and all(len(r.text) == 1000 for r in found)
+    assert bounded_bytes(rows.limit(0), 10).count() == 0
