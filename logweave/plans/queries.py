@@ -42,6 +42,7 @@ NUMBER_MASK = r"\b\d+(\.\d+)?\b"
 MASKS = (IP_MASK, NUMBER_MASK)
 KEYWORDS = ("ERROR", "10.0.46.", "error", "{\"k\": 8")
 EVENTS = ("Event2", "Event7", "Event9", "Event99")
+TEXT_FILE_LINES = 100_000
 BASELINE = "model-0"
 MODELS = [f"model-{i}" for i in range(5)]
 ANSWER_MODELS = ["copy", "bench", "joined", "labelled"]
@@ -91,20 +92,21 @@ def _joined(items: str, mark: str = "|") -> Column:
 
 @query
 def read_text_log(spark, folder):
-    """Lines written as text files, one per day, and read back with their place in the file."""
+    """Lines written as text files, some per day, and read back with their place in the file."""
     path = scratch_path(spark, "text")
-    day = F.substring("line", 1, 10).alias("day")
-    dated = _lines(spark, folder).select("line_no", "line", day)
-    # One file per day, so that its numbers are known.
-    dated.repartition("day").sortWithinPartitions("day", "line_no").select("day", "line").write.partitionBy(
-        "day"
-    ).text(path)
-    return read_log_lines(spark, path).groupBy(F.regexp_extract("log_id", "^day=([^/]*)/", 1).alias("day")).agg(
-        F.count("*").alias("n"),
-        F.min("line_no").alias("first"),
-        F.max("line_no").alias("last"),
-        F.count_distinct("line_no").alias("numbers"),
-        F.md5(F.array_join(F.array_sort(F.collect_set(F.md5(F.concat_ws(":", "line_no", "line")))), "")).alias("lines_md5"),
+    lines = _lines(spark, folder).withColumn("day", F.substring("line", 1, 10))
+    # A file holds the lines of a day in one range of numbers, in order.
+    part = F.floor(F.col("line_no") / TEXT_FILE_LINES)
+    lines.withColumn("part", part).repartition("day", "part").sortWithinPartitions("day", "part", "line_no").select(
+        "line", "day", "part"
+    ).write.partitionBy("day", "part").text(path)
+    mark = F.conv(F.substring(F.md5(F.concat_ws(":", "line_no", "line")), 1, 8), 16, 10).cast("bigint")
+    return read_log_lines(spark, path).withColumn("mark", mark).groupBy(
+        F.regexp_extract("log_id", "^day=([^/]*)/", 1).alias("day"),
+        F.regexp_extract("log_id", "/part=([0-9]*)/", 1).cast("bigint").alias("part"),
+    ).agg(
+        F.count("*").alias("n"), F.min("line_no").alias("first"), F.max("line_no").alias("last"),
+        F.sum("mark").alias("mark_sum"), F.bit_xor("mark").alias("mark_xor"),
     )
 
 
@@ -146,16 +148,17 @@ def format_scores(spark, folder):
 
 @query
 def detect_format(spark, folder):
-    return detection.detect_format(_lines(spark, folder))
+    """The format of each of sixteen logs, one in every known layout."""
+    return detection.detect_format(materialize(rendered.layout_log_lines(spark, folder), "layout_lines"))
 
 
 @query
 def parse_detected(spark, folder):
-    """Parse with the format found for the log."""
-    lines = _lines(spark, folder)
+    """Sixteen logs, each parsed with the format found for it."""
+    lines = materialize(rendered.layout_log_lines(spark, folder), "layout_lines")
     parsed = detection.parse_detected(lines, detection.detect_format(lines))
     return parsed.select(
-        "line_no", "format", "content", F.element_at("headers", "Level").alias("level"),
+        "log_id", "line_no", "format", "content", F.try_element_at("headers", F.lit("Level")).alias("level"),
         F.size("headers").cast("bigint").alias("n_headers"),
     )
 

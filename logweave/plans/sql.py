@@ -6,7 +6,7 @@ from logweave.formats import FORMATS
 from logweave.operators import routing, scoring
 from logweave.operators.context import CHAT_FRAME, FRAMES, SYSTEM_PROMPT
 from logweave.operators.reports import CATEGORIES
-from logweave.plans.queries import BASELINE, EVENTS, IP_MASK, KEYWORDS, MODELS, NUMBER_MASK
+from logweave.plans.queries import BASELINE, EVENTS, IP_MASK, KEYWORDS, MODELS, NUMBER_MASK, TEXT_FILE_LINES
 
 SPARK_LAYOUT = next(fmt for fmt in FORMATS if fmt.name == "Spark")
 
@@ -22,17 +22,19 @@ def _list(items) -> str:
 RX = _quoted(SPARK_LAYOUT.plain_regex)
 HEADERS = _list(SPARK_LAYOUT.headers)
 
-LINES = """lines AS (
-  SELECT 'events.log' AS log_id, event_id + 1 AS line_no,
-    strftime(ts, '%Y-%m-%d %H:%M:%S')
-    || CASE event_type WHEN 'error' THEN ' ERROR ' ELSE ' INFO ' END || 'app.' || event_type
-    || CASE WHEN event_id % 97 = 0 THEN ' ' ELSE ': ' END
-    || CASE event_id % 4
+_CONTENT = """CASE event_id % 4
          WHEN 0 THEN 'user ' || user_id || ' did ' || event_type || ' value ' || printf('%.2f', value)
          WHEN 1 THEN 'request from 10.0.' || (user_id % 256) || '.' || (event_id % 256)
                      || ' took ' || (event_id % 500) || ' ms'
          WHEN 2 THEN 'props ' || props || ' accepted'
-         ELSE 'session closed for user ' || user_id END AS line
+         ELSE 'session closed for user ' || user_id END"""
+
+LINES = f"""lines AS (
+  SELECT 'events.log' AS log_id, event_id + 1 AS line_no,
+    strftime(ts, '%Y-%m-%d %H:%M:%S')
+    || CASE event_type WHEN 'error' THEN ' ERROR ' ELSE ' INFO ' END || 'app.' || event_type
+    || CASE WHEN event_id % 97 = 0 THEN ' ' ELSE ': ' END
+    || {_CONTENT} AS line
   FROM events)"""
 
 PARSED = f"""{LINES},
@@ -435,13 +437,27 @@ routed AS (
   FROM ruled)"""
 _LOG_PARTS = f"{CHUNKS}, {STRUCTURED.removeprefix(LINES + ',')}"
 
+# The layout of a line follows from its event; so do its parts.
+LAYOUTS = f"""layouts(place, format, n_headers) AS (VALUES {
+    ", ".join(f"({place}, '{fmt.name}', {len(fmt.headers)}::BIGINT)" for place, fmt in enumerate(FORMATS))
+}),
+layout_lines AS (
+  SELECT format, n_headers, event_id // 16 + 1 AS line_no,
+    CASE WHEN format IN ('HDFS', 'Hadoop', 'Spark', 'Zookeeper', 'BGL', 'OpenStack') THEN if(event_type = 'error', 'ERROR', 'INFO')
+         WHEN format = 'Windows' THEN if(event_type = 'error', 'Error', 'Info')
+         WHEN format = 'Linux' THEN 'combo'
+         WHEN format = 'Android' THEN if(event_type = 'error', 'E', 'I')
+         WHEN format = 'Apache' THEN if(event_type = 'error', 'error', 'notice') END AS level,
+    {_CONTENT} AS content
+  FROM events JOIN layouts ON place = event_id % 16)"""
+
 SQL: dict[str, str] = {
     "read_text_log": f"""WITH {LINES}, days AS (
-        SELECT substr(line, 1, 10) AS day, row_number() OVER (PARTITION BY substr(line, 1, 10) ORDER BY line_no) AS place, line
-        FROM lines)
-        SELECT day, count(*) AS n, 1::BIGINT AS first, count(*) AS last, count(*) AS numbers,
-          md5(string_agg(h, '' ORDER BY h)) AS lines_md5
-        FROM (SELECT *, md5(place || ':' || line) AS h FROM days) GROUP BY day""",
+        SELECT substr(line, 1, 10) AS day, line_no // {TEXT_FILE_LINES} AS part,
+          row_number() OVER (PARTITION BY substr(line, 1, 10), line_no // {TEXT_FILE_LINES} ORDER BY line_no) AS place, line
+        FROM lines), marks AS (SELECT *, ('0x' || substr(md5(place || ':' || line), 1, 8))::BIGINT AS mark FROM days)
+        SELECT day, part, count(*) AS n, 1::BIGINT AS first, count(*) AS last, sum(mark)::BIGINT AS mark_sum, bit_xor(mark) AS mark_xor
+        FROM marks GROUP BY day, part""",
     "parse_lines": f"WITH {PARSED} SELECT line_no, Date, Time, Level, Component, Content FROM parsed",
     "line_ids": f"WITH {PARSED} SELECT line_no, row_number() OVER (ORDER BY line_no) AS LineId FROM parsed",
     "rejected_lines": f"WITH {LINES} SELECT line_no, line FROM lines WHERE NOT regexp_matches(line, {RX})",
@@ -456,11 +472,10 @@ SQL: dict[str, str] = {
         SELECT log_id, format, n_strict, n_lines,
           row_number() OVER (PARTITION BY log_id ORDER BY n_strict DESC, literals DESC, position) AS format_rank
         FROM s""",
-    "detect_format": f"""WITH {PARSED} SELECT log_id, 'Spark' AS format, count(*) AS n_parsed,
-        (SELECT count(*) FROM lines) AS n_lines, count(*) / (SELECT count(*) FROM lines) AS coverage
-        FROM parsed GROUP BY log_id""",
-    "parse_detected": f"""WITH {PARSED} SELECT line_no, 'Spark' AS format, Content AS content, Level AS level,
-        5::BIGINT AS n_headers FROM parsed""",
+    "detect_format": f"""WITH {LAYOUTS} SELECT format || '.log' AS log_id, format, count(*) AS n_parsed, count(*) AS n_lines,
+        1.0::DOUBLE AS coverage FROM layout_lines GROUP BY format""",
+    "parse_detected": f"""WITH {LAYOUTS} SELECT format || '.log' AS log_id, line_no, format, content, level, n_headers
+        FROM layout_lines""",
     "mask_templates": f"WITH {MASKED} SELECT template, count(*) AS n_lines FROM masked GROUP BY template",
     "tokenise": f"""WITH {PARSED} SELECT line_no, len(regexp_split_to_array(Content, '\\s+')) AS n_tokens,
         array_to_string(regexp_split_to_array(Content, '\\s+'), '|') AS tokens FROM parsed""",

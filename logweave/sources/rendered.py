@@ -8,17 +8,12 @@ from pyspark.sql import functions as F
 from logweave.session import lookup_join, spread
 
 
-def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """``(log_id, line_no, line)``: one application log line per event.
-
-    Lines have the shape ``<Date> <Time> <Level> <Component>: <Content>`` with four kinds of
-    content; every 97th line lacks the colon.
-    """
-    events = spread(spark.read.parquet(f"{folder}/events.parquet"))
+def _event_content() -> Column:
+    """What a line says of an event: four kinds."""
     n, user_id = F.col("event_id"), F.col("user_id")
     user = user_id.cast("string")
     octet = (n % 256).cast("string")
-    content = (
+    return (
         F.when(
             n % 4 == 0,
             F.concat(
@@ -36,6 +31,16 @@ def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
         .when(n % 4 == 2, F.concat(F.lit("props "), F.col("props"), F.lit(" accepted")))
         .otherwise(F.concat(F.lit("session closed for user "), user))
     )
+
+
+def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``(log_id, line_no, line)``: one application log line per event.
+
+    Lines have the shape ``<Date> <Time> <Level> <Component>: <Content>`` with four kinds of
+    content; every 97th line lacks the colon.
+    """
+    events = spread(spark.read.parquet(f"{folder}/events.parquet"))
+    n, content = F.col("event_id"), _event_content()
     line = F.concat(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
         F.when(F.col("event_type") == "error", F.lit(" ERROR ")).otherwise(F.lit(" INFO ")),
@@ -47,6 +52,50 @@ def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return events.select(F.lit("events.log").alias("log_id"), (n + 1).alias("line_no"), line.alias("line"))
 
 
+def layout_log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``(log_id, line_no, line)``: sixteen logs, one in each of the known layouts, with an equal share of the events.
+
+    Process ids that a layout may leave out are left out of every third line.
+    """
+    events = spread(spark.read.parquet(f"{folder}/events.parquet"))
+    n, user = F.col("event_id"), F.col("user_id").cast("string")
+    at = lambda pattern: F.date_format("ts", pattern)
+    failed = F.col("event_type") == "error"
+    level = F.when(failed, "ERROR").otherwise("INFO")
+    component = F.concat(F.lit("app."), F.col("event_type"))
+    pid, some_pid = user, F.when(n % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("["), user, F.lit("]")))
+    seconds = F.unix_timestamp("ts").cast("string")
+    short = lambda yes, no: F.when(failed, yes).otherwise(no)
+    layouts: dict[str, list[Column | str]] = {
+        "HDFS": [at("yyMMdd HHmmss "), pid, " ", level, " ", component, ": "],
+        "Hadoop": [at("yyyy-MM-dd HH:mm:ss,SSS "), level, " [main] org.", component, ": "],
+        "Spark": [at("yy/MM/dd HH:mm:ss "), level, " ", component, ": "],
+        "Zookeeper": [at("yyyy-MM-dd HH:mm:ss,SSS - "), level, "  [QuorumPeer:", component, "@", pid, "] - "],
+        "BGL": ["- ", seconds, at(" yyyy.MM.dd "), "R02-M1 ", at("yyyy-MM-dd-HH.mm.ss.SSSSSS "), "R02-M1 RAS KERNEL ", level, " "],
+        "HPC": [n.cast("string"), " node-", pid, " unix.hw state_change ", seconds, " 1 "],
+        "Thunderbird": ["- ", seconds, at(" yyyy.MM.dd "), "dn228 ", at("MMM d HH:mm:ss "), "dn228/dn228 crond", some_pid, ": "],
+        "Windows": [at("yyyy-MM-dd HH:mm:ss, "), short("Error", "Info"), "                  CBS    "],
+        "Linux": [at("MMM d HH:mm:ss "), "combo ", "daemon", some_pid, ": "],
+        "Android": [at("MM-dd HH:mm:ss.SSS  "), pid, "  ", pid, " ", short("E", "I"), " Window: "],
+        "HealthApp": [at("yyyyMMdd-HH:mm:ss:SSS"), "|Step_", F.col("event_type"), "|", pid, "|"],
+        "Apache": [at("'['E MMM dd HH:mm:ss yyyy'] '"), "[", short("error", "notice"), "] "],
+        "Proxifier": [at("'['MM.dd HH:mm:ss'] '"), "chrome.exe - "],
+        "OpenSSH": [at("MMM d HH:mm:ss "), "LabSZ sshd[", pid, "]: "],
+        "OpenStack": ["nova-api.log ", at("yyyy-MM-dd HH:mm:ss.SSS "), pid, " ", level, " nova.", component, " [req-", pid, "] "],
+        "Mac": [at("MMM  d HH:mm:ss "), "calvisitor ", "kernel[", pid, "]: "],
+    }
+    name, line = F.lit(None), F.lit(None)
+    for place, (layout, parts) in enumerate(layouts.items()):
+        own = n % len(layouts) == place
+        head = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        name, line = F.when(own, layout).otherwise(name), F.when(own, head).otherwise(line)
+    return events.select(
+        F.concat(name, F.lit(".log")).alias("log_id"),
+        (F.floor(n / len(layouts)) + 1).alias("line_no"),
+        F.concat(line, _event_content()).alias("line"),
+    )
+
+
 def log_questions(spark: SparkSession, folder: str) -> DataFrame:
     """``(question_id, question)``: one question per user turn of the conversations.
 
