@@ -68,6 +68,40 @@ def wide_to_metrics(wide: DataFrame) -> DataFrame:
     return long.select("sheet", "category", model.alias("model"), metric.alias("metric"), "value")
 
 
+def cell_means(metrics: DataFrame) -> DataFrame:
+    """Means per (sheet, category, model, metric) and per (sheet, model, metric) from one scan.
+
+    ``category`` is null in the coarser rows, which ``coarse`` marks.
+    """
+    fine = ["sheet", "category", "model", "metric"]
+    sets = [[F.col(c) for c in fine], [F.col(c) for c in fine if c != "category"]]
+    return metrics.groupingSets(sets, *fine).agg(
+        F.avg("value").alias("value"), (F.grouping("category") == 1).alias("coarse")
+    )
+
+
+def mean_reports(metrics: DataFrame) -> DataFrame:
+    """``(report, sheet, category, model, metric, value)``: the means of three reports from one scan of the metrics.
+
+    Cells are means per sheet and category; categories and models are means of the sheets' means.
+    """
+    cells = materialize(cell_means(metrics), "cell_means")
+    none = F.lit(None).cast("string")
+    fine, coarse = cells.filter("not coarse"), cells.filter("coarse")
+    over_sheets = lambda rows, *keys: rows.groupBy(*keys, "metric").agg(F.avg("value").alias("value"))
+    columns = ["sheet", "category", "model", "metric", "value"]
+    parts = {
+        "cell": fine,
+        "category": over_sheets(fine, "category", "model").withColumn("sheet", none),
+        "model": over_sheets(coarse, "model").withColumn("sheet", none).withColumn("category", none),
+    }
+    found = None
+    for name, rows in parts.items():
+        rows = rows.select(F.lit(name).alias("report"), *columns)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def category_mean(metrics: DataFrame) -> DataFrame:
     """Mean over sheets per category, model and metric, to two decimals."""
     per_sheet = metrics.groupBy("sheet", "category", "model", "metric").agg(F.avg("value").alias("value"))

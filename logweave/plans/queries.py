@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import text as T
 from logweave.operators import (
+    accuracy,
     context,
     conversations,
     detection,
@@ -264,6 +265,16 @@ def mined_log(spark, folder):
     )
 
 
+@query
+def parsing_accuracy(spark, folder):
+    """Mined events against the four kinds of lines that were rendered."""
+    masked = _masked(spark, folder, (IP_MASK,)).select("log_id", "line_no", "template", "n_tokens")
+    masked = materialize(masked, "masked")
+    found = mining.attach_mined(masked, mining.mine_assignments(masked, 0.5, 4))
+    known = found.withColumn("kind", (F.col("line_no") - 1) % 4)
+    return _rounded(accuracy.parsing_accuracy(known, "kind", "template", ["log_id"]))
+
+
 @query
 def mined_stream(spark, folder):
     """Lines that arrive in four parts, mined part by part with state in between."""
@@ -380,11 +391,11 @@ def chunk_texts(spark, folder):
 
 @query
 def chunk_vectors(spark, folder):
-    """Hashed TF-IDF weights of documents."""
+    """TF-IDF weights of the words of documents."""
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    counts = materialize(retrieval.bucket_counts(documents, ["doc_id"]), "bucket_counts")
+    counts = materialize(retrieval.bucket_counts(documents, ["doc_id"], None), "word_counts")
     weights = retrieval.unit_weights(counts, retrieval.bucket_idf(counts, documents), ["doc_id"])
-    return weights.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+    return weights.select("doc_id", F.col("bucket").alias("word"), F.round("weight", 6).alias("weight"))
 
 
 @query
@@ -536,16 +547,22 @@ def exchange_metrics(spark, folder):
 
 @query
 def saved_exchanges(spark, folder):
-    """Exchanges appended to a JSON-lines table in two writes and read back."""
+    """Exchanges with their notes, appended to a JSON-lines table in two writes and read back."""
     found = conversations.exchanges(spark.read.parquet(f"{folder}/conversations.parquet"))
-    records = found.select(
-        "user_input", "response", F.lit("").alias("extra_info"),
+    routed = routing.route_questions(
+        found.withColumn("elapsed", (F.length("user_input") + 100) / 64.0).withColumn("question", F.col("user_input"))
+    )
+    note = conversations.exchange_note(
+        F.col("route"), F.col("keywords"), F.col("events"), F.col("elapsed"), F.coalesce("response", F.lit(""))
+    )
+    records = routed.select(
+        "user_input", "response", note.alias("extra_info"),
         F.lit("2024-01-01 00:00:00").alias("timestamp"), F.lit("1.00 seconds").alias("response_time"),
     )
     path = scratch_path(spark, "exchanges")
     tables.append_exchanges(records.filter(F.col("response").isNotNull()), path)
     tables.append_exchanges(records.filter(F.col("response").isNull()), path)
-    return tables.read_exchanges(spark, path).select("user_input", "response", "timestamp", "response_time")
+    return tables.read_exchanges(spark, path).select("user_input", "response", "extra_info", "timestamp", "response_time")
 
 
 # Sinks
@@ -563,6 +580,18 @@ def structured_roundtrip(spark, folder):
     )
 
 
+@query
+def replaced_results(spark, folder):
+    """Results of two logs, of which one is then replaced; the other stays."""
+    structured, _ = _structured(spark, folder)
+    halves = structured.withColumn("log_id", F.when(F.col("line_no") % 2 == 0, "even.log").otherwise("odd.log"))
+    root = scratch_path(spark, "results")
+    tables.write_by_log(halves.select("log_id", "line_no", "EventId"), root, "structured")
+    again = halves.filter("log_id = 'odd.log' and Level = 'ERROR'")
+    tables.write_by_log(again.select("log_id", "line_no", "EventId"), root, "structured")
+    return tables.read_by_log(spark, root, "structured").select("log_id", "line_no", "EventId")
+
+
 @query
 def catalogue_csv(spark, folder):
     """Catalogue written as CSV and read back with its schema."""
@@ -651,6 +680,12 @@ def pivot_by_category(spark, folder):
 # Reports
 
 
+@query
+def mean_reports(spark, folder):
+    """Means per cell, per category and per model from one scan."""
+    return _rounded(reports.mean_reports(_metrics(spark, folder)))
+
+
 @query
 def category_mean(spark, folder):
     return reports.category_mean(_metrics(spark, folder))

@@ -319,6 +319,12 @@ EXCHANGES = """exchanges AS (
   WHERE role = 'user')"""
 
 
+ROUTED_EXCHANGES = (
+    "questions AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS question_id, user_input AS question FROM exchanges)"
+    + ROUTED.removeprefix(QUESTIONS)
+)
+
+
 def _like_format(text: str, *arguments: str) -> str:
     """SQL that puts the arguments at the ``%s`` marks."""
     parts = text.split("%s")
@@ -516,6 +522,14 @@ SQL: dict[str, str] = {
             ELSE regexp_replace(Content, pattern, array_to_string(list_transform(range(1, gaps + 1), lambda i: '\\' || i), '|'))
             END AS parameters
         FROM mined_lines""",
+    "parsing_accuracy": f"""WITH RECURSIVE {MINED}, g AS (
+        SELECT (line_no - 1) % 4 AS kind, EventTemplate AS mined, count(*) AS n FROM mined_lines GROUP BY 1, 2),
+        t AS (SELECT *, sum(n) OVER (PARTITION BY kind) AS a, sum(n) OVER (PARTITION BY mined) AS b FROM g),
+        p AS (SELECT sum(n * (n - 1) / 2) AS shared, (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM g GROUP BY kind)) AS pa,
+          (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM g GROUP BY mined)) AS pb,
+          sum(n)::BIGINT AS n_lines, sum(CASE WHEN n = a AND n = b THEN n ELSE 0 END) / sum(n) AS grouped FROM t)
+        SELECT 'events.log' AS log_id, n_lines, round(shared / pb, 6) AS "precision", round(shared / pa, 6) AS recall,
+          round(2 * shared / (pa + pb), 6) AS f1, round(grouped, 6) AS grouping_accuracy FROM p""",
     "mined_stream": f"WITH RECURSIVE {MINED} SELECT line_no, EventTemplate FROM mined_lines",
     "mined_lengths": f"""WITH {PARSED}, l AS (SELECT line_no, len(string_split({LIGHT_MASK}, ' ')) AS n_tokens FROM parsed)
         SELECT n_tokens, count(*) AS n_lines, min(line_no) AS first_line FROM l GROUP BY n_tokens""",
@@ -563,10 +577,10 @@ SQL: dict[str, str] = {
         SELECT line_from, md5(text) AS text_md5, length(text) AS n_chars FROM t""",
     "chunk_vectors": """WITH w AS (
         SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS word FROM documents),
-        b AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 6))::BIGINT % 256 AS bucket, count(*) AS tf FROM w GROUP BY 1, 2),
-        i AS (SELECT bucket, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM b GROUP BY bucket),
-        x AS (SELECT doc_id, bucket, tf * idf AS w FROM b JOIN i USING (bucket))
-        SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""",
+        b AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2),
+        i AS (SELECT word, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM b GROUP BY word),
+        x AS (SELECT doc_id, word, tf * idf AS w FROM b JOIN i USING (word))
+        SELECT doc_id, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""",
     "vector_topk": """WITH p AS (
         SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS place FROM embeddings),
         m AS (SELECT label, place, avg(x) AS x FROM p GROUP BY 1, 2),
@@ -604,8 +618,17 @@ SQL: dict[str, str] = {
     "exchange_metrics": f"""WITH {EXCHANGES}, t AS (SELECT *, (length(user_input) + 100) / 64.0::DOUBLE AS elapsed FROM exchanges)
         SELECT conv_id, turn, printf('%.2f', floor(elapsed * 100 + 0.5) / 100) || ' seconds' AS response_time,
           round(length(response) / elapsed, 6) AS chars_per_second FROM t""",
-    "saved_exchanges": f"""WITH {EXCHANGES} SELECT user_input, response, '2024-01-01 00:00:00' AS timestamp,
-        '1.00 seconds' AS response_time FROM exchanges""",
+    "saved_exchanges": f"""WITH {EXCHANGES}, {ROUTED_EXCHANGES}
+        SELECT user_input, response, 'Route: ' || route
+          || CASE WHEN len(keywords) > 0 THEN ' | Keywords: ' || array_to_string(keywords, ', ') ELSE '' END
+          || CASE WHEN len(events) > 0 THEN ' | Events: ' || array_to_string(events, ', ') ELSE '' END
+          || ' | Time Taken: ' || printf('%.2f', floor(elapsed * 100 + 0.5) / 100) || ' s'
+          || ' | Tokens/Second: ' || printf('%.2f', coalesce(length(response), 0) / elapsed) AS extra_info,
+          '2024-01-01 00:00:00' AS timestamp, '1.00 seconds' AS response_time
+        FROM routed JOIN (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS question_id,
+          (length(user_input) + 100) / 64.0::DOUBLE AS elapsed FROM exchanges) USING (question_id)""",
+    "replaced_results": f"""WITH {STRUCTURED} SELECT CASE WHEN line_no % 2 = 0 THEN 'even.log' ELSE 'odd.log' END AS log_id,
+        line_no, EventId FROM structured WHERE line_no % 2 = 0 OR Level = 'ERROR'""",
     "structured_roundtrip": f"WITH {PARAMETERS} SELECT log_id, line_no, EventId, Content, parameters FROM parameters",
     "catalogue_csv": f"""WITH {CATALOGUE}
         SELECT 'events.log' AS log_id, EventId, EventTemplate, Occurrences, first_line, template_key FROM catalogue""",
@@ -623,6 +646,12 @@ SQL: dict[str, str] = {
         SELECT sheet, model, category, 'Cosine Similarity' AS metric, round(c, 6) AS value FROM m
         UNION ALL SELECT sheet, model, category, 'ROUGE-1 F1', round(r, 6) FROM m""",
     "pivot_by_category": f"WITH {METRICS} {_BY_CATEGORY}",
+    "mean_reports": f"""WITH {METRICS}, c AS (
+        SELECT sheet, category, model, metric, avg(value) AS value FROM metrics GROUP BY ALL),
+        m AS (SELECT sheet, model, metric, avg(value) AS value FROM metrics GROUP BY ALL)
+        SELECT 'cell' AS report, sheet, category, model, metric, round(value, 6) AS value FROM c
+        UNION ALL SELECT 'category', NULL, category, model, metric, round(avg(value), 6) FROM c GROUP BY category, model, metric
+        UNION ALL SELECT 'model', NULL, NULL, model, metric, round(avg(value), 6) FROM m GROUP BY model, metric""",
     "category_mean": f"WITH {METRICS} SELECT category, model, metric, value FROM means",
     "improvement": f"WITH {METRICS} SELECT category, metric, model, round(improvement, 6) AS improvement FROM improved",
     "category_improvement": f"WITH {METRICS} SELECT category, metric, improvement FROM category_improved",
