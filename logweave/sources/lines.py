@@ -21,8 +21,9 @@ def _plain_path(path: Column) -> Column:
     return F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B")))
 
 
-def _name_below(path: Column, roots: list[str]) -> Column:
-    """The path below the root it was read from; the file's own name where the root is the file."""
+def path_below(path: Column, roots: list[str]) -> Column:
+    """A file's plain path below the root it was read from; its own name where the root is the file."""
+    path = _plain_path(path)
     name = path
     for root in roots:
         root = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root)
@@ -67,7 +68,7 @@ def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
     known = F.coalesce("_shift", F.raise_error(F.concat(F.lit("no offset for a split of "), "_file")).cast("bigint"))
     return lookup_join(lines, offsets, ["_file", "_start"], "left").select(
-        _name_below(_plain_path(F.col("_file")), [path] if isinstance(path, str) else list(path)).alias("log_id"),
+        path_below(F.col("_file"), [path] if isinstance(path, str) else list(path)).alias("log_id"),
         (F.col("_row") + known).alias("line_no"),
         "line",
     )

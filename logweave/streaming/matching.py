@@ -15,12 +15,13 @@ from pyspark.sql.streaming import StreamingQuery
 from logweave.formats import LogFormat, get_format
 from logweave.operators.parsing import parse_lines
 from logweave.operators.templates import masked_lines, match_catalogue
+from logweave.sources.lines import path_below
 
 
 def read_line_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """``(log_id, line)`` for text files as they appear in a folder."""
+    """``(log_id, line)`` for text files as they appear in a folder; ``log_id`` is the path below it."""
     return spark.readStream.text(folder).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("log_id"), F.col("value").alias("line")
+        path_below(F.col("_metadata.file_path"), [folder]).alias("log_id"), F.col("value").alias("line")
     )
 
 
