@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.functions import text as T
@@ -30,7 +31,7 @@ from logweave.operators.gram_index import GramIndex
 from logweave.operators.vectors import VectorIndex, nearest, recall
 from logweave.plans.answers import answer_questions, question_prompts
 from logweave.plans.log_analysis import analyse, keep_line
-from logweave.session import materialize, scratch_path
+from logweave.session import lookup_join, materialize, scratch_path
 from logweave.sources import rendered, tables
 from logweave.sources.lines import read_log_lines
 from logweave.streaming import mining as online
@@ -44,6 +45,8 @@ MASKS = (IP_MASK, NUMBER_MASK)
 KEYWORDS = ("ERROR", "10.0.46.", "error", "{\"k\": 8")
 EVENTS = ("Event2", "Event7", "Event9", "Event99")
 TEXT_FILE_LINES = 100_000
+# Folder name of a missing value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 BASELINE = "model-0"
 MODELS = [f"model-{i}" for i in range(5)]
 ANSWER_MODELS = ["copy", "bench", "joined", "labelled"]
@@ -93,7 +96,7 @@ def _joined(items: str, mark: str = "|") -> Column:
 
 @query
 def read_text_log(spark, folder):
-    """Lines written as text files, some per day, and read back with their place in the file."""
+    """Lines written as text files, some per day, and every line read back with its place in the day."""
     path = scratch_path(spark, "text")
     lines = _lines(spark, folder).withColumn("day", F.substring("line", 1, 10))
     # A file holds the lines of a day in one range of numbers, in order.
@@ -101,13 +104,23 @@ def read_text_log(spark, folder):
     lines.withColumn("part", part).repartition("day", "part").sortWithinPartitions("day", "part", "line_no").select(
         "line", "day", "part"
     ).write.partitionBy("day", "part").text(path)
-    mark = F.conv(F.substring(F.md5(F.concat_ws(":", "line_no", "line")), 1, 8), 16, 10).cast("bigint")
-    return read_log_lines(spark, path).withColumn("mark", mark).groupBy(
-        F.regexp_extract("log_id", "^day=([^/]*)/", 1).alias("day"),
-        F.regexp_extract("log_id", "/part=([0-9]*)/", 1).cast("bigint").alias("part"),
-    ).agg(
-        F.count("*").alias("n"), F.min("line_no").alias("first"), F.max("line_no").alias("last"),
-        F.sum("mark").alias("mark_sum"), F.bit_xor("mark").alias("mark_xor"),
+    return _day_places(read_log_lines(spark, path))
+
+
+def _day_places(found: DataFrame) -> DataFrame:
+    """``(day, place, line)`` of lines in files ``day=<day>/part=<number>/…``: a file goes on where the day's earlier ones end."""
+    found = found.select(
+        F.regexp_extract("log_id", "^day=([^/]*)/", 1).alias("_day"), F.regexp_extract("log_id", "/part=([^/]*)/", 1).alias("_part"),
+        "line_no", "line",
+    )
+    before = W.partitionBy("_day").orderBy(F.asc_nulls_last(F.col("_part").try_cast("bigint"))).rowsBetween(W.unboundedPreceding, -1)
+    offsets = found.groupBy("_day", "_part").agg(F.count("*").alias("_lines")).select(
+        "_day", "_part", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before")
+    )
+    # A line without a day is null, which a text file cannot tell from an empty line.
+    day = F.nullif("_day", F.lit(NO_VALUE))
+    return lookup_join(found, offsets, ["_day", "_part"]).select(
+        day.alias("day"), (F.col("_before") + F.col("line_no")).alias("place"), F.when(day.isNotNull(), F.col("line")).alias("line")
     )
 
 

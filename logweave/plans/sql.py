@@ -6,7 +6,7 @@ from logweave.formats import FORMATS
 from logweave.operators import routing, scoring
 from logweave.operators.context import CHAT_FRAME, FRAMES, SYSTEM_PROMPT
 from logweave.operators.reports import CATEGORIES
-from logweave.plans.queries import BASELINE, EVENTS, IP_MASK, KEYWORDS, MODELS, NUMBER_MASK, TEXT_FILE_LINES
+from logweave.plans.queries import BASELINE, EVENTS, IP_MASK, KEYWORDS, MODELS, NUMBER_MASK
 
 SPARK_LAYOUT = next(fmt for fmt in FORMATS if fmt.name == "Spark")
 
@@ -458,12 +458,9 @@ layout_lines AS (
   FROM events JOIN layouts ON place = event_id % 16)"""
 
 SQL: dict[str, str] = {
-    "read_text_log": f"""WITH {LINES}, days AS (
-        SELECT substr(line, 1, 10) AS day, line_no // {TEXT_FILE_LINES} AS part,
-          row_number() OVER (PARTITION BY substr(line, 1, 10), line_no // {TEXT_FILE_LINES} ORDER BY line_no) AS place, line
-        FROM lines), marks AS (SELECT *, ('0x' || substr(md5(place || ':' || line), 1, 8))::BIGINT AS mark FROM days)
-        SELECT day, part, count(*) AS n, 1::BIGINT AS first, count(*) AS last, sum(mark)::BIGINT AS mark_sum, bit_xor(mark) AS mark_xor
-        FROM marks GROUP BY day, part""",
+    "read_text_log": f"""WITH {LINES}
+        SELECT substr(line, 1, 10) AS day, row_number() OVER (PARTITION BY substr(line, 1, 10) ORDER BY line_no) AS place, line
+        FROM lines""",
     "parse_lines": f"WITH {PARSED} SELECT line_no, Date, Time, Level, Component, Content FROM parsed",
     "line_ids": f"WITH {PARSED} SELECT line_no, row_number() OVER (ORDER BY line_no) AS LineId FROM parsed",
     "rejected_lines": f"WITH {LINES} SELECT line_no, line FROM lines WHERE NOT regexp_matches(line, {RX})",
