@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +27,9 @@ STOP_WORDS = tuple(
     where which while who whom why will with would you your yours yourself yourselves""".split()
 )
 
-_WORD = r"[\p{L}\p{N}_]{2,}"
-_UNIGRAM = "[a-z0-9]+"
+# What stands between words; unigrams are parts of the runs between.
+_NO_WORD = r"[^\p{L}\p{N}_]+"
+_UNIGRAM = re.compile("[a-z0-9]+")
 
 
 def answers_long(answers: DataFrame, ids: list[str], models: list[str] | None = None) -> DataFrame:
@@ -53,56 +58,97 @@ def score_answers(
     """Add ``cosine`` and ``rouge1`` to the id columns, one row per pair.
 
     Both scores need word counts of the two texts only.  The texts are shuffled once, by the
-    ids of their pair; counting words and adding them up then stay in the same task, so no
-    word is ever shuffled.  A pair without words scores 0.
+    ids of their pair, and come in that order to a task, which holds the counts of one pair at
+    a time: no word becomes a row.  Rows with the same ids are one pair, whose counts are
+    added up.  A pair without words scores 0.
     """
-    expected_text, answer_text = F.col(expected), F.col(answer)
-    word_lists = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), found.alias("words"))
-        for side, text in (("e", expected_text), ("a", answer_text))
-        for kind, found in (
-            (0, F.regexp_extract_all(normalise(text), F.lit(_WORD), F.lit(0))),
-            (1, F.regexp_extract_all(F.lower(text), F.lit(_UNIGRAM), F.lit(0))),
+    ids, stopped = list(ids), frozenset(stop_words)
+    # An answer that repeats the expected text is not sent again.
+    same = F.col(answer).eqNullSafe(F.col(expected))
+    sorted_pairs = (
+        pairs.select(
+            *ids, F.col(expected).alias("_expected"), F.when(~same, F.col(answer)).alias("_answer"), same.alias("_same")
         )
-    ])
-    listed = (
-        pairs.select(*ids, expected, answer)
         .repartition(*ids)
-        .select(*ids, F.explode(word_lists).alias("_l"))
-        .select(*ids, "_l.kind", "_l.side", F.explode_outer("_l.words").alias("word"))
+        .sortWithinPartitions(*ids)
     )
-    counts = listed.groupBy(*ids, "kind", "word").agg(
-        F.count_if((F.col("side") == "e") & F.col("word").isNotNull()).alias("e"),
-        F.count_if((F.col("side") == "a") & F.col("word").isNotNull()).alias("a"),
+    # Blanks do not change which words there are, so the texts need not be normalised for this.
+    runs = lambda side: F.regexp_replace(F.lower(side), F.lit(_NO_WORD), F.lit(" "))
+    sent = sorted_pairs.select(
+        *ids, "_same", runs("_expected").alias("_expected"), F.when(~F.col("_same"), runs("_answer")).alias("_answer")
     )
-    stop_words = list(stop_words)
-    if stop_words:
-        stopped = (F.col("kind") == 0) & F.col("word").isin(stop_words)
-        counts = counts.withColumn("e", F.when(stopped, 0).otherwise(F.col("e"))).withColumn(
-            "a", F.when(stopped, 0).otherwise(F.col("a"))
-        )
-    e, a = F.col("e"), F.col("a")
-    # Smoothed inverse document frequency over the two texts of the pair.
-    idf = F.when((e > 0) & (a > 0), F.lit(1.0)).otherwise(F.lit(1.0) + F.log(F.lit(1.5)))
-
-    def total(kind: int, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
-
-    sums = counts.groupBy(*ids).agg(
-        total(0, e * a).alias("dot"),
-        total(0, (e * idf) * (e * idf)).alias("e2"),
-        total(0, (a * idf) * (a * idf)).alias("a2"),
-        total(1, F.least(e, a)).alias("overlap"),
-        total(1, e).alias("n_e"),
-        total(1, a).alias("n_a"),
-    )
-    cosine = F.when((F.col("e2") > 0) & (F.col("a2") > 0), F.col("dot") / F.sqrt(F.col("e2") * F.col("a2")))
+    schema = pairs.select(*ids).schema.add("cosine", "double").add("rouge1", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides, known = None, None, (None, None)
+        for batch in batches:
+            found: list[tuple] = []
+            names = [batch.column(place).to_pylist() for place in range(len(ids))]
+            same, expected_runs, answer_runs = [batch.column(place) for place in range(len(ids), batch.num_columns)]
+            for row in range(batch.num_rows):
+                text = expected_runs[row].as_py() or ""
+                # The answers to one question follow each other.
+                if known[0] != text:
+                    known = text, _Counts.of(text, stopped)
+                pair = known[1], known[1] if same[row].as_py() else _Counts.of(answer_runs[row].as_py() or "", stopped)
+                own = tuple(column[row] for column in names)
+                if sides is not None and key == own:
+                    sides = tuple(one + other for one, other in zip(sides, pair))
+                    continue
+                if sides is not None:
+                    found.append((*key, *_pair_scores(*sides)))
+                key, sides = own, pair
+            yield _scored(found, batch.schema, len(ids))
+        if sides is not None:
+            yield _scored([(*key, *_pair_scores(*sides))], batch.schema, len(ids))
+
+    return sent.mapInArrow(run, schema)
+
+
+class _Counts:
+    """Counts of a text's words of two or more signs without stop words, and of the unigrams that lie in its runs."""
+
+    def __init__(self, words: Counter, grams: Counter):
+        self.words, self.grams = words, grams
+        self.squares = sum(n * n for n in words.values())
+        self.n_grams = grams.total()
+
+    @classmethod
+    def of(cls, runs: str, stopped: frozenset[str]) -> _Counts:
+        words, grams = Counter(runs.split()), Counter()
+        if runs.isascii() and "_" not in runs:
+            grams.update(words)
+        else:
+            for run, n in words.items():
+                for gram in _UNIGRAM.findall(run):
+                    grams[gram] += n
+        for word in [word for word in words if len(word) < 2 or word in stopped]:
+            del words[word]
+        return cls(words, grams)
+
+    def __add__(self, other: _Counts) -> _Counts:
+        return _Counts(self.words + other.words, self.grams + other.grams)
+
+
+def _pair_scores(e: _Counts, a: _Counts) -> tuple[float, float]:
+    if e is a:
+        return float(e.squares > 0), float(e.n_grams > 0)
+    shared = [(e.words[word], a.words[word]) for word in e.words.keys() & a.words.keys()]
+    # Smoothed inverse document frequency over the two texts of the pair: 1 for shared words.
+    idf = 1 + math.log(1.5)
+    shared_e, shared_a = sum(n * n for n, _ in shared), sum(n * n for _, n in shared)
+    e2 = shared_e + (e.squares - shared_e) * idf * idf
+    a2 = shared_a + (a.squares - shared_a) * idf * idf
+    cosine = sum(n * m for n, m in shared) / math.sqrt(e2 * a2) if e2 and a2 else 0.0
+    overlap = sum(min(e.grams[gram], a.grams[gram]) for gram in e.grams.keys() & a.grams.keys())
     # 2PR / (P + R) with P = overlap / n_a and R = overlap / n_e.
-    rouge = F.when(F.col("overlap") > 0, 2 * F.col("overlap") / (F.col("n_e") + F.col("n_a")))
-    return sums.select(
-        *ids,
-        F.coalesce(cosine, F.lit(0.0)).alias("cosine"),
-        F.coalesce(rouge, F.lit(0.0)).alias("rouge1"),
+    return cosine, 2 * overlap / (e.n_grams + a.n_grams) if overlap else 0.0
+
+
+def _scored(rows: list[tuple], sent: pa.Schema, n_ids: int) -> pa.RecordBatch:
+    kinds = [sent.field(place) for place in range(n_ids)] + [pa.field(name, pa.float64()) for name in ("cosine", "rouge1")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row[place] for row in rows], field.type) for place, field in enumerate(kinds)], [f.name for f in kinds]
     )
 
 

@@ -30,6 +30,23 @@ def test_scores_by_hand(spark):
     assert own[4] == pytest.approx(1)
 
 
+def test_rows_of_one_pair_are_added_up(spark):
+    rows = [(None, "the cat sat", "cat"), (None, "a dog", "dog dog"), (1, "x_1 zwei", None), (1, None, "zwei"), (2, "one", "one")]
+    df = spark.createDataFrame(rows, "id int, expected string, answer string")
+    got = {r.id: (r.cosine, r.rouge1) for r in scoring.score_answers(df, IDS).collect()}
+    w = 1 + math.log(1.5)
+    assert got == {
+        None: pytest.approx((3 / math.sqrt((2 + w * w) * 5), 2 * 2 / 8)), 1: pytest.approx((1 / math.sqrt(1 + w * w), 2 / 4)), 2: (1, 1),
+    }
+
+
+def test_no_word_of_a_pair_becomes_a_row(spark):
+    """Rows of words made a task's table of counts outgrow its memory."""
+    df = spark.range(20).select("id", F.lit("one two").alias("expected"), F.lit("two three").alias("answer"))
+    plan = scoring.score_answers(df, IDS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("RepartitionByExpression") == 1
+
+
 def test_wide_answers_become_long(spark):
     df = spark.createDataFrame(
         [("A", 1, "x", "y", None), ("---B", 2, "x", "y", "z")], "sheet string, q int, expected string, m1 string, m2 string"
