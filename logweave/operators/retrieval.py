@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ TOP_K = 2
 # Lines that one task packs; the chunks do not depend on it.
 CHUNK_BLOCK_LINES = 1 << 20
 
+# Texts and queries of a cell that one task scores, and queries whose scores it holds at a time.
+CELL_TEXTS, CELL_ASKED, CELL_QUERIES = 4096, 4096, 256
+
 
 def _first_over(total: np.ndarray, used: np.ndarray, budget: int) -> np.ndarray:
     """Place of the first line that no longer fits after ``used`` tokens; ``total`` are running sums."""
@@ -168,27 +173,90 @@ def dense_vectors(weights: DataFrame, keys: list[str], buckets: int = 256) -> Da
     return weights.groupBy(*keys).agg(entries.alias("_entries")).select(*keys, filled.alias("vector"))
 
 
+def _cell_best(texts: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The best ``k`` of some texts for each of some queries, from their weights; ties go to the smaller ``vec_id``."""
+    words = pa.concat_arrays([a for t in (texts, asked) for a in t.column("bucket").chunks]).dictionary_encode()
+    word = words.indices.to_numpy()
+    own, other = word[: texts.num_rows], word[texts.num_rows :]
+    names = texts.column("vec_id").combine_chunks().unique()
+    names = names.take(pc.array_sort_indices(names, null_placement="at_start"))
+    row = pc.index_in(texts.column("vec_id"), names).to_numpy()
+    queries = asked.column("query_id").combine_chunks().dictionary_encode("encode")
+    query = queries.indices.to_numpy()
+    # Both sides by word, so that a word's rows lie together.
+    turn, asked_turn = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+    own, row, weight = own[turn], row[turn], texts.column("weight").to_numpy()[turn]
+    other, query, wanted = other[asked_turn], query[asked_turn], asked.column("weight").to_numpy()[asked_turn]
+    found = []
+    for first in range(0, len(queries.dictionary), CELL_QUERIES):
+        inside = (query >= first) & (query < first + CELL_QUERIES)
+        scores = np.zeros((min(CELL_QUERIES, len(queries.dictionary) - first), len(names)))
+        met, begins = np.unique(other[inside], return_index=True)
+        lows, highs = np.searchsorted(own, met), np.searchsorted(own, met, side="right")
+        ends = np.append(begins[1:], inside.sum())
+        part, value = query[inside] - first, wanted[inside]
+        for low, high, begin, end in zip(lows, highs, begins, ends):
+            scores[np.ix_(part[begin:end], row[low:high])] += np.outer(value[begin:end], weight[low:high])
+        scores = scores.round(9)
+        for _ in range(min(k, len(names))):
+            # The first of the largest scores is the one with the smallest id.
+            best = scores.argmax(axis=1)
+            score = scores[np.arange(len(scores)), best]
+            held = np.flatnonzero(score > 0)
+            found.append((held + first, best[held], score[held]))
+            scores[np.arange(len(scores)), best] = 0
+    who, which, score = (np.concatenate(c) for c in zip(*found))
+    return pa.table({"query_id": queries.dictionary.take(pa.array(who)), "vec_id": names.take(pa.array(which)), "score": score})
+
+
+def _best_in_cells(weights: DataFrame, asked: DataFrame, n_texts: int, n_queries: int, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: per group of texts the best ``k`` for each query that shares a word with them.
+
+    Texts and queries are dealt to the cells of a grid, and a cell multiplies its weights: no row is made for a
+    pair, and what a cell holds does not grow with their number.
+    """
+    kind = dict(asked.dtypes)["query_id"], dict(weights.dtypes)["vec_id"]
+    schema = f"query_id {kind[0]}, vec_id {kind[1]}, score double"
+    rows, columns = -(-n_texts // CELL_TEXTS) or 1, -(-n_queries // CELL_ASKED) or 1
+
+    def run(texts: pa.Table, queries: pa.Table) -> pa.Table:
+        if texts.num_rows and queries.num_rows:
+            return _cell_best(texts, queries, k)
+        return pa.table({"query_id": queries.column("query_id").slice(0, 0), "vec_id": texts.column("vec_id").slice(0, 0), "score": pa.array([], pa.float64())})
+
+    def dealt(side: DataFrame, key: str, own: str, number: int, other: str, others: int) -> DataFrame:
+        group = F.pmod(F.xxhash64(key), F.lit(number)).cast("int")
+        return side.withColumn(own, group).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("_r", "_c")
+
+    cells = dealt(weights, "vec_id", "_r", rows, "_c", columns).cogroup(dealt(asked, "query_id", "_c", columns, "_r", rows))
+    return cells.applyInArrow(run, schema)
+
+
 def nearest_texts(texts: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """``(query_id, vec_id, score, place)``: the ``k`` texts most similar to each query by TF-IDF of their words.
 
     ``texts`` holds ``vec_id`` and ``text``, ``queries`` ``query_id`` and ``text``.  Words are not
-    hashed, so a rare word is not lost among others.  The words of queries meet those of texts in a
-    join; a text's words lie in one task, which sums its scores and passes on the best ``k`` per
-    query.  Where fewer texts share a word with a query, the first texts follow with score 0.
+    hashed, so a rare word is not lost among others.  Queries with the same known words are scored once
+    (``_best_in_cells``); what is sent on are the best ``k`` of each group of texts.
+    Where fewer texts share a word with a query, the first texts follow with score 0.
     """
     counts = materialize(bucket_counts(texts, ["vec_id"], None), "word_counts")
     idf = materialize(bucket_idf(counts, texts), "word_idf")
-    asked = unit_weights(bucket_counts(queries, ["query_id"], None), idf, ["query_id"])
-    weights = unit_weights(counts, idf, ["vec_id"])
-    scored = (
-        lookup_join(weights, asked.withColumnRenamed("weight", "_asked"), ["bucket"], "inner")
-        .groupBy("query_id", "vec_id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("_asked")), 9).alias("score"))
-    )
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    place = F.row_number().over(order).cast("bigint")
-    best = scored.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+    known = lookup_join(bucket_counts(queries, ["query_id"], None), idf.select("bucket"), ["bucket"], "left_semi")
+    listed = F.array_sort(F.collect_list(F.struct("bucket", "n_words")))
+    same = materialize(known.groupBy("query_id").agg(F.to_json(listed).alias("_words"), listed.alias("_list")), "known_words")
+    # What stands for all queries with the same words is the list of them.
+    words = same.groupBy("_words").agg(F.any_value("_list").alias("_list"))
+    words = materialize(words.select(F.col("_words").alias("query_id"), F.explode("_list").alias("_word")), "distinct_words")
+    asked = materialize(unit_weights(words.select("query_id", "_word.*"), idf, ["query_id"]), "asked_weights")
+    weights = lookup_join(unit_weights(counts, idf, ["vec_id"]), asked.select("bucket").distinct(), ["bucket"], "left_semi")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("bigint")
+    n_asked = asked.select("query_id").distinct().count()
+    cells = _best_in_cells(weights, asked, texts.count(), n_asked, k)
+    best = materialize(cells.withColumn("place", place).filter(F.col("place") <= k).drop("place"), "nearest")
+    best = best.withColumnRenamed("query_id", "_words")
+    shared = lookup_join(same.select("query_id", "_words"), best, ["_words"], "inner").drop("_words")
     first = texts.select("vec_id").orderBy("vec_id").limit(k)
     others = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    found = best.unionByName(others).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = shared.unionByName(others).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("place", place).filter(F.col("place") <= k)

@@ -44,3 +44,26 @@ def test_the_chunk_with_the_rare_word_is_found(spark):
     found = retrieved_answers(routed, spark.createDataFrame(lines, "log_id string, line_no long, line string")).collect()
     assert len(found) == 30 and all(r.n_matched == 2 for r in found)
     assert all(r.context[0].endswith(rare[int(r.question_id[1:])]) for r in found)
+
+
+def test_no_row_is_made_for_a_pair(spark, monkeypatch):
+    """A word in all texts and queries: only the best of each cell are written, and they are right."""
+    monkeypatch.setattr(retrieval, "CELL_TEXTS", 20)
+    monkeypatch.setattr(retrieval, "CELL_ASKED", 3)
+    monkeypatch.setattr(retrieval, "CELL_QUERIES", 2)
+    texts = [(n, " ".join(["all"] * (n % 7 + 1) + varied(n, 20) + [f"part{n % 9}"])) for n in range(60)]
+    asked = [f"all part{n % 9} unknown{n}" for n in range(40)] + ["all all"] * 20 + ["none"]
+    written = {}
+
+    def counted(df, label, write=retrieval.materialize):
+        written[label] = (found := write(df, label)).count()
+        return found
+
+    monkeypatch.setattr(retrieval, "materialize", counted)
+    found = retrieval.nearest_texts(
+        spark.createDataFrame(texts, "vec_id long, text string"),
+        spark.createDataFrame(list(enumerate(asked)), "query_id long, text string"), 2,
+    ).collect()
+    for n, query in enumerate(asked):
+        assert [r.vec_id for r in sorted(found, key=lambda r: r.place) if r.query_id == n] == brute(texts, query, 2)
+    assert len(found) == 2 * len(asked) and written["nearest"] == 2 * 10
