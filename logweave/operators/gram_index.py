@@ -72,37 +72,58 @@ class GramIndex:
         own = long.select("word", F.explode(F.filter(_grams(F.col("word")), lambda g: F.length(g) == GRAM)).alias("gram"))
         # A gram that the index does not know leaves its word without a line.
         held = own.join(known, "gram", "left")
-        rarest = held.groupBy("word").agg(
-            F.min(F.struct(F.coalesce("n_blocks", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram")
+        # Grams that all blocks hold are told apart by the number of words that share them.
+        shared = own.groupBy("gram").agg(F.count("*").alias("n_words"))
+        rarest = held.join(shared, "gram").groupBy("word").agg(
+            F.min(F.struct(F.coalesce("n_blocks", F.lit(0)).alias("n"), "n_words", "gram"))["gram"].alias("gram")
         )
         lengths = F.sequence(F.lit(0), F.least(F.length("gram"), F.lit(GRAM - 1)))
         begun = known.select("gram", F.explode(F.transform(lengths, lambda n: F.left("gram", n))).alias("word"))
         short = lookup_join(begun, words.filter(F.length("word") < GRAM).select("word"), ["word"], "left_semi")
         return rarest.select("word", "gram").unionByName(short.select("word", "gram"))
 
-    def blocks(self, words: DataFrame) -> DataFrame:
-        """``(word, log_id, block)``: where the index sends each of the distinct lowered ``words(word)``."""
+    def _asked(self, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``(word, gram, bucket)`` of the distinct lowered ``words(word)``, and the postings of their buckets."""
         asked = materialize(
             self._looked_up(words).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS))), "index-grams"
         )
         buckets = [row.bucket for row in asked.select("bucket").distinct().collect()]  # at most BUCKETS
-        postings = self.postings().filter(F.col("bucket").isin(buckets))
+        return asked, self.postings().filter(F.col("bucket").isin(buckets))
+
+    def blocks(self, words: DataFrame) -> DataFrame:
+        """``(word, log_id, block)``: where the index sends each of the distinct lowered ``words(word)``."""
+        asked, postings = self._asked(words)
         return lookup_join(postings, asked, ["bucket", "gram"], "inner").select("word", "log_id", "block").distinct()
 
     def line_words(self, words: DataFrame) -> DataFrame:
-        """``(log_id, line_no, words)``: which of the distinct lowered ``words(word)`` each line holds; others left out."""
+        """``(log_id, line_no, words)``: which of the distinct lowered ``words(word)`` each line holds; others left out.
+
+        The lines of the blocks that hold any asked gram meet the words by their own grams, so a line is
+        tested for the words of its grams only, however many words its block is asked for.
+        """
+        asked, postings = self._asked(words)
+        grams = asked.select("bucket", "gram").distinct()
         hits = materialize(
-            self.blocks(words)
-            .groupBy("log_id", "block")
-            .agg(F.collect_list("word").alias("_candidates"))
-            .withColumn("part", F.floor(F.col("block") / F.lit(PART_BLOCKS))),
+            lookup_join(postings, grams, ["bucket", "gram"], "left_semi")
+            .select("log_id", "block", F.floor(F.col("block") / F.lit(PART_BLOCKS)).alias("part"))
+            .distinct(),
             "index-hits",
         )
-        met = lookup_join(self.read_parts(hits), hits, ["part", "log_id", "block"], "inner")
-        held = F.transform(
-            F.array(F.lower("line")), lambda text: F.filter("_candidates", lambda word: F.contains(text, word))
-        )[0]
-        return met.select("log_id", "line_no", held.alias("words")).filter(F.size("words") > 0)
+        met = lookup_join(self.read_parts(hits), hits, ["part", "log_id", "block"], "left_semi")
+        keyed = asked.groupBy("gram").agg(F.collect_list("word").alias("_candidates"))
+        # Lines with equal numbers stay apart; the one-row generator lowers a line once, not once per gram.
+        lowered = met.select(
+            "log_id", "line_no", F.monotonically_increasing_id().alias("_row"), F.explode(F.array(F.lower("line"))).alias("_text")
+        )
+        rows = lowered.select("*", F.explode(_grams(F.col("_text"))).alias("gram"))
+        held = F.filter("_candidates", lambda word: F.contains(F.col("_text"), word))
+        return (
+            lookup_join(rows, keyed, ["gram"], "inner")
+            .select("log_id", "line_no", "_row", F.explode(held).alias("word"))
+            .groupBy("log_id", "line_no", "_row")
+            .agg(F.collect_set("word").alias("words"))
+            .drop("_row")
+        )
 
     def read_parts(self, hits: DataFrame) -> DataFrame:
         """Lines of the parts that hits name; beyond ``PARTS_NAMED`` of them all parts are opened."""

@@ -158,21 +158,22 @@ class KeywordSets:
             "set_members",
         )
 
-    def _new_lines(self, roles: DataFrame) -> DataFrame:
+    def _new_lines(self, roles: DataFrame, held: DataFrame | None = None) -> DataFrame:
         """Lines that hold ``word`` and none of ``earlier``, for each distinct pair in ``roles``."""
-        rows = self.held.select("log_id", "line_no", "words", F.explode("words").alias("word"))
+        rows = (self.held if held is None else held).withColumn("word", F.explode("words"))
         paired = roles.groupBy("word").agg(F.collect_set("earlier").alias("_roles"))
         met = lookup_join(rows, paired, ["word"], "inner")
-        return met.select("log_id", "line_no", "words", "word", F.explode("_roles").alias("earlier")).filter(
-            ~F.arrays_overlap("words", "earlier")
-        )
+        return met.withColumn("earlier", F.explode("_roles")).drop("_roles").filter(~F.arrays_overlap("words", "earlier"))
 
     def matches(self) -> DataFrame:
-        """Every matching line of every set: ``(set_key, log_id, line_no, line)``."""
-        new = self._new_lines(self.members.select("word", "earlier").distinct())
-        found = new.join(self.members, ["word", "earlier"]).select("set_key", "log_id", "line_no")
+        """Every matching line of every set: ``(set_key, log_id, line_no, line)``.
+
+        A line gets its text once, before it is handed to the sets that it belongs to.
+        """
         text = self.lines.select("log_id", "line_no", strip(F.col("line")).alias("line"))
-        return found.join(text, ["log_id", "line_no"]).select("set_key", "log_id", "line_no", "line")
+        members = self.members.select("word", "earlier", "set_key")
+        new = self._new_lines(members.select("word", "earlier").distinct(), self.held.join(text, ["log_id", "line_no"]))
+        return lookup_join(new, members, ["word", "earlier"], "inner").select("set_key", "log_id", "line_no", "line")
 
     def capped(self, cap: int = KEYWORD_CAP) -> DataFrame:
         """``(set_key, log_id, place, line_no, line, n_matched, trimmed)``: first lines and true total per log.

@@ -56,3 +56,27 @@ def test_batches_of_questions_share_an_index(spark, indexed):
         asked = spark.createDataFrame([(1, keywords)], "question_id bigint, keywords array<string>")
         plain = sorted(map(tuple, KeywordSets(lines, asked).matches().collect()))
         assert sorted(map(tuple, KeywordSets(lines, asked, index=index).matches().collect())) == plain
+
+
+def test_a_line_gets_its_text_before_it_is_handed_to_sets(spark, indexed):
+    lines, index = indexed
+    asked = spark.createDataFrame([(n, ["a", f"{n}"]) for n in range(40)], "question_id bigint, keywords array<string>")
+    plan = KeywordSets(lines, asked, index=index).matches()._jdf.queryExecution().optimizedPlan().toString()
+    assert "earlier" in next(row for row in plan.splitlines() if "Join " in row)
+
+
+def test_words_meet_the_lines_that_hold_their_grams(spark, indexed, monkeypatch):
+    """Words that share a block meet only the lines of their grams: no row lists a block's words."""
+    lines, index = indexed
+    kept = {}
+
+    def seen(df, label, write=gram_index.materialize):
+        kept[label] = write(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(gram_index, "materialize", seen)
+    words = [f"{a}{b}{c}{d}" for a in "abcde" for b in "abcde" for c in "abcde" for d in "abcde"]
+    found = index.line_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()
+    plain = {(r.log_id, r.line_no): sorted(r.words) for r in line_words(lines, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert {(r.log_id, r.line_no): sorted(r.words) for r in found} == plain
+    assert set(kept["index-hits"].columns) == {"log_id", "block", "part"}
