@@ -2,6 +2,7 @@
 
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,38 @@ def test_needs_the_state_store(spark):
     stream = spark.readStream.format("rate").load().selectExpr("'l' AS log_id", "value AS line_no", "'a b' AS template", "2 AS n_tokens")
     with pytest.raises(ValueError, match="RocksDB"):
         online.mine_stream(stream, 0.5, 4)
+
+
+def test_slices_of_a_micro_batch_give_the_sequential_result(session, tmp_path, monkeypatch):
+    """A micro-batch is mined slice by slice, whatever order its rows come in."""
+    folder = str(tmp_path)
+    logs = {"one": random_log(3, 200, 12, 6) + ["", "x"], "two": random_log(4, 200, 30, 7)}
+    taken = []
+    monkeypatch.setattr(online, "SLICE_LINES", 16)
+    processor = online.Miner(0.5, 4)
+    monkeypatch.setattr(processor, "_mine", lambda lines, *rest, own=processor._mine: (taken.append(len(lines)), own(lines, *rest))[1])
+
+    class State(dict):
+        containsKey, updateValue, getValue = dict.__contains__, dict.__setitem__, dict.__getitem__
+
+    for texts in logs.values():
+        processor.nodes = None
+        states = {}
+        rows = [(n + 1, " ".join(t.split())) for n, t in enumerate(texts)]
+        by_width = {}
+        for line, text in rows:
+            by_width.setdefault(len(text.split(" ")) if text else 0, []).append((line, text))
+        lines, latest = {}, {}
+        for width, own in by_width.items():
+            processor.nodes = states.setdefault(width, State())
+            parts = [pd.DataFrame(own[at::3], columns=["line_no", "template"]) for at in range(min(3, len(own)))]
+            for frame in processor.handleInputRows(("log", width), iter(parts), None):
+                for kind, line, cluster, template in frame[["kind", "line_no", "cluster", "template"]].itertuples(index=False):
+                    if kind == "line":
+                        lines[line] = template if pd.isna(cluster) else (width, cluster)
+                    else:
+                        assert (width, cluster) not in latest
+                        latest[width, cluster] = template
+        found = [latest.get(lines[n], lines[n]) for n, _ in rows]
+        assert found == mine(texts, 0.5, 4)
+    assert max(taken) == 16
