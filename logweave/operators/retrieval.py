@@ -23,6 +23,9 @@ CHUNK_BLOCK_LINES = 1 << 20
 # Texts and queries of a cell that one task scores, and queries whose scores it holds at a time.
 CELL_TEXTS, CELL_ASKED, CELL_QUERIES = 4096, 4096, 256
 
+# Bytes of text in a block whose words one task weighs; the weights do not depend on it.
+WORD_BLOCK_BYTES = 8 << 20
+
 
 def _first_over(total: np.ndarray, used: np.ndarray, budget: int) -> np.ndarray:
     """Place of the first line that no longer fits after ``used`` tokens; ``total`` are running sums."""
@@ -163,6 +166,61 @@ def unit_weights(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFram
     return weighted.select(*keys, "bucket", (F.col("_w") / length).alias("weight"))
 
 
+def _counted(texts: pa.Table, key: str) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and words of some texts, and per id and word that meet: place of the id, place of the word, times."""
+    listed = pc.split_pattern(texts.column("text").combine_chunks(), " ")
+    words = listed.flatten().dictionary_encode()
+    ids = texts.column(key).combine_chunks().dictionary_encode("encode")
+    own = ids.indices.to_numpy()[pc.list_parent_indices(listed).to_numpy()].astype(np.int64)
+    pair, times = np.unique(own * len(words.dictionary) + words.indices.to_numpy(), return_counts=True)
+    return ids.dictionary, words.dictionary, *np.divmod(pair, len(words.dictionary)), times
+
+
+def text_blocks(texts: DataFrame, key: str, block_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """``(_block, key, text)`` with lower-case words parted by single blanks, and the number of all texts.
+
+    Rows with one id are in one block; texts without words are in none.
+    """
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = -(-(size["bytes"] or 0) // (block_bytes or WORD_BLOCK_BYTES)) or 1
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block")
+    words = F.array_join(tokens(F.lower("text")), " ").alias("text")
+    # Blank texts go by their ends, else the filter would split every text once more.
+    return texts.filter(strip(F.col("text")) != F.lit("")).select(block, key, words), size["n"]
+
+
+def block_words(blocks: DataFrame, key: str) -> DataFrame:
+    """``(_block, bucket, n_texts)``: the words of each block, with the number of ids that have them in any block."""
+
+    def tell(texts: pa.Table) -> pa.Table:
+        _, words, _, word, _ = _counted(texts, key)
+        block = pa.array(np.full(len(words), texts.column("_block")[0].as_py(), np.int32))
+        return pa.table({"_block": block, "bucket": words, "n": np.bincount(word)})
+
+    told = blocks.groupBy("_block").applyInArrow(tell, "_block int, bucket string, n bigint")
+    return told.select("_block", "bucket", F.sum("n").over(W.partitionBy("bucket")).alias("n_texts"))
+
+
+def block_weights(blocks: DataFrame, words: DataFrame, key: str, n_texts: int) -> DataFrame:
+    """TF-IDF weights of length one: ``(key, bucket, weight)``; each word is its own bucket.
+
+    ``blocks`` and ``n_texts`` come from ``text_blocks``, ``words`` from ``block_words``.  What is shuffled are the
+    texts and the words of blocks, no row per text and word.  A word that one id alone has is not sent to its block.
+    """
+
+    def weigh(texts: pa.Table, shared: pa.Table) -> pa.Table:
+        ids, names, own, word, times = _counted(texts, key)
+        place = pc.index_in(names, shared.column("bucket").combine_chunks())
+        had = pc.fill_null(shared.column("n_texts").combine_chunks().take(place), 1).to_numpy()
+        weight = times * (np.log((1 + n_texts) / (1 + had)) + 1)[word]
+        weight /= np.sqrt(np.bincount(own, weight * weight))[own]
+        return pa.table({key: ids.take(pa.array(own)), "bucket": names.take(pa.array(word)), "weight": weight})
+
+    kind = dict(blocks.dtypes)[key]
+    sides = blocks.groupBy("_block").cogroup(words.filter(F.col("n_texts") > 1).groupBy("_block"))
+    return sides.applyInArrow(weigh, f"`{key}` {kind}, bucket string, weight double")
+
+
 def dense_vectors(weights: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
     """``(*keys, vector array<double>)`` from hashed weights."""
     entries = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))

@@ -406,8 +406,8 @@ def chunk_texts(spark, folder):
 def chunk_vectors(spark, folder):
     """TF-IDF weights of the words of documents."""
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    counts = materialize(retrieval.bucket_counts(documents, ["doc_id"], None), "word_counts")
-    weights = retrieval.unit_weights(counts, retrieval.bucket_idf(counts, documents), ["doc_id"])
+    blocks, n_texts = retrieval.text_blocks(documents, "doc_id")
+    weights = retrieval.block_weights(blocks, retrieval.block_words(blocks, "doc_id"), "doc_id", n_texts)
     return weights.select("doc_id", F.col("bucket").alias("word"), F.round("weight", 6).alias("weight"))
 
 
