@@ -201,6 +201,12 @@ def block_words(blocks: DataFrame, key: str) -> DataFrame:
     return told.select("_block", "bucket", F.sum("n").over(W.partitionBy("bucket")).alias("n_texts"))
 
 
+def word_idf(words: DataFrame, n_texts: int) -> DataFrame:
+    """Smoothed inverse document frequency: one row per word of ``block_words``."""
+    frequency = words.groupBy("bucket").agg(F.any_value("n_texts").alias("_df"))
+    return frequency.select("bucket", (F.log((1 + F.lit(n_texts)) / (1 + F.col("_df"))) + 1).alias("idf"))
+
+
 def block_weights(blocks: DataFrame, words: DataFrame, key: str, n_texts: int) -> DataFrame:
     """TF-IDF weights of length one: ``(key, bucket, weight)``; each word is its own bucket.
 
@@ -298,8 +304,9 @@ def nearest_texts(texts: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     (``_best_in_cells``); what is sent on are the best ``k`` of each group of texts.
     Where fewer texts share a word with a query, the first texts follow with score 0.
     """
-    counts = materialize(bucket_counts(texts, ["vec_id"], None), "word_counts")
-    idf = materialize(bucket_idf(counts, texts), "word_idf")
+    blocks, n_texts = text_blocks(texts, "vec_id")
+    held = materialize(block_words(blocks, "vec_id"), "block_words")
+    idf = materialize(word_idf(held, n_texts), "word_idf")
     known = lookup_join(bucket_counts(queries, ["query_id"], None), idf.select("bucket"), ["bucket"], "left_semi")
     listed = F.array_sort(F.collect_list(F.struct("bucket", "n_words")))
     same = materialize(known.groupBy("query_id").agg(F.to_json(listed).alias("_words"), listed.alias("_list")), "known_words")
@@ -307,10 +314,10 @@ def nearest_texts(texts: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     words = same.groupBy("_words").agg(F.any_value("_list").alias("_list"))
     words = materialize(words.select(F.col("_words").alias("query_id"), F.explode("_list").alias("_word")), "distinct_words")
     asked = materialize(unit_weights(words.select("query_id", "_word.*"), idf, ["query_id"]), "asked_weights")
-    weights = lookup_join(unit_weights(counts, idf, ["vec_id"]), asked.select("bucket").distinct(), ["bucket"], "left_semi")
+    weights = lookup_join(block_weights(blocks, held, "vec_id", n_texts), asked.select("bucket").distinct(), ["bucket"], "left_semi")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("bigint")
     n_asked = asked.select("query_id").distinct().count()
-    cells = _best_in_cells(weights, asked, texts.count(), n_asked, k)
+    cells = _best_in_cells(weights, asked, n_texts, n_asked, k)
     best = materialize(cells.withColumn("place", place).filter(F.col("place") <= k).drop("place"), "nearest")
     best = best.withColumnRenamed("query_id", "_words")
     shared = lookup_join(same.select("query_id", "_words"), best, ["_words"], "inner").drop("_words")

@@ -68,3 +68,21 @@ def test_words_that_one_text_has(spark, tmp_path):
 
 def test_no_words(spark, tmp_path):
     assert weighed(spark, tmp_path, [(1, None), (2, "")])[1] == {}
+
+
+def test_nearest_texts_write_no_row_per_text_and_word(spark, monkeypatch):
+    words = [f"word{n}" for n in range(300)]
+    texts = [(n, " ".join(words + [words[n]] * (n + 1))) for n in range(40)]
+    written = {}
+
+    def counted(df, label, write=retrieval.materialize):
+        written[label] = (found := write(df, label)).count()
+        return found
+
+    monkeypatch.setattr(retrieval, "materialize", counted)
+    found = retrieval.nearest_texts(
+        spark.createDataFrame(texts, "vec_id long, text string"),
+        spark.createDataFrame([(0, "word7"), (1, "word39 word39")], "query_id long, text string"), 1,
+    ).collect()
+    assert {(r.query_id, r.vec_id) for r in found} == {(0, 7), (1, 39)}
+    assert max(written.values()) <= 300
